@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, decontam, mixing, oracles, topk, urls
+from tidegauge.llm import chat, decontam, jaccard, mixing, oracles, repeats, topk, urls
 from tidegauge.llm.shared import table
 
 
@@ -16,6 +16,15 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), 3, 90)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.without_repeats(table(spark, sf_dir, "documents"), 20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,8 +59,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op6_decontamination, op7_url_filter, op9_chat, op10_mixing)}
+    return {f.__name__: f for f in (op1_topk, op3_jaccard, op4_substring_dedup, op6_decontamination, op7_url_filter, op9_chat, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": oracles.OP1, "op6_decontamination": oracles.OP6, "op7_url_filter": oracles.OP7, "op9_chat": oracles.OP9, "op10_mixing": oracles.OP10}
+    return {"op1_topk": oracles.OP1, "op3_jaccard": oracles.OP3, "op4_substring_dedup": oracles.OP4, "op6_decontamination": oracles.OP6, "op7_url_filter": oracles.OP7, "op9_chat": oracles.OP9, "op10_mixing": oracles.OP10}
