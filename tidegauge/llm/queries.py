@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, decontam, jaccard, mixing, oracles, repeats, topk, urls
+from tidegauge.llm import chat, decontam, jaccard, lines, mixing, oracles, repeats, topk, urls
 from tidegauge.llm.shared import table
 
 
@@ -33,6 +33,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages")).drop("component")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = f"{chat.END}{chat.START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -59,7 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op3_jaccard, op4_substring_dedup, op6_decontamination, op7_url_filter, op9_chat, op10_mixing)}
+    return {f.__name__: f for f in (op1_topk, op3_jaccard, op4_substring_dedup, op6_decontamination, op7_url_filter, op8_line_dedup, op9_chat, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
