@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, decontam, jaccard, lines, mixing, oracles, repeats, topk, urls
+from tidegauge.llm import chat, decontam, jaccard, lines, mixing, oracles, repeats, topk, toxicity, urls
 from tidegauge.llm.shared import table
 
 
@@ -16,6 +16,13 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    s = F.col("toxicity_score")
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), s.alias("score"), F.when(s >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), 3, 90)
 
@@ -64,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op3_jaccard, op4_substring_dedup, op6_decontamination, op7_url_filter, op8_line_dedup, op9_chat, op10_mixing)}
+    return {f.__name__: f for f in (op1_topk, op2_toxicity, op3_jaccard, op4_substring_dedup, op6_decontamination, op7_url_filter, op8_line_dedup, op9_chat, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
