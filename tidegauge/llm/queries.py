@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, decontam, jaccard, lines, mixing, oracles, repeats, topk, toxicity, urls
+from tidegauge.llm import chat, decontam, jaccard, lines, lm, mixing, oracles, repeats, topk, toxicity, urls
 from tidegauge.llm.shared import table
 
 
@@ -32,6 +32,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_toxicity, op3_jaccard, op4_substring_dedup, op6_decontamination, op7_url_filter, op8_line_dedup, op9_chat, op10_mixing)}
+    return {f.__name__: f for f in (op1_topk, op2_toxicity, op3_jaccard, op4_substring_dedup, op5_lm_scoring, op6_decontamination, op7_url_filter, op8_line_dedup, op9_chat, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
