@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import SPACE, cut, lower_az
+from tidegauge.llm.shared import SPACE, cut, fresh, lower_az
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Rows of the benchmark's sketches (16 bytes each) that may be broadcast; beyond, the join is shuffled.
@@ -18,19 +20,26 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(bare, SPACE), lambda w: w != "")
 
 
+def _per_run(words: Column, width: int, run: Callable[[Column, Column], Column], whole: Callable[[Column], Column], kind: str) -> Column:
+    """run(words, i) for each run of `width` words, whole(words) for a shorter text that has any.
+
+    words is bound to a lambda's variable, so that it is computed once, whatever the optimizer merges; as a plain expression it would be computed again in each step of the inner transform.
+    """
+    def each(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: run(w, i))
+        return F.when(F.size(w) >= width, many).when(F.size(w) > 0, F.array(whole(w))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return F.flatten(F.transform(F.array(words), each))
+
+
 def hashes_of(words: Column, width: int) -> Column:
     """A long for each run of `width` words; a shorter text is one run."""
-    def one(i: Column) -> Column:
-        return F.xxhash64(*[F.get(words, i + j) for j in range(width)])
-
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - width), one)
-    return F.when(F.size(words) >= width, many).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    return _per_run(words, width, lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]), F.xxhash64, "bigint")
 
 
 def shingles_of(words: Column, width: int) -> Column:
     """As hashes_of, but the words themselves, joined by a space."""
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.array_join(F.slice(words, i + 1, width), " "))
-    return F.when(F.size(words) >= width, many).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    return _per_run(words, width, lambda w, i: F.array_join(F.slice(w, i + 1, width), " "), lambda w: F.array_join(w, " "), "string")
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -79,5 +88,6 @@ def verified(docs: DataFrame, pairs: DataFrame, found: DataFrame, width: int, th
 
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, without the documents that hold a benchmark item."""
-    bad = leaks(docs.select("doc_id", "text"), items, width, threshold).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(cut(bad, "leaks"), F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    leak = fresh(docs, "_leak")
+    bad = leaks(docs.select("doc_id", "text"), items, width, threshold).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(cut(bad, "leaks"), F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti")
