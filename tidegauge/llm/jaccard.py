@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.graph import connected_components
-from tidegauge.llm.shared import broadcast_up_to, cut
+from tidegauge.llm.shared import broadcast_up_to, cut, fresh
 from tidegauge.llm.textops import Words, mix64, runs, slices, utf8
 
 #: Rows (16 to 24 bytes each) that may be broadcast; beyond, joins are shuffled.
@@ -239,5 +239,6 @@ def _compare(rows: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatc
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, with one row (the smallest doc_id) of each group that links connect. Rows without words or doc_id stay; of rows that share a doc_id all stay or go."""
     groups = jaccard_groups(docs.select("doc_id", "text"), width, percent)
-    gone = cut(groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct(), "copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_copy"), "left_anti")
+    copy = fresh(docs, "_copy")
+    gone = cut(groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct(), "copies")
+    return docs.join(gone, F.col("doc_id") == F.col(copy), "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.graph import connected_components
 from tidegauge.llm.jaccard import by_block
-from tidegauge.llm.shared import broadcast_up_to, cut
+from tidegauge.llm.shared import broadcast_up_to, cut, fresh
 from tidegauge.llm.textops import mix64, powers, slices
 
 #: Rows (16 to 24 bytes each) that may be broadcast; beyond, joins are shuffled.
@@ -211,14 +211,14 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int =
     Null text stays null and has no line. Empty text: one empty line. A null doc_id stands before all others. Rows that share a doc_id stand
     side by side: line 3 of one isn't earlier than line 3 of the other. A document all of whose lines go stays, with an empty text. An empty table gives an empty result.
     """
-    gone = near_lines(docs.select("doc_id", "text"), edits, per_edit).groupBy("doc", "text_id").agg(F.collect_set("no").alias("_gone"))
-    gone = cut(gone.select(F.col("doc").alias("_doc"), F.col("text_id").alias("_text_id"), "_gone"), "gone")
-    text_id = F.xxhash64(F.coalesce("text", F.lit("")))
-    held = docs.withColumn("_id", F.struct(F.col("doc_id").alias("d"), text_id.alias("t")))
-    joined = held.join(gone.select(F.struct(F.col("_doc").alias("d"), F.col("_text_id").alias("t")).alias("_id"), "_gone"), "_id", "left").drop("_id")
-    new = F.pandas_udf(_kept, "text string, n_lines long, n_removed long")(F.col("text"), F.col("_gone"))
-    joined = joined.withColumn("_new", new)
-    return joined.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("_new.n_lines").alias("n_lines"), F.col("_new.n_removed").alias("n_removed"))
+    gone = near_lines(docs.select("doc_id", "text"), edits, per_edit).groupBy("doc", "text_id").agg(F.collect_set("no").alias("gone"))
+    ident, drop, new = fresh(docs, "_id"), fresh(docs, "_gone"), fresh(docs, "_new")
+    gone = cut(gone.select(F.struct(F.col("doc").alias("d"), F.col("text_id").alias("t")).alias(ident), F.col("gone").alias(drop)), "gone")
+    own = F.struct(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    joined = docs.withColumn(ident, own).join(gone, ident, "left")
+    joined = joined.withColumn(new, F.pandas_udf(_kept, "text string, n_lines long, n_removed long")(F.col("text"), F.col(drop)))
+    rest = [F.col(f"{new}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*rest, F.col(f"{new}.n_lines").alias("n_lines"), F.col(f"{new}.n_removed").alias("n_removed"))
 
 
 def _kept(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
