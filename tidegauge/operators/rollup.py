@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.aggregates import Aggregate
 from tidegauge.functions.duration import Duration
 from tidegauge.plans.ranges import LEVELS, Plan, TimeRange, choose
-from tidegauge.sources.events import second_of
+from tidegauge.sources.events import between, second_of
 
 
 def slot_of(second: Column, level: str, origin: int) -> Column:
@@ -37,8 +37,8 @@ _COARSER = dict(zip(list(LEVELS)[:-1], list(LEVELS)[1:], strict=True))
 class Rollup:
     """levels: for each level a sparse table (*keys, slot, *fields of the aggregate), slot being the epoch second at which it starts.
 
-    Slots lie between origin and watermark, both whole seconds. Levels are lazy; stored() writes them, for
-    coarse levels to be read instead of events. Filters compare the bare slot column, so that they and the fields asked for reach the scan.
+    Slots lie between origin and watermark, both whole seconds. Levels are lazy: until stored() has written them, each is one
+    aggregation of the events, and a range is a filtered scan of those (raw). Filters compare the bare slot or timestamp column, so that they and the columns asked for reach the scan.
     """
 
     spec: Aggregate
@@ -47,33 +47,40 @@ class Rollup:
     levels: dict[str, DataFrame] = field(repr=False)
     keys: tuple[str, ...] = ()
     retention: dict[str, Retention] = field(default_factory=dict)
+    raw: tuple[DataFrame, Column, str] | None = field(default=None, repr=False)
 
     # -- building ---------------------------------------------------------------------------
 
     @classmethod
     def build(cls, events: DataFrame, spec: Aggregate, value: Column, ts: str, origin: int, watermark: int, keys: Sequence[str] = ()) -> Rollup:
-        """From raw events: seconds first, each level from a finer one. Rows before origin are late, rows at the watermark or beyond wait; rows without a timestamp don't count."""
-        rows = events.withColumn("slot", second_of(events, ts)).withColumn("_in", value)
-        rows = rows.where((F.col("slot") >= origin) & (F.col("slot") < watermark))
-        seconds = rows.groupBy(*keys, "slot").agg(*spec.lifted(F.col("_in")))
-        return cls._from_seconds(seconds, spec, origin, watermark, tuple(keys))
+        """From raw events. Rows before origin are late, rows at the watermark or beyond wait; rows without a timestamp don't count."""
+        rows = between(events, ts, origin, watermark).select(*keys, second_of(events, ts).alias("_second"), value.alias("_in"))
+        levels = {level: rows.withColumn("slot", slot_of(F.col("_second"), level, origin)).groupBy(*keys, "slot").agg(*spec.lifted(F.col("_in"))) for level in LEVELS}
+        return cls(spec, origin, watermark, levels, tuple(keys), raw=(events, value, ts))
 
     @classmethod
     def _from_seconds(cls, seconds: DataFrame, spec: Aggregate, origin: int, watermark: int, keys: tuple[str, ...]) -> Rollup:
-        levels, finer = {"second": seconds}, "second"
+        levels = {"second": seconds}
         for level in list(LEVELS)[1:]:
-            # weeks and years count from the origin, so they are made of what divides it
-            fits = level not in ("week", "year") or origin % LEVELS["day"] == 0
-            source = levels["day" if fits and level in ("week", "year") else finer if level not in ("week", "year") else "second"]
-            levels[level] = source.withColumn("slot", slot_of(F.col("slot"), level, origin)).groupBy(*keys, "slot").agg(*spec.combined())
-            finer = level
+            levels[level] = cls._coarser(levels, level, spec, origin, keys)
         return cls(spec, origin, watermark, levels, keys)
 
+    @staticmethod
+    def _coarser(levels: dict[str, DataFrame], level: str, spec: Aggregate, origin: int, keys: Sequence[str]) -> DataFrame:
+        """A level from the coarsest that its slots are made of: weeks and years count from the origin, so from days only if that begins one."""
+        names = list(LEVELS)
+        finer = names[names.index(level) - 1] if level not in ("week", "year") else "day" if origin % LEVELS["day"] == 0 else "second"
+        return levels[finer].withColumn("slot", slot_of(F.col("slot"), level, origin)).groupBy(*keys, "slot").agg(*spec.combined())
+
     def stored(self, path: str) -> Rollup:
-        """A snapshot: every level written under path, in slot order, and read again. load() reads it later."""
-        for level, df in self.levels.items():
+        """A snapshot: every level written under path, in slot order, each from a finer one that is already there, and read again. load() reads it later."""
+        spark, done = self._spark, {}
+        for level in LEVELS:
+            fresh = self.raw is not None and level != "second"
+            df = self._coarser(done, level, self.spec, self.origin, self.keys) if fresh else self.levels[level]
             df.repartitionByRange("slot").sortWithinPartitions("slot").write.mode("overwrite").parquet(f"{path}/{level}")
-        return self.load(next(iter(self.levels.values())).sparkSession, path, self.spec, self.origin, self.watermark, self.keys)
+            done[level] = spark.read.parquet(f"{path}/{level}")
+        return self.load(spark, path, self.spec, self.origin, self.watermark, self.keys)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, spec: Aggregate, origin: int, watermark: int, keys: Sequence[str] = ()) -> Rollup:
@@ -86,10 +93,10 @@ class Rollup:
         return df if n is None else df.where(F.col("slot") >= self._newest(name) - n * LEVELS[name])
 
     def with_retention(self, **policies: Retention) -> Rollup:
-        return replace(self, retention=self.retention | policies)
+        return replace(self, retention=self.retention | policies, raw=None)
 
     def cleared(self) -> Rollup:
-        return replace(self, levels={k: v.limit(0) for k, v in self.levels.items()})
+        return replace(self, levels={k: v.limit(0) for k, v in self.levels.items()}, raw=None)
 
     def _newest(self, level: str) -> int:
         """The end of the newest complete slot."""
@@ -103,7 +110,7 @@ class Rollup:
         if watermark <= self.watermark:
             return self
         more = Rollup.build(events, self.spec, value, ts, self.watermark, watermark, self.keys)
-        more = replace(Rollup._from_seconds(more.levels["second"], self.spec, self.origin, watermark, self.keys), origin=self.origin)
+        more = Rollup._from_seconds(more.levels["second"], self.spec, self.origin, watermark, self.keys)
         return self.merged(more)
 
     def merged(self, other: Rollup) -> Rollup:
@@ -111,7 +118,7 @@ class Rollup:
         if (self.origin, self.spec.name, self.keys) != (other.origin, other.spec.name, other.keys):
             raise ValueError("only roll-ups of one origin, aggregate and key merge")
         both = {k: v.unionByName(other.levels[k]).groupBy(*self.keys, "slot").agg(*self.spec.combined()) for k, v in self.levels.items()}
-        return replace(self, levels=both, watermark=max(self.watermark, other.watermark))
+        return replace(self, levels=both, watermark=max(self.watermark, other.watermark), raw=None)
 
     def deltas(self, since: int | None = None) -> DataFrame:
         """The change log: a row for each second from `since` to the watermark, null fields where nothing came."""
@@ -120,7 +127,7 @@ class Rollup:
 
     @classmethod
     def from_deltas(cls, deltas: DataFrame, spec: Aggregate, origin: int, watermark: int) -> Rollup:
-        some = deltas.where(F.coalesce(*[F.col(n).isNotNull() for n in spec.fields]) & F.greatest(*[F.col(n).isNotNull() for n in spec.fields]) if len(spec.fields) > 1 else F.col(next(iter(spec.fields))).isNotNull())
+        some = deltas.where(" or ".join(f"{n} is not null" for n in spec.fields))
         return cls._from_seconds(some.select("slot", *spec.fields), spec, origin, watermark, ())
 
     # -- questions --------------------------------------------------------------------------
@@ -157,8 +164,13 @@ class Rollup:
 
     def combine_range(self, start: int, end: int, keyed: bool = False, **options: object) -> DataFrame:
         """One row, or one for each key, with the fields and `value` of all seconds from start to before end; the identity where there is nothing."""
-        p = self.plan(start, end, **options)
         keys = self.keys if keyed else ()
+        if self.raw is not None:
+            events, value, ts = self.raw
+            r = TimeRange(start, end).clipped(self.origin, self.watermark)
+            rows = between(events, ts, r.start, max(r.start, r.end)).withColumn("_in", value)
+            return self._lowered(rows.groupBy(*keys).agg(*self.spec.lifted(F.col("_in"))), keys)
+        p = self.plan(start, end, **options)
         if p.kind == "inverse":
             whole = self.level("year").select(*keys, *self.spec.fields)
             out = self._pieces(p.pieces).select(*keys, *[(-F.col(n)).alias(n) for n in self.spec.fields])
@@ -198,6 +210,8 @@ class Rollup:
     def landmark(self, keyed: bool = False) -> DataFrame:
         """The whole history, from the coarsest level."""
         keys = self.keys if keyed else ()
+        if self.raw is not None:
+            return self.combine_range(self.origin, self.watermark, keyed)
         return self._lowered(self.level("year").groupBy(*keys).agg(*self.spec.combined()), keys)
 
     def at(self, level: str, i: int) -> DataFrame:
@@ -255,7 +269,8 @@ class Rollup:
 
     def where_key(self, condition: Column) -> Rollup:
         """The roll-up of some keys."""
-        return replace(self, levels={k: v.where(condition) for k, v in self.levels.items()})
+        raw = self.raw and (self.raw[0].where(condition), *self.raw[1:])
+        return replace(self, levels={k: v.where(condition) for k, v in self.levels.items()}, raw=raw)
 
     def star(self) -> Rollup:
         """The roll-up over all keys, without them."""
