@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import WORD, cut
+from tidegauge.llm.shared import WORD, cut, release
 from tidegauge.llm.textops import Words, runs, slices, utf8
 
 #: Bytes of text to which one automaton belongs, about.
@@ -21,12 +20,6 @@ _NULL = -(2**63)
 _WORD = re.compile(WORD)
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of what was cut."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     m, w = a, 1
     while 2 * w <= width:
@@ -160,26 +153,18 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
 
 def _phrases(base: DataFrame, asked: DataFrame, window: int) -> DataFrame:
-    """(first_doc, first_pos, n, phrase): the words of each passage. Passages and their document meet in document order, passages first."""
-    want = asked.select(F.col("first_doc").alias("doc"), F.lit(0).alias("kind"), "first_pos", "n", F.lit(None).cast("string").alias("text"))
-    firsts = asked.select(F.col("first_doc").alias("doc")).distinct()
-    have = base.join(firsts, "doc", "left_semi").select("doc", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("first_pos"), F.lit(0).cast("long").alias("n"), "text")
-    rows = want.unionByName(have).repartition("doc").sortWithinPartitions("doc", "kind", "first_pos")
+    """(first_doc, first_pos, n, phrase): the words of each passage. A document's passages are a list, no longer than its words, that joins its text: one shuffle of the texts, by sort and merge whatever the size."""
+    lists = asked.groupBy(F.col("first_doc").alias("doc")).agg(F.collect_list(F.struct("first_pos", "n")).alias("ranges"))
+    rows = base.join(lists.hint("merge"), "doc").select("doc", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, ranges = None, []
         for batch in batches:
             out = []
-            for d, kind, p, n, text in zip(*(batch.column(c) for c in ("doc", "kind", "first_pos", "n", "text")), strict=True):
-                d = d.as_py()
-                if d != doc:
-                    doc, ranges = d, []
-                if kind.as_py() == 0:
-                    ranges.append((p.as_py(), n.as_py()))
-                    continue
+            for d, text, ranges in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("ranges"), strict=True):
                 words = _WORD.findall(text.as_py())
                 # with rows that share a doc_id, a range may lie beyond this one's end
-                out += [{"first_doc": d, "first_pos": a, "n": m, "phrase": " ".join(words[a : a + m + window - 1])} for a, m in ranges if a + m + window - 1 <= len(words)]
+                at = [(x["first_pos"], x["n"]) for x in ranges.as_py()]
+                out += [{"first_doc": d, "first_pos": a, "n": m, "phrase": " ".join(words[a : a + m + window - 1])} for a, m in at if a + m + window - 1 <= len(words)]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("first_doc", pa.int64()), ("first_pos", pa.int64()), ("n", pa.int64()), ("phrase", pa.string())]))
 
     return rows.mapInArrow(run, "first_doc long, first_pos long, n long, phrase string")

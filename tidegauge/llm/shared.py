@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files that nothing refers to any more, such as those of what was cut."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have, in any case."""
     while name.lower() in {c.lower() for c in df.columns}:
