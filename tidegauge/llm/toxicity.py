@@ -155,10 +155,10 @@ def _positions(v: Vocabulary, start: np.ndarray, size: np.ndarray) -> tuple[np.n
     return v.ids[np.minimum(start + t, len(v.ids) - 1)], mask
 
 
-def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network | None:
+def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, least_steps: int = 400, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network | None:
     """A network whose highest window logit marks toxic texts; None unless both classes have texts with words.
 
-    For the first epochs any windows of a text stand for it; then, as its score is that of its highest window, that one, and one more at random of a text that isn't toxic. Adam; the classes weigh the same.
+    There are at least `epochs` epochs, and so many that a small sample too is learnt from in least_steps steps. For the first fifth of them any windows of a text stand for it; then, as its score is that of its highest window, that one, and one more at random of a text that isn't toxic. Adam; the classes weigh the same.
     A fifth of the windows of texts that aren't toxic are filled with one of their words: what isn't toxic once isn't so over and over.
     """
     v = Vocabulary(pa.array(texts, pa.large_string()))
@@ -168,9 +168,10 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 12
     net, r = Network.new(seed), np.random.default_rng(seed)
     weight = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum())) * len(toxic)
     m1, m2, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
+    epochs = max(epochs, -(-least_steps * batch // (len(texts) + int((toxic == 0).sum()))))
     for epoch in range(epochs):
         noise = r.random(len(start))
-        if epoch < 2:
+        if epoch < epochs / 5:
             order = np.lexsort((noise, text))
             nth = np.arange(len(order)) - np.searchsorted(text[order], text[order])
             pick = order[nth < 4]
@@ -202,7 +203,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, batch: int = 12
             for k, g in grad.items():
                 m1[k] += 0.1 * (g - m1[k])
                 m2[k] += 0.001 * (g * g - m2[k])
-                net.p[k] -= (rate / (1 + epoch * 0.3) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                net.p[k] -= (rate / (1 + 3 * epoch / epochs) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
