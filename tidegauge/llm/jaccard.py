@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,22 +202,23 @@ def _links(docs: DataFrame, families: DataFrame, width: int, percent: int) -> Da
     return by_block(dealt, lambda rows: _compare(rows, percent), "a long, b long")
 
 
-def by_block(dealt: DataFrame, work, schema: str) -> DataFrame:
-    """work(rows) -> dict of columns, for all rows that agree in family, i and j; a block is of bounded size, so a task holds that much."""
+def by_block(dealt: DataFrame, work: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, least: int = 1) -> DataFrame:
+    """work(rows) for all rows that agree in family, i and j, or for several such runs that have `least` rows together; a run is of bounded size, so a task holds that much."""
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows, held = None, [], 0
         for batch in batches:
             at = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True))
             start = 0
             for x in range(len(at) + 1):
                 if x == len(at) or (x > start and at[x] != at[x - 1]):
-                    if key is not None and at[start] != key:
+                    if key is not None and at[start] != key and held >= least:
                         yield from work(rows)
-                        rows = []
+                        rows, held = [], 0
                     key = at[start]
                     rows.append(batch.slice(start, x - start))
+                    held += x - start
                     start = x
         if rows:
             yield from work(rows)

@@ -98,14 +98,14 @@ def within(codes: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray,
     return good
 
 
-def near_pairs(lines: list[str], side: list[int], edits: int = EDITS, per_edit: int = PER_EDIT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions of near lines; side: with two values, only pairs over both."""
+def near_pairs(lines: list[str], run: np.ndarray, side: np.ndarray, edits: int = EDITS, per_edit: int = PER_EDIT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions of near lines of the same run. side: negative, or of lines with the same side no pairs are wanted."""
     codes, offsets = _codes(lines)
-    size, sides = np.diff(offsets), np.array(side)
-    two = len(set(side)) > 1
+    size = np.diff(offsets)
     bag = np.zeros((len(lines), 64), np.int16)  # an edit changes at most two counts by one
     np.add.at(bag, (np.repeat(np.arange(len(lines)), size), codes & 63), 1)
     sig, who, indexed = signatures(lines, edits, per_edit)
+    sig = mix64(sig ^ mix64(run[who].astype(np.uint64)))
     order = np.lexsort((who, sig))
     sig, who, indexed = sig[order], who[order], indexed[order]
     first = np.r_[np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]), len(sig)] if len(sig) else np.zeros(1, np.int64)
@@ -127,10 +127,7 @@ def near_pairs(lines: list[str], side: list[int], edits: int = EDITS, per_edit:
         w = np.unique(who[s:e])
         for i in range(len(w) - 1):
             rest = w[i + 1 :]
-            ok = np.abs(size[rest] - size[w[i]]) <= edits
-            if two:
-                ok &= sides[rest] != sides[w[i]]
-            rest = rest[ok]
+            rest = rest[(np.abs(size[rest] - size[w[i]]) <= edits) & ((side[rest] < 0) | (side[rest] != side[w[i]]))]
             if len(rest):
                 rest = rest[np.abs(bag[rest] - bag[w[i]]).sum(1) <= 2 * edits]
             if len(rest):
@@ -177,13 +174,12 @@ def near_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) ->
 
     def work(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
-        side = t.column("side").to_pylist()
-        if rows[0].column("i")[0].as_py() != rows[0].column("j")[0].as_py() and len(set(side)) < 2:
-            return
+        family, i, j, side = (t.column(c).to_numpy() for c in ("family", "i", "j", "side"))
+        run = np.cumsum(np.r_[0, (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         h, h2, doc, no, text = (t.column(c).to_pylist() for c in ("h", "h2", "doc", "no", "line"))
         place = [(d is not None, d or 0, x) for d, x in zip(doc, no, strict=True)]
         best: dict[int, int] = {}
-        for a, b in near_pairs(text, side, edits, per_edit):
+        for a, b in near_pairs(text, run, np.where(i == j, -1, side), edits, per_edit):
             for early, late in zip(a.tolist(), b.tolist(), strict=True):
                 if place[early] > place[late]:
                     early, late = late, early
@@ -192,7 +188,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) ->
         if best:
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in ix], k) for v, ix, k in ((h, best, pa.int64()), (h2, best, pa.int64()), (doc, best.values(), pa.int64()), (no, best.values(), pa.int32()))], ["h", "h2", "doc", "no"])
 
-    near = by_block(dealt, work, "h long, h2 long, doc long, no int").groupBy("h", "h2").agg(F.min(where).alias("near"))
+    near = by_block(dealt, work, "h long, h2 long, doc long, no int", 2 * BLOCK_LINES).groupBy("h", "h2").agg(F.min(where).alias("near"))
     again = firsts.join(cut(near, "near"), ["h", "h2"], "left").where("n > 1 or near is not null")
     again = cut(again.select("h", "h2", F.coalesce(F.least("first", "near"), "first").alias("earliest")), "repeated")
     return lines.select("doc", "text_id", "no", "h", "h2").join(broadcast_up_to(again, SMALL), ["h", "h2"]).where(where > F.col("earliest")).select("doc", "text_id", "no")
