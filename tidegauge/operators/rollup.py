@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.aggregates import Aggregate
@@ -179,6 +179,19 @@ class Rollup:
             rows = self._pieces(p.pieces)
         return self._lowered(rows.groupBy(*keys).agg(*self.spec.combined()), keys)
 
+    def analyze(self, start: int, end: int, **options: object) -> DataFrame:
+        """combine_range() with the plan's kind and its cost in combinations."""
+        p = self.plan(start, end, **options)
+        return self.combine_range(start, end, **options).withColumns({"kind": F.lit(p.kind), "cost": F.lit(p.cost).cast("long")})
+
+    def stats(self) -> DataFrame:
+        """(level, retained, first, newest, full): a level's retained slots, the first and newest of them, and whether a rotation is full."""
+        parts = [self.level(n).agg(F.count_distinct("slot").alias("retained"), F.min("slot").alias("first"), F.max("slot").alias("newest")).select(F.lit(n).alias("level"), "retained", "first", "newest", F.lit(self.watermark - self.origin >= CAPACITY[n] * LEVELS[n]).alias("full")) for n in LEVELS]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
     def _lowered(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         return df.select(*keep, *self.spec.filled()).withColumn("value", self.spec.lowered())
 
@@ -247,8 +260,6 @@ class Rollup:
         """(slot, fields) with running totals up to and with each slot. Totals run inside a unit of the second coarser level, and over the units' sums, so no window holds the whole level."""
         if not self.spec.invertible:
             raise ValueError(f"{self.spec.name} can't be subtracted")
-        from pyspark.sql import Window
-
         names = list(LEVELS)
         unit = names[min(names.index(level) + 2, len(names) - 1)]
         rows = self.level(level).groupBy("slot").agg(*self.spec.combined()).withColumn("_unit", slot_of(F.col("slot"), unit, self.origin))

@@ -61,6 +61,10 @@ for _name, (_spec, _out, _sql) in _LOWER.items():
     _add(f"tumbling_30m_{_name}", lambda spark, sf, spec=_spec, out=_out: windows.tumbling(read_table(spark, sf, "events"), spec, _cents(), "ts", 1800, ORIGIN, WATERMARK).selectExpr("window_start", "window_end", *out), f"SELECT w AS window_start, w + 1800 AS window_end, {_sql} FROM range({ORIGIN}, {WATERMARK}, 1800) t(w) LEFT JOIN {_E} e ON s - s % 1800 = w GROUP BY w")
 
 
+def _slot_sql(level: str, origin: int) -> str:
+    return f"s - (s - {origin}) % {LEVELS[level]}" if level in ("week", "year") else f"s - s % {LEVELS[level]}"
+
+
 def random_ranges(level: str, n: int = 20, seed: int = 7) -> list[tuple[int, int]]:
     """Ranges with both bounds on a level's slots, between origin and watermark."""
     r, size = random.Random(f"{level}{seed}"), LEVELS[level]
@@ -92,6 +96,8 @@ _add(
     lambda spark, sf: _events(spark, sf).explain(START, END),
     "SELECT * FROM (VALUES " + ", ".join(f"({i}, 'combined', '{lv}', {a}::BIGINT, {b}::BIGINT, {n}::BIGINT, 135::BIGINT)" for i, (lv, a, b, n) in enumerate((("second", START, 1_704_469_860, 10), ("minute", 1_704_469_860, 1_704_470_400, 9), ("hour", 1_704_470_400, 1_704_499_200, 8), ("day", 1_704_499_200, 1_705_708_800, 14), ("hour", 1_705_708_800, 1_705_752_000, 12), ("minute", 1_705_752_000, 1_705_753_800, 30), ("second", 1_705_753_800, END, 45)))) + ") t(seq, kind, level, start, \"end\", slots, cost)",
 )
+_add("range_analyze", lambda spark, sf: _events(spark, sf).analyze(START, END).select("value", "kind", "cost"), f"SELECT CAST(sum(v) AS BIGINT) AS value, 'combined' AS kind, 135::BIGINT AS cost FROM {_E} WHERE s >= {START} AND s < {END}")
+_add("level_stats", lambda spark, sf: _events(spark, sf).stats(), " UNION ALL ".join(f"SELECT '{lv}' AS level, count(DISTINCT slot) AS retained, min(slot) AS first, max(slot) AS newest, {'false' if lv in ('week', 'year') else 'true'} AS \"full\" FROM (SELECT {_slot_sql(lv, ORIGIN)} AS slot FROM {_E})" for lv in LEVELS))
 for _label, _n in (("15s", 15), ("1m", 60), ("1h", HOUR), ("1d", DAY), ("7d", 7 * DAY)):
     _add(f"interval_{_label}", lambda spark, sf, n=_n: _events(spark, sf, COUNT).interval(n).select("value"), f"SELECT count(*) AS value FROM {_E} WHERE s >= {WATERMARK - _n} AND s < {WATERMARK}")
 for _level, _a, _b in (("hour", START - START % HOUR, START - START % HOUR + 50 * HOUR), ("minute", START - START % 60, START - START % 60 + 200 * 60), ("second", START, START + 5000)):
@@ -109,10 +115,6 @@ def _levels(rollup: Rollup) -> DataFrame:
     return out
 
 
-def _slot_sql(level: str, origin: int) -> str:
-    return f"s - (s - {origin}) % {LEVELS[level]}" if level in ("week", "year") else f"s - s % {LEVELS[level]}"
-
-
 _add("landmark_by_level", lambda spark, sf: _levels(_events(spark, sf)), " UNION ALL ".join(f"SELECT '{lv}' AS level, count(DISTINCT {_slot_sql(lv, ORIGIN)}) AS slots, CAST(sum(v) AS BIGINT) AS value FROM {_E}" for lv in LEVELS))
 for _level in LEVELS:
     _add(f"rollup_{_level}", lambda spark, sf, level=_level: _events(spark, sf, ALL).level(level), f"SELECT {_slot_sql(_level, ORIGIN)} AS slot, min(v) AS min, max(v) AS max, count(v) AS count, CAST(sum(v) AS BIGINT) AS sum FROM {_E} GROUP BY 1")
