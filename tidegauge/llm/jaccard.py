@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.graph import connected_components
-from tidegauge.llm.shared import broadcast_up_to, cut, fresh
+from tidegauge.llm.shared import broadcast_up_to, cut, fresh, trim
 from tidegauge.llm.textops import Words, mix64, runs, slices, utf8
 
 #: Rows (16 to 24 bytes each) that may be broadcast; beyond, joins are shuffled.
 SMALL = 500_000
 #: Sets and tokens of them that a task compares at once, and sets in a group of the matrix.
 BLOCK_SETS, BLOCK_TOKENS, GROUP = 1024, 1_000_000, 32
+#: Frequent shingles that are told apart from the others, half a megabyte.
+COMMON = 65_536
 
 
 def sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -32,47 +34,72 @@ def sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield words.hash[:0]
 
 
-def size_classes(percent: int, most: int) -> list[tuple[int, int]]:
-    """(largest size, parts) of each class of set sizes, a factor of about 1.4 wide."""
+def size_classes(percent: int, most: int) -> list[tuple[int, int, int]]:
+    """(largest size, differing tokens at most, parts) of each class of set sizes, a factor of about 1.4 wide."""
     out, low = [], 1.0
     while low <= most:
         low *= 2**0.5
         top = int(np.ceil(low)) - 1
         if top >= 1 and (not out or top > out[-1][0]):
-            out.append((top, top * (100 - percent) // percent + 1))
+            d = top * (100 - percent) // percent
+            out.append((top, d, 1 + d + -(-3 * (d > 0) * (d + 1) // 10)))
     return out
 
 
-_CLASSES: dict[int, list[tuple[int, int]]] = {}
+_CLASSES: dict[int, list[tuple[int, int, int]]] = {}
 
 
-def part_hashes(s: np.ndarray, percent: int) -> np.ndarray:
+def part_hashes(s: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
     """Hashes of a set's parts, such that two different sets whose Jaccard similarity reaches percent / 100 share one.
 
     Of sets up to u tokens and their partners, of up to u / threshold, no two linked ones differ in more than
-    d = u * (1 / threshold - 1) tokens. Tokens are dealt by hash into d + 1 parts, so one part is the same in both.
-    A set has parts for its own size class and for each lower class that its smaller partners can be in. Classes with a single part are left out: only equal sets link there.
+    d = u * (1 / threshold - 1) tokens. Tokens are dealt by hash into somewhat more than d + 1 parts, and of any d + 1 of them one is the same in both.
+    A part is as strong as it has tokens that aren't in `common` (sorted; any tokens that are frequent, so that a shared passage joins no families; weaker are parts of common tokens, weakest empty ones).
+    A set leaves out its weak parts as long as d + 1 stay: the highest strength counts that so many reach. Equal parts are equally strong, so
+    a part that is the same in both, and that the set with the higher bar keeps, is kept by the other too.
+    A set has parts for its own size class and for each lower class that its smaller partners can be in. Classes without differences are left out: only equal sets link there.
     """
     n = len(s)
     if percent not in _CLASSES or _CLASSES[percent][-1][0] < n:
         _CLASSES[percent] = size_classes(percent, 2 * n)
     classes, out = _CLASSES[percent], []
-    own = next(i for i, (top, _) in enumerate(classes) if n <= top)
+    rare = np.ones(n, np.int64)
+    if common is not None and len(common):
+        rare[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s] = 0
+    own = next(i for i, c in enumerate(classes) if n <= c[0])
     for i in range(own, -1, -1):
-        top, k = classes[i]
+        top, d, k = classes[i]
         if percent * n > 100 * top:  # larger than any partner of the class
             break
-        if k < 2:
+        if not d:
             continue
         m = mix64(s + np.uint64(i + 1))
+        part = (((m >> np.uint64(33)) * np.uint64(k)) >> np.uint64(31)).astype(np.int64)
         sums = np.zeros(k, np.uint64)
-        np.add.at(sums, ((m >> np.uint64(33)) * np.uint64(k)) >> np.uint64(31), m)
-        out.append(mix64(sums ^ mix64(np.arange(k, dtype=np.uint64) + np.uint64((i + 1) << 32))))
+        np.add.at(sums, part, m)
+        strength = 2 * np.minimum(np.bincount(part, rare, k), 4) + (np.bincount(part, minlength=k) > 0)
+        bar = np.sort(strength)[k - d - 1]
+        out.append(mix64(sums ^ mix64(np.arange(k, dtype=np.uint64) + np.uint64((i + 1) << 32)))[strength >= bar])
     return np.concatenate(out) if out else s[:0]
 
 
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """At most COMMON shingles, sorted: those that the most documents of a sixteenth of the corpus hold, three at least. Which they are changes the work, never the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                x = list(sets_of(batch.column("text"), width))
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(x) if x else np.zeros(0, np.uint64)).view(np.int64))], ["s"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select("text").mapInArrow(run, "s long")
+    top = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "s").limit(COMMON).select("s").collect()
+    return np.sort(np.array([r.s for r in top], np.int64).view(np.uint64))
+
+
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, k1, k2, parts) of every row: set size, 128 bits that name the set, and part_hashes."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))  # at most COMMON
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -82,11 +109,12 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     n.append(len(s))
                     k1.append(mix64(s).sum(dtype=np.uint64))
                     k2.append(np.bitwise_xor.reduce(mix64(s + np.uint64(0x51)), initial=np.uint64(0)))
-                    parts.append(part_hashes(s, percent) if len(s) else s)
+                    parts.append(part_hashes(s, percent, common.value) if len(s) else s)
                 offsets = np.zeros(len(n) + 1, np.int32)
                 np.cumsum([len(p) for p in parts], out=offsets[1:])
                 values = pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n", "k1", "k2", "parts"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, parts array<long>")
 
