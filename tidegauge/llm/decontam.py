@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import SPACE, cut, fresh, lower_az
+from tidegauge.llm.shared import SPACE, broadcast_up_to, cut, fresh, lower_az
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Rows of the benchmark's sketches (16 bytes each) that may be broadcast; beyond, the join is shuffled.
@@ -52,7 +52,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
 
     Items with fewer than `width` words can only be found in texts that have the same words. Null and empty texts, on either side, are
     in no pair. A null doc_id is a document like others. Repeated rows: rows that share a doc_id are one
-    document of all their shingles; so are items. Empty tables give an empty result. Other columns are ignored.
+    document of all their shingles; so are items. An item without item_id is in no pair. Empty tables give an empty result. Other columns are ignored.
     """
     item = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     pairs = item.select("item_id", F.explode(F.arrays_zip(shingles_of(F.col("w"), width).alias("s"), hashes_of(F.col("w"), width).alias("h"))).alias("x"))
@@ -63,24 +63,20 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
     k = F.col("n_item") - F.ceil(F.lit(threshold) * F.col("n_item") - 1e-9) + 1
     low = sized.groupBy("item_id", "n_item", "part").agg(F.sort_array(F.collect_set(F.struct(F.xxhash64("part", "h").alias("rank"), "h"))).alias("low"))
     sketch = cut(low.select("item_id", "n_item", F.explode(F.slice("low", F.lit(1), k.cast("int"))).alias("x")).select("item_id", "n_item", "x.h"), "sketches")
-    probe = broadcast_one(sketch.select("h").distinct())
+    probe = broadcast_up_to(sketch.select("h").distinct(), SMALL)
     words = docs.select("doc_id", words_of(F.col("text")).alias("w"))
     met = words.select("doc_id", F.explode(hashes_of(F.col("w"), width)).alias("h")).join(probe, "h").distinct()
     met = cut(met, "met")
-    found = cut(met.join(broadcast_one(sketch), "h").select("doc_id", "item_id", "n_item").distinct(), "candidates")
+    found = cut(met.join(broadcast_up_to(sketch, SMALL), "h").select("doc_id", "item_id", "n_item").distinct(), "candidates")
     return verified(docs, pairs, found, width, threshold)
 
 
-def broadcast_one(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def verified(docs: DataFrame, pairs: DataFrame, found: DataFrame, width: int, threshold: float) -> DataFrame:
     """Of the candidates found, those whose shared distinct shingles, as words, reach the threshold."""
     ids = found.select(F.col("doc_id").alias("id")).distinct()
     some = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     held = some.select("doc_id", F.explode(shingles_of(words_of(F.col("text")), width)).alias("s"))
-    shared = held.join(broadcast_one(pairs.select("item_id", "s")), "s").groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_shared"))
+    shared = held.join(broadcast_up_to(pairs.select("item_id", "s"), SMALL), "s").groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_shared"))
     f = found.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "n_item")
     out = shared.join(f, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")))
     return out.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9).select("doc_id", "item_id", "n_item", "n_shared", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a new local one only where the setting is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
+        local = tempfile.mkdtemp(prefix="tidegauge-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        path = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -54,6 +60,13 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on for later tasks, and keep it otherwise."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have, in any case."""
     while name.lower() in {c.lower() for c in df.columns}:
