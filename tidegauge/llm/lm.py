@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import cut
+from tidegauge.llm.shared import cut, release
 from tidegauge.llm.textops import Words, mix64, slices, utf8
 
 #: Words in a class that has a softmax of its own, classes of either kind, and weight rows that features are hashed to.
@@ -55,24 +56,32 @@ def _suffix(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64(SUFFIXES - 1)).astype(np.int64)
 
 
-def summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], slots: int = 16) -> np.ndarray:
-    """The sum of a vector of fixed length that each task makes of its rows. Its pieces are summed in `slots` tasks, so the driver gets one vector however many tasks there are."""
+def summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], kind: type = np.float64, slots: int = 16) -> np.ndarray:
+    """The sum of a vector of fixed length that each task makes of its rows.
+
+    Vectors are cut into `slots` pieces. Pieces are summed in groups, about as many as each has members, and then over the groups; so the largest task reads in proportion to the
+    root of the number of tasks, and the driver gets one vector. kind: what numbers travel as; counts stay exact as doubles.
+    """
+    groups = max(1, round(df.rdd.getNumPartitions() ** 0.5 / 4))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = np.array_split(part(batches).astype(np.float32), slots)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slots), pa.int32()), pa.array([p.tobytes() for p in x], pa.binary())], ["slot", "piece"])
+        x = np.array_split(part(batches).astype(kind), slots)
+        group = TaskContext.get().partitionId() % groups
+        yield pa.RecordBatch.from_arrays([pa.array(range(slots), pa.int32()), pa.array([group] * slots, pa.int32()), pa.array([p.tobytes() for p in x], pa.binary())], ["slot", "group", "piece"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for s, p in zip(batch.column("slot").to_pylist(), batch.column("piece").to_pylist(), strict=True):
-                x = np.frombuffer(p, np.float32)
-                sums[s] = sums[s] + x if s in sums else x.astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slot", "piece"])
+            for s, g, p in zip(*(batch.column(c).to_pylist() for c in ("slot", "group", "piece")), strict=True):
+                x = np.frombuffer(p, kind).astype(np.float64)
+                sums[s, g] = sums[s, g] + x if (s, g) in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in sums], pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([x.astype(kind).tobytes() for x in sums.values()], pa.binary())], ["slot", "group", "piece"])
 
-    schema = "slot int, piece binary"
-    rows = df.mapInArrow(pieces, schema).repartition(slots, "slot").mapInArrow(total, schema).collect()
-    return np.concatenate([np.frombuffer(r.piece, np.float64) for r in sorted(rows, key=lambda r: r.slot)]) if rows else np.zeros(0)
+    schema = "slot int, group int, piece binary"
+    rows = df.mapInArrow(pieces, schema).repartition(slots * groups, "slot", "group").mapInArrow(total, schema)
+    rows = rows.repartition(slots, "slot").mapInArrow(total, schema).collect()
+    release(df)
+    return np.concatenate([np.frombuffer(r.piece, kind).astype(np.float64) for r in sorted(rows, key=lambda r: r.slot)]) if rows else np.zeros(0)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -276,17 +285,15 @@ def fit(base: DataFrame, words: DataFrame) -> tuple[Model, int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
     def by_suffix(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros((3, SUFFIXES))
+        out = np.zeros((2, SUFFIXES))
         for batch in batches:
             for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 s, c = _suffix(np.frombuffer(k, np.uint64)), np.frombuffer(c, np.int64)
-                # sums in two parts, that single precision holds exactly
-                out += np.stack([np.bincount(s, x, SUFFIXES) for x in (c % 4096, c // 4096, c > 0)])
+                out += np.stack([np.bincount(s, x, SUFFIXES) for x in (c, c > 0)])
         return out.ravel()
 
     top = whole.mapInArrow(most, "key long, n long").where("n > 0").orderBy(F.desc("n"), "key").limit(HEAD_CLASSES * IN_CLASS).collect()
-    sums = summed(whole, by_suffix).reshape(-1, SUFFIXES) if top else np.zeros((3, SUFFIXES))
-    per_suffix, distinct = sums[0] + 4096 * sums[1], sums[2]
+    per_suffix, distinct = summed(whole, by_suffix).reshape(-1, SUFFIXES) if top else np.zeros((2, SUFFIXES))
     head = np.array([int(_END), *(r.key % 2**64 for r in top if r.key % 2**64 != int(_END))][: HEAD_CLASSES * IN_CLASS], np.uint64)
     n_head = np.array([{r.key % 2**64: r.n for r in top}.get(int(k), 0) for k in head], np.float64)
     cluster = _clusters(summed(learnt, follows).reshape(SUFFIXES, 64), TAIL_CLASSES) if top else np.zeros(SUFFIXES, np.int64)
@@ -326,7 +333,7 @@ def fit(base: DataFrame, words: DataFrame) -> tuple[Model, int, int]:
         return _pack(c, w)
 
     sent = spark.sparkContext.broadcast(model)  # of fixed size, as are the sums
-    seen = summed(learnt, observed)
+    seen = summed(learnt, observed, np.float32)
     c, w = seen[: zero.size].reshape(zero.shape), seen[zero.size :].reshape(model.words.shape)
     prior = c[:ROWS].sum(0) + 1
     prior /= prior.sum()
@@ -338,7 +345,7 @@ def fit(base: DataFrame, words: DataFrame) -> tuple[Model, int, int]:
     bound_w = reach * (w + w.sum(1, keepdims=True) / IN_CLASS) / 2 + 2
     for i in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
-        g = summed(learnt.where(F.col("slice") == i % SLICES), slope)
+        g = summed(learnt.where(F.col("slice") == i % SLICES), slope, np.float32)
         if len(g):
             rate = 0.5 / (1 + 0.3 * i)
             model.classes = (model.classes + rate * np.clip(g[: zero.size].reshape(zero.shape) / bound_c, -2, 2)).astype(np.float32)
@@ -360,6 +367,7 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     out = is_held_out(F.col("doc_id")) if held_out is None else held_out
     base = cut(docs.select("doc_id", "text", out.alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"), F.spark_partition_id().alias("shard")), "documents")
     words = vocabulary(base)
+    release(base)
     model, total, kinds = fit(base, words)
     sent = spark.sparkContext.broadcast(model)
     none = F.lit(None)
