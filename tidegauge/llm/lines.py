@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.graph import connected_components
 from tidegauge.llm.jaccard import by_block
-from tidegauge.llm.shared import broadcast_up_to, cut, fresh
+from tidegauge.llm.shared import broadcast_up_to, cut, fresh, trim
 from tidegauge.llm.textops import mix64, powers, slices
 
 #: Rows (16 to 24 bytes each) that may be broadcast; beyond, joins are shuffled.
@@ -154,11 +154,12 @@ def near_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) ->
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 1_000_000):
                 all_lines = list({x for t in batch.column("text").to_pylist() for x in t.split("\n") if len(x) >= per_edit and x.strip(" \t\n\v\f\r")})
                 sig, who, indexed = signatures(all_lines, edits, per_edit)
                 ids = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in all_lines], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[who]), pa.array(indexed)], ["sig", "h", "indexed"])
+        trim()
 
     signed = base.select("text").mapInArrow(sign, "sig long, h long, indexed boolean")
     shared = signed.groupBy("sig").agg(F.min("h").alias("a"), F.max("h").alias("z"), F.max("indexed").alias("indexed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.shared import trim
 from tidegauge.llm.textops import Words, mix64, slices, utf8
 
 WINDOW, STRIDE = 32, 16
@@ -47,8 +49,8 @@ class Vocabulary:
             for i in range(n):
                 h = h * np.uint64(0x100000001B3) + b[i : len(b) - n + 1 + i]
             own = owner[: len(h)] == owner[n - 1 :]
-            grams.append((mix64(h[own]) % np.uint64(GRAM_ROWS)).astype(np.int64))
-            owners.append(owner[: len(h)][own])
+            grams.append((mix64(h[own]) % np.uint64(GRAM_ROWS)).astype(np.int32))
+            owners.append(owner[: len(h)][own].astype(np.int32))
         if grams:
             owners = np.concatenate(owners)
             order = np.argsort(owners, kind="stable")
@@ -78,7 +80,8 @@ class Network:
 
     def inputs(self, v: Vocabulary, some: np.ndarray | None = None) -> np.ndarray:
         """The vector of each distinct word (of `some` of them): its own, and the sum of its character n-grams' over the root of their number."""
-        some = np.arange(len(v.word)) if some is None else some
+        if some is None:  # in pieces, since a word has a dozen vectors to sum
+            return np.concatenate([self.inputs(v, np.arange(a, min(a + 20_000, len(v.word)))) for a in range(0, max(1, len(v.word)), 20_000)])
         size = v.gram_first[some + 1] - v.gram_first[some]
         grams = self.p["gram"][v.grams[_ranges(v.gram_first[some], size)]]
         sums = np.zeros((len(some), WIDTH), np.float32)
@@ -227,10 +230,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     ids = {r.doc_id: r.toxic for part in chosen for r in part.collect()}
     if len(set(ids.values())) < 2:
         return None
-    few = docs.sparkSession.createDataFrame([(k,) for k in ids], "doc_id long")
-    rows = docs.select("doc_id", "text").where("text is not null").where(F.length("text") <= sample_chars).join(F.broadcast(few), "doc_id").collect()
-    rows = sorted({(r.doc_id, r.text) for r in rows})
-    return train([t for _, t in rows], np.array([ids[i] for i, _ in rows]))
+    few = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, toxic int")
+    rows = docs.select("doc_id", "text").where("text is not null").where(F.length("text") <= sample_chars).join(F.broadcast(few), "doc_id")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = sorted({x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)})
+        net = train([t for _, t, _ in seen], np.array([y for _, _, y in seen]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+        del seen, net
+        trim()
+
+    # the sample is bounded: one task learns from it, so that the driver doesn't hold it
+    return pickle.loads(rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "net binary").head().net)
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -251,8 +262,9 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for batch in slices(whole):
+            for batch in slices(whole, 1_000_000):
                 yield batch.append_column("toxicity_score", pa.array(run(batch.column("text")), pa.float64()))
+        trim()
 
     names = [c for c in docs.columns if c != "toxicity_score"]
     kept = docs.select(*names)
