@@ -222,6 +222,18 @@ def test_lm(spark):
     assert lm.score(clashing(spark, rows).limit(0)).count() == 0
 
 
+def test_lm_learns_words_of_every_slice(spark):
+    import pyarrow as pa
+
+    rows = [(k, f"left{k} right{k} " * 30, False, k, 0) for k in range(lm.SLICES)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, slice long, shard int")
+    model = lm.fit(base, lm.vocabulary(base))[0]
+    for k in range(lm.SLICES):
+        t = lm.Tokens(pa.array([f"left{k} right{k}"]))
+        after_left = model.in_features(t, np.array([1]), model.place(t.keys)[0][1:2])[0, 0]
+        assert model.words[after_left].any(), k
+
+
 def test_lm_is_a_distribution():
     """Over all known tokens and an unseen one of each tail class the probabilities of any context add up to 1."""
     import pyarrow as pa

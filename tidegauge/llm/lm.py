@@ -18,8 +18,8 @@ from tidegauge.llm.textops import Words, mix64, slices, utf8
 IN_CLASS, HEAD_CLASSES, TAIL_CLASSES = 32, 16, 16
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 ROWS, SUFFIXES, IN_ROWS = 1 << 14, 1 << 12, 1 << 13
-#: Gradient rounds, each over another one of SLICES equal parts of the training documents.
-ROUNDS, SLICES = 4, 8
+#: Gradient rounds, each over another one of SLICES equal parts of the training documents; as many of both, so that each document is in one.
+ROUNDS = SLICES = 4
 _END = np.uint64(0xE0D << 12)
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b".,!?;:")] = True
@@ -263,7 +263,7 @@ def fit(base: DataFrame, words: DataFrame) -> tuple[Model, int, int]:
 
     1. How often each suffix follows each of 64 groups of suffixes clusters the suffixes into tail classes.
     2. All training tokens give the counts of each feature with each class, and with each word of a head class. They set the first weights, and how long a weight's steps are.
-    3. Gradient rounds: tasks sum observed minus expected counts over a slice of the documents, the driver takes the step.
+    3. Gradient rounds: tasks sum observed minus expected counts over a slice of the documents, the driver takes the step. The slices of all rounds together are all training documents.
     """
     spark, learnt = base.sparkSession, base.where("not held_out")
 
