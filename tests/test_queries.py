@@ -41,6 +41,12 @@ def test_bloom_misses_nothing(spark):
     assert {tuple(r) for r in OWN.QUERIES["bitmap_membership"](spark, SF).collect()} <= got
 
 
+def test_bloom_is_asked_for_every_user(spark, duck):
+    got = {tuple(r) for r in OWN.QUERIES["bloom_membership"](spark, SF).collect()}
+    want = set(duck.sql("SELECT DISTINCT s - s % 3600, user_id FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)").fetchall())
+    assert want <= got
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(OWN.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -167,7 +167,7 @@ def _with_slot(spark: SparkSession, sf: str, level: str) -> tuple[DataFrame, obj
 _add("distinct_users_by_day", lambda spark, sf: sets.counted(sets.bitmaps(*_with_slot(spark, sf, "day"), "user_id")), f"SELECT s - s % {DAY} AS slot, CAST(count(DISTINCT user_id) AS BIGINT) AS n_distinct FROM {_E} GROUP BY 1")
 _add("distinct_users_by_week", lambda spark, sf: sets.counted(sets.united(sets.bitmaps(*_with_slot(spark, sf, "hour"), "user_id"), slot_of(F.col("slot"), "week", ORIGIN))), f"SELECT {_slot_sql('week', ORIGIN)} AS slot, CAST(count(DISTINCT user_id) AS BIGINT) AS n_distinct FROM {_E} GROUP BY 1")
 _add("bitmap_membership", lambda spark, sf: sets.members(sets.bitmaps(*_with_slot(spark, sf, "hour"), "user_id"), read_table(spark, sf, "events").where("user_id % 7 = 3"), "user_id"), f"SELECT DISTINCT s - s % 3600 AS slot, user_id AS value FROM {_E} WHERE user_id % 7 = 3")
-_add("bloom_membership", lambda spark, sf: sets.may_contain(sets.blooms(*_with_slot(spark, sf, "hour"), "user_id"), read_table(spark, sf, "events").where("user_id % 7 = 3"), "user_id"))
+_add("bloom_membership", lambda spark, sf: sets.may_contain(sets.blooms(*_with_slot(spark, sf, "hour"), "user_id"), read_table(spark, sf, "events"), "user_id"))
 
 
 def _prefix(spark: SparkSession, sf: str) -> DataFrame:
