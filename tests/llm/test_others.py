@@ -93,6 +93,19 @@ def test_urls(spark):
     assert urls.url_filter(df.limit(0)).count() == 0
 
 
+def test_urls_second_tags_and_relative_targets(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "http://a.org/x", link.format("/y") + link.format("http://b.net/q")), (2, "http://c.org/x", refresh.format("/y") + refresh.format("http://b.net/q")),
+        (3, "http://d.org/s/x?k", link.format("page.html")), (4, "http://e.org/s/x", link.format("?id=2")), (5, "http://f.org/s/x", link.format("../t/./p")), (6, "http://g.org", link.format("p")), (7, "http://h.org/x", link.format("mailto:x@y.net")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(x.a, x.b) for x in urls.links_of(pages).collect()}
+    want = {("a.org/x", "a.org/y"), ("a.org/x", "b.net/q"), ("c.org/x", "c.org/y"), ("c.org/x", "b.net/q"), ("d.org/s/x?k", "d.org/s/page.html"), ("e.org/s/x", "e.org/s/x?id=2"), ("f.org/s/x", "f.org/t/p"), ("g.org", "g.org/p")}
+    assert got == want
+    assert {x.page_id: x.verdict for x in urls.url_filter(pages).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
+
+
 @pytest.mark.parametrize("text", ["", "plain", "<|im_end|>", "<\\|im_start|>", "a<", "<\\\\|x", "\n<|\n|>", "<<||>>", "퟿ é \U0001f600"])
 def test_chat_round_trip(text):
     turns = [("user", text), ("as\n\\ns<|im_end|>t", text), ("assistant", text)]

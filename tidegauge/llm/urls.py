@@ -44,17 +44,28 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> C
     return reduce(step, reversed(ordered), nothing)
 
 
+def resolved(url: Column, to: Column) -> Column:
+    """The url that a link in the page at url names. `.` and `..` in paths are resolved for relative targets; targets of other schemes (`mailto:`) name nothing."""
+    root, path = F.concat(F.lit("http://"), host_of(url)), path_of(url)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    parts = F.split(F.concat(folder, F.regexp_extract(to, r"^([^?#]*)", 1)), "/")
+    up = lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).when(x == ".", out).otherwise(F.concat(out, F.array(x)))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    below = F.concat(F.array_join(F.aggregate(F.slice(parts, 2, 1_000_000), F.array(F.lit("")), up), "/"), ends, F.regexp_extract(to, r"^[^?#]*(.*)", 1))
+    full = F.when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(root, to)).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+    return full.when(to.startswith("?"), F.concat(root, path, to)).when(to.startswith("#"), url).otherwise(F.concat(root, below))
+
+
 def links_of(pages: DataFrame) -> DataFrame:
-    """(a, b): from each page's address to what its canonical link, and a refresh to another url, name. Relative targets resolve only against the host (`/...`)."""
+    """(a, b): from each page's address to what its canonical link, and a refresh to another url, name. All such tags count; relative targets resolve against the page's url (see resolved)."""
     attr = r"[^>]*?\s{name}\s*=\s*[\"']?{value}"
     link = r"(?is)<link\b(?=" + attr.format(name="rel", value=r"canonical\b") + r")" + attr.format(name="href", value=r"([^\"'\s>]+)")
     meta = r"(?is)<meta\b(?=" + attr.format(name="http-equiv", value=r"refresh\b") + r")[^>]*?\surl\s*=\s*'?([^\"'\s>;]+)".replace(r"\surl", r"[\s;\"']url")
     # most pages have neither; a plain substring test spares them the expression
     html = F.col("html")
     some = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
-    found = some.select("url", F.explode(F.array(F.regexp_extract(html, link, 1), F.regexp_extract(html, meta, 1))).alias("to")).where("to <> ''")
-    to = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), F.col("to"))).otherwise(F.col("to"))
-    return found.select(address(F.col("url")).alias("a"), address(to).alias("b")).where("a is not null and b is not null and a <> b")
+    found = some.select("url", F.explode(F.concat(F.regexp_extract_all(html, F.lit(link), F.lit(1)), F.regexp_extract_all(html, F.lit(meta), F.lit(1)))).alias("to")).where("to <> ''")
+    return found.select(address(F.col("url")).alias("a"), address(resolved(F.col("url"), F.col("to"))).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, edges: DataFrame | None = None) -> DataFrame:
