@@ -235,39 +235,143 @@ def test_lm(spark):
     assert lm.score(clashing(spark, rows).limit(0)).count() == 0
 
 
-def test_lm_learns_words_of_every_slice(spark):
+def small_model(spark):
+    """Training rows of which the words in slice k are its own, and what is learnt from them."""
+    r = random.Random(3)
+    rows = [(k, " ".join(f"left{k} right{k} " + r.choice((f"Rare{i}x{k}ung", f"rare{i % 7}.", "the")) for i in range(200)), False, k % lm.SLICES, k % 2) for k in range(3 * lm.SLICES)]
+    base = spark.createDataFrame([*rows, (99, "left0 never seen, RARE3.", True, 0, 1)], "doc_id long, text string, held_out boolean, slice long, shard int")
+    learnt = base.where("not held_out")
+    cluster = lm.clusters_of(learnt)
+    words = lm.vocabulary(base, cluster, 2)
+    return rows, words, lm.fit(learnt, words, cluster)
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return small_model(spark)
+
+
+def test_lm_learns_words_of_every_slice(small):
     import pyarrow as pa
 
-    rows = [(k, f"left{k} right{k} " * 30, False, k, 0) for k in range(lm.SLICES)]
-    base = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, slice long, shard int")
-    model = lm.fit(base, lm.vocabulary(base))[0]
+    model = small[2][0]
     for k in range(lm.SLICES):
         t = lm.Tokens(pa.array([f"left{k} right{k}"]))
-        after_left = model.in_features(t, np.array([1]), model.place(t.keys)[0][1:2])[0, 0]
-        assert model.words[after_left].any(), k
+        kind, place = (x[t.ids] for x in model.place(t.keys))
+        assert place[1] >= 0
+        assert model.words[model.in_features(t, np.array([1]), kind[1:2])[0, 0]].any(), k
+
+
+def plain_mix(x):
+    m = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def plain_log(m, tables, keys, counts):
+    """log p of the tokens `keys` of one text, one after another; counts: {(key, cluster before): n}."""
+    m64, bits, in_bits = (1 << 64) - 1, (len(m.classes) - lm.SUFFIXES).bit_length() - 1, len(m.words).bit_length() - 1
+    rank, out = {int(k): i for i, k in enumerate(m.head)}, []
+    word = Counter()
+    for (k, _), n in counts.items():
+        word[k] += n
+    for i, k in enumerate(keys):
+        a, b = keys[i - 1] if i > 0 else 1, keys[i - 2] if i > 1 else 1
+        rows = [plain_mix(a + 11 & m64) >> 64 - bits, plain_mix(plain_mix(a + 11 & m64) + 3 * b & m64) >> 64 - bits, plain_mix(b + 13 & m64) >> 64 - bits, len(m.classes) - lm.SUFFIXES + a % lm.SUFFIXES]
+        logits = [float(m.bias[c]) + sum(float(m.classes[r][c]) for r in rows) for c in range(lm.CLASSES)]
+        c = rank[k] // lm.IN_CLASS if k in rank else lm.HEAD_CLASSES + int(m.cluster[k % lm.SUFFIXES])
+        lp = logits[c] - math.log(sum(math.exp(x) for x in logits))
+        if k in rank:
+            s = plain_mix(c + 71)
+            rows = [plain_mix((x ^ s) & m64) >> 64 - in_bits for x in (a + 1, b + 2, a % lm.SUFFIXES + 3)]
+            logits = [float(m.in_bias[c][j]) + sum(float(m.words[r][j]) for r in rows) for j in range(lm.IN_CLASS)]
+            lp += logits[rank[k] % lm.IN_CLASS] - math.log(sum(math.exp(x) for x in logits))
+        else:
+            after, kind = int(m.cluster[a % lm.SUFFIXES]), c - lm.HEAD_CLASSES
+            lp += math.log(word[k] + 0.5) + plain_tail(m, tables, kind, after, word[k], counts.get((k, after), 0)) - math.log(tables[-1][kind][after])
+        out.append(lp)
+    return out
+
+
+def plain_tail(m, tables, kind, after, n, both):
+    w = 0.0
+    for z in tables[:-1] if both else []:
+        e = m.seen[kind][after] * (n + 0.5) * math.exp(w) / z[kind][after]
+        w += min(2.0, max(-2.0, (both - e - lm.SHRINK * w) / (e + lm.SHRINK)))
+    return w
+
+
+def test_lm_scores_as_plain_loops_do(small):
+    """Counts, the tail classes' tables and every token's log p, against loops over Python numbers."""
+    import pyarrow as pa
 
+    rows, words, (m, total, kinds) = small
+    keys_of = lambda t: [int(t.keys[i]) for i in t.ids]
+    counts, head = Counter(), set(m.head.tolist())
+    for row in rows:
+        k = keys_of(lm.Tokens(pa.array([row[1]])))
+        counts.update((x, int(m.cluster[(k[i - 1] if i else 1) % lm.SUFFIXES])) for i, x in enumerate(k))
+    word = Counter()
+    for (k, _), n in counts.items():
+        word[k] += n
+    assert (total, kinds) == (sum(word.values()), len(word))
+    tail = [k for k in word if k not in head]
+    assert len(tail) > 50 and len(head) == lm.HEAD_CLASSES * lm.IN_CLASS
+    kind = lambda k: int(m.cluster[k % lm.SUFFIXES])
+    tables = [[[0.5 + sum(word[k] + 0.5 for k in tail if kind(k) == g)] * lm.TAIL_CLASSES for g in range(lm.TAIL_CLASSES)]]
+    for _ in range(lm.TAIL_STEPS):
+        now = [list(x) for x in tables[0]]
+        for (k, after), n in counts.items():
+            if k not in head:
+                now[kind(k)][after] += (word[k] + 0.5) * math.expm1(plain_tail(m, [*tables, None], kind(k), after, word[k], n))
+        tables.append(now)
+    assert np.allclose(m.tables, tables)
+    parts = [lm._unpacked(b) for b in pa.Table.from_pylist([r.asDict() for r in words.where("shard = 1").collect()]).to_batches()]
+    text = lm.Tokens(pa.array([" ".join(rows[1][1].split()[5:40] + rows[3][1].split()[-20:])]))
+    c, inside = lm.Counts(parts, m).of(text)
+    assert c.tolist() == [word[k] for k in keys_of(text)]
+    assert np.allclose(m.log(text, inside), plain_log(m, tables, keys_of(text), counts), atol=1e-4)
+
+
+def test_lm_slope_is_that_of_the_log_probability():
+    import pyarrow as pa
 
-def test_lm_is_a_distribution():
+    r = np.random.default_rng(4)
+    t = lm.Tokens(pa.array(["a b c a b d", "b a. c"]))
+    m = lm.Model(t.keys[:4], r.integers(0, lm.TAIL_CLASSES, lm.SUFFIXES), r.normal(size=(8 + lm.SUFFIXES, lm.CLASSES)), r.normal(size=(8, lm.IN_CLASS)), r.normal(size=lm.CLASSES), r.normal(size=(lm.HEAD_CLASSES, lm.IN_CLASS)), None)
+    c, w = np.zeros(m.classes.shape[::-1]), np.zeros(m.words.shape[::-1])
+    lm.slope(m, t, c, w)
+    whole = lambda: m.log(t, np.zeros(len(t.ids))).sum()
+    for x, g in ((m.classes, c), (m.words, w)):
+        for _ in range(25):
+            i, j = r.integers(0, 8), r.integers(0, x.shape[1])
+            x[i, j] += 1e-4
+            up = whole()
+            x[i, j] -= 2e-4
+            down = whole()
+            x[i, j] += 1e-4
+            assert abs((up - down) / 2e-4 - g[j, i]) < 1e-3
+
+
+def test_lm_is_a_distribution(spark):
     """Over all known tokens and an unseen one of each tail class the probabilities of any context add up to 1."""
     import pyarrow as pa
 
-    r = np.random.default_rng(1)
-    known = [f"w{i}" for i in range(600)]
-    keys = lm.Tokens(pa.array([" ".join(known)])).keys
-    counts = r.integers(1, 50, len(keys))
-    head = np.array([lm._END, *keys[:40]], np.uint64)
-    cluster = r.integers(0, lm.TAIL_CLASSES, lm.SUFFIXES)
-    tail = np.bincount(cluster[lm._suffix(keys[40:-1])], counts[40:-1] + 0.5, lm.TAIL_CLASSES) + 0.5
-    bias = np.full((lm.HEAD_CLASSES, lm.IN_CLASS), -30, np.float32)
-    bias.ravel()[: len(head)] = 0
-    classes = r.normal(size=(lm.ROWS + lm.SUFFIXES, lm.CLASSES)).astype(np.float32)
-    no = r.normal(size=lm.CLASSES).astype(np.float32)
-    no[2:16] = -30  # head classes without words
-    m = lm.Model(head, cluster, tail, classes, r.normal(size=(lm.IN_ROWS, lm.IN_CLASS)).astype(np.float32) * 0.1, no, bias)
-    total = 0.0
-    for w, n in [*zip([*known, ""], counts, strict=True)]:
-        t = lm.Tokens(pa.array([f"w3 w7 {w}".strip()]))
-        total += 10 ** m.log10(t, np.full(len(t.keys), n))[2]
-    one = next(m.blocks(lm.Tokens(pa.array(["w3 w7"]))))
-    total += sum(one[3][2, lm.HEAD_CLASSES + k] * 0.5 / tail[k] for k in range(lm.TAIL_CLASSES))
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{min(int(r.expovariate(0.004)), 1500)}{r.choice(('a', 'ing', 'ed'))}" for _ in range(400)), False, i % lm.SLICES, 0) for i in range(20)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, slice long, shard int")
+    cluster = lm.clusters_of(base)
+    words = lm.vocabulary(base, cluster, 1)
+    m, _, kinds = lm.fit(base, words, cluster)
+    assert kinds > lm.HEAD_CLASSES * lm.IN_CLASS
+    counts = lm.Counts([lm._unpacked(b) for b in pa.Table.from_pylist([x.asDict() for x in words.where("shard = 0").collect()]).to_batches()], m)
+    known = sorted({w for x in rows for w in x[1].split()})
+    t = lm.Tokens(pa.array([f"{known[3]} {known[9]} {w}".strip() for w in [*known, ""]]))
+    third = t.first[:-1] + 2
+    total = np.exp(m.log(t, counts.of(t)[1]))[third].sum()
+    unseen = lm.Tokens(pa.array([f"{known[3]} {known[9]}"]))
+    _, _, _, p, *_ = next(m.blocks(unseen))
+    after = m.cluster[lm._suffix(unseen.keys)][unseen.before(1)[2]]
+    total += sum(p[lm.HEAD_CLASSES + g, 2] / p[:, 2].sum() * 0.5 / m.tables[-1][g, after] for g in range(lm.TAIL_CLASSES))
     assert abs(total - 1) < 1e-3

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -11,44 +11,42 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import cut, release
+from tidegauge.llm.shared import cut, freeing
 from tidegauge.llm.textops import Words, mix64, slices, utf8
 
-#: Words in a class that has a softmax of its own, classes of either kind, and weight rows that features are hashed to.
-IN_CLASS, HEAD_CLASSES, TAIL_CLASSES = 32, 16, 16
+#: Words in a class that has a softmax of its own, classes of either kind, and suffixes of words.
+IN_CLASS, HEAD_CLASSES, TAIL_CLASSES, SUFFIXES = 32, 16, 16, 1 << 12
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
-ROWS, SUFFIXES, IN_ROWS = 1 << 14, 1 << 12, 1 << 13
+#: Training tokens for each weight row that n-gram and skip features are hashed to, and the fewest and most such rows: for classes, and for the words of head classes. The most bound what is broadcast, 13 MB.
+TOKENS_A_ROW, ROWS, IN_ROWS = 512, (1 << 12, 1 << 16), (1 << 11, 1 << 15)
 #: Gradient rounds, each over another one of SLICES equal parts of the training documents; as many of both, so that each document is in one.
 ROUNDS = SLICES = 4
+#: Gradient steps for the weights of the words in tail classes, each over the whole counted vocabulary, and what holds these weights near 0.
+TAIL_STEPS, SHRINK = 2, 1.0
+#: Bytes of text that are taken at once, and tokens that are scored at once.
+TEXT, BLOCK = 2_000_000, 1 << 17
 _END = np.uint64(0xE0D << 12)
-_PUNCTUATION = np.zeros(256, bool)
-_PUNCTUATION[list(b".,!?;:")] = True
+_START = np.uint64(1)
 
 
 class Tokens:
-    """The tokens of a batch of texts: keys (52 bits of the word's hash above 12 of its suffix's), doc: text of each, first: where texts begin. Each text ends in END."""
+    """The tokens of a batch of texts, each of which ends in END: keys: the distinct ones (52 bits of the word's hash above 12 of its suffix's), sorted, and START; ids: each token's place in keys; doc: its text; first: where texts begin."""
 
     def __init__(self, column: pa.Array):
-        data, offsets = utf8(column)
-        words = Words(data, offsets, lower=True)
-        low = np.arange(256, dtype=np.uint64)
-        low[65:91] += 32
-        last = words.end - _PUNCTUATION[data[words.end - 1]]
-        suffix = (words.end - last).astype(np.uint64)
-        for i in (1, 2, 3):
-            at = last - i
-            suffix = suffix * np.uint64(257) + np.where(at >= words.start, low[data[np.maximum(at, 0)]], np.uint64(0))
-        keys = (words.hash & ~np.uint64(SUFFIXES - 1)) | (mix64(suffix) >> np.uint64(52))
+        words = Words(*utf8(column), lower=True, suffix=True)
+        keys = (words.hash & ~np.uint64(SUFFIXES - 1)) | words.suffix
         n = np.diff(words.first)
         self.first = words.first + np.arange(len(words.first))
-        self.keys = np.full(len(keys) + len(n), _END)
-        self.keys[np.arange(len(keys)) + np.repeat(np.arange(len(n)), n)] = keys
+        every = np.full(len(keys) + len(n), _END)
+        every[np.arange(len(keys)) + np.repeat(np.arange(len(n)), n)] = keys
+        distinct, self.ids = np.unique(every, return_inverse=True)
+        self.keys = np.append(distinct, _START)
         self.doc = np.repeat(np.arange(len(n)), n + 1)
 
     def before(self, i: int) -> np.ndarray:
-        """The key i places before each token; 1 before its text's beginning."""
-        out = np.ones(len(self.keys), np.uint64)
-        out[i:] = np.where(self.doc[i:] == self.doc[:-i], self.keys[:-i], np.uint64(1)) if i < len(out) else out[i:]
+        """The id i places before each token; that of START before its text's beginning."""
+        out = np.full(len(self.ids), len(self.keys) - 1)
+        out[i:] = np.where(self.doc[i:] == self.doc[:-i], self.ids[:-i], out[i:])
         return out
 
 
@@ -56,12 +54,18 @@ def _suffix(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64(SUFFIXES - 1)).astype(np.int64)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df in about two tasks a core at most: each task makes a vector of fixed length, so more tasks only make more vectors."""
+    return df.coalesce(max(1, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], kind: type = np.float64, slots: int = 16) -> np.ndarray:
     """The sum of a vector of fixed length that each task makes of its rows.
 
     Vectors are cut into `slots` pieces. Pieces are summed in groups, about as many as each has members, and then over the groups; so the largest task reads in proportion to the
     root of the number of tasks, and the driver gets one vector. kind: what numbers travel as; counts stay exact as doubles.
     """
+    df = _few(df)
     groups = max(1, round(df.rdd.getNumPartitions() ** 0.5 / 4))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,83 +83,89 @@ def summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]
 
     schema = "slot int, group int, piece binary"
     rows = df.mapInArrow(pieces, schema).repartition(slots * groups, "slot", "group").mapInArrow(total, schema)
-    rows = rows.repartition(slots, "slot").mapInArrow(total, schema).collect()
-    release(df)
+    with freeing(df.sparkSession):
+        rows = rows.repartition(slots, "slot").mapInArrow(total, schema).collect()
     return np.concatenate([np.frombuffer(r.piece, kind).astype(np.float64) for r in sorted(rows, key=lambda r: r.slot)]) if rows else np.zeros(0)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+def _add(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add each line of values to the line of out, at the rows given."""
+    for o, v in zip(out, values, strict=True):
+        o += np.bincount(rows, v, len(o))
 
 
-def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    r = rows[order]
-    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
-    if len(first):
-        out[r[first]] += np.add.reduceat(values[order], first, axis=0)
+def _rows(tokens: int, bounds: tuple[int, int], each: int) -> int:
+    """A power of two that grows with the tokens between the bounds."""
+    return int(min(max(bounds[0], 1 << max(0, int(tokens // each) - 1).bit_length()), bounds[1]))
 
 
 @dataclass
 class Model:
     """head: keys of the words with weights of their own, most frequent first; END is the first. cluster: the tail class of each suffix.
 
-    p(token) = p(class | features) * p(token | class, features); for a tail class the second factor is the token's
-    share of the class's counts, each raised by 0.5, an unseen word counting 0.5 for each class.
+    p(token) = p(class | features) * p(token | class, features). The features of a class, and of a word in its head class, are the word before, the two before, the one before that alone
+    (a skip), and the suffix before, each a hashed row of weights. In a tail class there are a weight for each word's count and one for each word with the cluster of the word
+    before, if they were seen together: as many as the corpus has such pairs. These aren't here; they follow from a word's counts and the tables (see tail()). What was never seen is one word of each tail class, with a count of half a token.
     """
 
     head: np.ndarray
     cluster: np.ndarray
-    tail_total: np.ndarray
-    classes: np.ndarray  # [ROWS + SUFFIXES, CLASSES]
-    words: np.ndarray  # [IN_ROWS, IN_CLASS]
+    classes: np.ndarray  # [rows + SUFFIXES, CLASSES]
+    words: np.ndarray  # [rows, IN_CLASS]
     bias: np.ndarray  # [CLASSES]
     in_bias: np.ndarray  # [HEAD_CLASSES, IN_CLASS]
+    seen: np.ndarray  # [TAIL_CLASSES, TAIL_CLASSES]: training tokens of a tail class after a word of a cluster
+    tables: list[np.ndarray] = field(default_factory=list)  # sums over a tail class's words after a word of a cluster, before each step and after the last
 
     def place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each token, and its place in a head class, or -1."""
+        """The class of each key, and its place in a head class, or -1."""
         order = np.argsort(self.head)
         at = np.minimum(np.searchsorted(self.head[order], keys), len(order) - 1)
         rank = np.where(self.head[order][at] == keys, order[at], -1)
         return np.where(rank >= 0, rank // IN_CLASS, HEAD_CLASSES + self.cluster[_suffix(keys)]), np.where(rank >= 0, rank % IN_CLASS, -1)
 
+    def tail(self, kind: np.ndarray, after: np.ndarray, count: np.ndarray, together: np.ndarray) -> np.ndarray:
+        """The weight of words of the tail classes `kind` with the cluster `after`: gradient steps from 0 for what is observed less what is expected, by the tables of all steps; 0 if they weren't seen together."""
+        w = np.zeros(len(kind))
+        for z in self.tables[:TAIL_STEPS]:
+            expected = self.seen[kind, after] * (count + 0.5) * np.exp(w) / z[kind, after]
+            w += np.clip((together - expected - SHRINK * w) / (expected + SHRINK), -2, 2)
+        return np.where(together > 0, w, 0.0)
+
     def features(self, t: Tokens) -> np.ndarray:
-        """Rows of `classes`: the word before, the two before, the one before that alone (a skip), and the suffix before."""
-        a, b = t.before(1), t.before(2)
-        rows = [mix64(x) % np.uint64(ROWS) for x in (a + np.uint64(11), mix64(a) + b * np.uint64(3), b + np.uint64(13))]
-        return np.stack([*(r.astype(np.int64) for r in rows), ROWS + _suffix(a)])
+        """Rows of `classes` of each token."""
+        shift, a, b = np.uint64(64 - (len(self.classes) - SUFFIXES).bit_length() + 1), t.before(1), t.before(2)
+        of = lambda x: (x >> shift).astype(np.int64)
+        one = mix64(t.keys + np.uint64(11))
+        return np.stack([of(one)[a], of(mix64(one[a] + t.keys[b] * np.uint64(3))), of(mix64(t.keys + np.uint64(13)))[b], (len(self.classes) - SUFFIXES + _suffix(t.keys))[a]])
 
     def in_features(self, t: Tokens, some: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        a, b, k = t.before(1)[some], t.before(2)[some], mix64(kind.astype(np.uint64) + np.uint64(71))
-        return np.stack([(mix64(x ^ k) % np.uint64(IN_ROWS)).astype(np.int64) for x in (a + np.uint64(1), b + np.uint64(2), (a & np.uint64(SUFFIXES - 1)) + np.uint64(3))])
+        shift, a, b = np.uint64(64 - len(self.words).bit_length() + 1), t.before(1)[some], t.before(2)[some]
+        k = mix64(kind.astype(np.uint64) + np.uint64(71))
+        return np.stack([(mix64(x ^ k) >> shift).astype(np.int64) for x in (t.keys[a] + np.uint64(1), t.keys[b] + np.uint64(2), (t.keys[a] & np.uint64(SUFFIXES - 1)) + np.uint64(3))])
 
-    def blocks(self, t: Tokens, size: int = 20_000) -> Iterator[tuple]:
-        """For blocks of tokens: slice, features, class, p(class), which are of a head class, their features, place and p(place)."""
-        kind, place = self.place(t.keys)
+    def blocks(self, t: Tokens) -> Iterator[tuple]:
+        """For blocks of tokens: slice, features, class, exp of each class's logit, which are of a head class, their features, place, and exp of each place's logit. Logits are bounded: no weight passes 20."""
+        kind, place = (x[t.ids] for x in self.place(t.keys))
         rows, some = self.features(t), np.flatnonzero(place >= 0)
         inner = self.in_features(t, some, kind[some])
-        for s in range(0, len(kind), size):
-            e = min(len(kind), s + size)
-            r, k = rows[:, s:e], kind[s:e]
-            x = self.bias + self.classes[r[0]]
-            for f in r[1:]:
-                x += self.classes[f]
+        for s in range(0, len(kind), BLOCK):
+            e = min(len(kind), s + BLOCK)
             u, v = np.searchsorted(some, (s, e))
-            y = self.in_bias[kind[some[u:v]]]
+            x, y = self.bias, np.take(self.in_bias, kind[some[u:v]], axis=0)
+            for f in rows[:, s:e]:
+                x = x + np.take(self.classes, f, axis=0)
             for f in inner[:, u:v]:
-                y += self.words[f]
-            yield slice(s, e), r, k, _softmax(x), some[u:v] - s, inner[:, u:v], place[some[u:v]], _softmax(y)
+                y += np.take(self.words, f, axis=0)
+            yield slice(s, e), rows[:, s:e], kind[s:e], np.exp(np.ascontiguousarray(x.T)), some[u:v] - s, inner[:, u:v], place[some[u:v]], np.exp(np.ascontiguousarray(y.T))
 
-    def log10(self, t: Tokens, counts: np.ndarray) -> np.ndarray:
-        """log10 p of each token; counts: its count in the training documents."""
-        out = np.empty(len(t.keys))
+    def log(self, t: Tokens, inside: np.ndarray) -> np.ndarray:
+        """log p of each token; inside: log p(token | tail class, cluster before) for those of tail classes."""
+        out = np.empty(len(t.ids))
         for at, _, k, p, some, _, place, q in self.blocks(t):
-            n = np.arange(len(k))
-            tail = np.maximum(k - HEAD_CLASSES, 0)
-            inside = (counts[at] + 0.5) / self.tail_total[tail]
-            inside[some] = q[np.arange(len(some)), place]
-            out[at] = np.log10(p[n, k].astype(np.float64)) + np.log10(inside)
+            deep = inside[at].copy()
+            deep[some] = np.log(q[place, np.arange(len(some))] / q.sum(0))
+            out[at] = np.log(p[k, np.arange(len(k))] / p.sum(0)) + deep
         return out
 
 
@@ -165,80 +175,83 @@ def is_held_out(doc_id: Column) -> Column:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
     for whole in batches:
-        for batch in slices(whole, 2_000_000):
+        for batch in slices(whole, TEXT):
             yield batch, Tokens(batch.column("text"))
 
 
-def vocabulary(base: DataFrame) -> DataFrame:
-    """Packed rows (shard, keys, counts): for each shard its distinct tokens, with their counts in all training documents; the row of shard -1 has each distinct token of the corpus once.
+#: Of each entry of a packed row: token, cluster of the word before, the token's count in all training documents, and how many of them come after that cluster.
+_PACKED = {"keys": np.uint64, "after": np.uint8, "counts": np.int64, "together": np.int64}
+
 
-    Counts of a token's shards meet in key order; only the rows of one token, at most one for each shard and batch, are held over a batch's end.
+def _unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), k) for c, k in _PACKED.items()}
+
+
+def vocabulary(base: DataFrame, cluster: np.ndarray, shards: int) -> DataFrame:
+    """Packed rows (shard, keys, after, counts, together): for each shard its distinct pairs of a token and the cluster of the word before, with counts in all training documents; rows of shard -1 have each pair of the corpus once.
+
+    Tokens are dealt by hash into as many buckets as there are shards, and go there packed: a task adds up a bucket, so about as many rows as a shard has.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
-        def packed(shard: int) -> pa.RecordBatch:
-            keys, where = np.unique(np.concatenate([k for k, _ in held[shard]]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([c for _, c in held[shard]]), len(keys)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), shard, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["shard", "key", "n"])
-
-        tokens = 0
+        def packed() -> Iterator[pa.RecordBatch]:
+            for shard, parts in held.items():
+                keys, after, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                bucket = (mix64(keys) % np.uint64(shards)).astype(np.int64)
+                order = np.lexsort((after, keys, bucket))
+                keys, after, n, bucket = keys[order], after[order], n[order], bucket[order]
+                first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (after[1:] != after[:-1])])
+                n, keys, after, bucket = np.add.reduceat(n, first).astype(np.int32), keys[first], after[first], bucket[first]
+                cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+                pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(pairs), shard, np.int32)), *(pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary()) for x in (keys, after, n))], ["bucket", "shard", "keys", "after", "n"])
+
+        size = 0
         for batch, t in _texts(batches):
             shard, learnt = batch.column("shard").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            pair = t.ids * TAIL_CLASSES + cluster[_suffix(t.keys)][t.before(1)]
             for s in np.unique(shard).tolist():
                 mine = (shard == s)[t.doc]
-                keys, where = np.unique(t.keys[mine], return_inverse=True)
-                held.setdefault(s, []).append((keys, np.bincount(where, learnt[t.doc[mine]], len(keys))))
-                tokens += len(keys)
-            if tokens > 3_000_000:
-                for s in held:
-                    yield packed(s)
-                held, tokens = {}, 0
-        for s in held:
-            yield packed(s)
+                there = np.zeros(len(t.keys) * TAIL_CLASSES, bool)
+                there[pair[mine]] = True
+                which = np.flatnonzero(there)
+                n = np.bincount(pair[mine & learnt[t.doc]], minlength=len(there))[which]
+                held.setdefault(s, []).append((t.keys[which // TAIL_CLASSES], (which % TAIL_CLASSES).astype(np.uint8), n.astype(np.int32)))
+                size += len(which)
+            if size > 2_000_000:
+                yield from packed()
+                held, size = {}, 0
+        yield from packed()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, held, size = None, [], 0
-
-        def out() -> pa.RecordBatch:
-            shard, keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(shard, kind="stable")
-            shard, keys, n = shard[order], keys[order], n[order]
-            cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
-            pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a, _ in pairs], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary()) for x in (keys, n))], ["shard", "keys", "counts"])
-
-        def summed_up(shard: np.ndarray, key: np.ndarray, n: np.ndarray) -> None:
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            total = np.add.reduceat(n, first)
-            held.append((shard, key, np.repeat(total, np.diff(np.r_[first, len(key)]))))
-            held.append((np.full(len(first), -1, np.int32), key[first], total))
-
+        got = [[], [], [], []]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = [batch.column(c).to_numpy() for c in ("shard", "key", "n")]
-            x = x if rest is None else [np.concatenate(p) for p in zip(rest, x, strict=True)]
-            end = int(np.searchsorted(x[1], x[1][-1]))  # in the order of signed keys
-            rest = [c[end:] for c in x]
-            if end:
-                summed_up(*(c[:end] for c in x))
-                size += end
-            if size > 500_000:
-                yield out()
-                held, size = [], 0
-        if rest is not None:
-            summed_up(*rest)
-        if held:
-            yield out()
-
-    rows = base.mapInArrow(count, "shard int, key long, n long").repartition("key").sortWithinPartitions("key")
-    return cut(rows.mapInArrow(join, "shard int, keys binary, counts binary"), "vocabulary")
-
+            for s, k, a, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "after", "n")), strict=True):
+                keys = np.frombuffer(k, np.uint64)
+                for x, y in zip(got, (np.full(len(keys), s, np.int32), keys, np.frombuffer(a, np.uint8), np.frombuffer(n, np.int32)), strict=True):
+                    x.append(y)
+        if not got[0]:
+            return
+        shard, keys, after, n = (np.concatenate(x) for x in got)
+        order = np.lexsort((after, keys))
+        shard, keys, after, n = shard[order], keys[order], after[order], n[order].astype(np.int64)
+        word = np.r_[True, keys[1:] != keys[:-1]]
+        pair = word | np.r_[True, after[1:] != after[:-1]]
+        together = np.add.reduceat(n, np.flatnonzero(pair))[np.cumsum(pair) - 1]
+        counts = np.add.reduceat(n, np.flatnonzero(word))[np.cumsum(word) - 1]
+        for some, names in ((np.flatnonzero(pair), np.full(int(pair.sum()), -1, np.int32)), (np.argsort(shard, kind="stable"), None)):
+            of = np.sort(shard) if names is None else names
+            cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                x = some[a:b]
+                if names is None:  # a shard's pair once, though several of its rows may have it
+                    x = x[np.r_[True, (keys[x][1:] != keys[x][:-1]) | (after[x][1:] != after[x][:-1])]]
+                yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int32()), *(pa.array([v[x].astype(kind).tobytes()], pa.binary()) for v, kind in zip((keys, after, counts, together), _PACKED.values(), strict=True))], ["shard", *_PACKED])
 
-def _pack(*x: np.ndarray) -> np.ndarray:
-    return np.concatenate([a.ravel() for a in x])
+    rows = base.mapInArrow(count, "bucket int, shard int, keys binary, after binary, n binary").repartitionById(shards, "bucket")
+    return cut(rows.mapInArrow(join, "shard int, keys binary, after binary, counts binary, together binary"), "vocabulary")
 
 
 def _clusters(pairs: np.ndarray, k: int) -> np.ndarray:
@@ -258,84 +271,110 @@ def _clusters(pairs: np.ndarray, k: int) -> np.ndarray:
     return of
 
 
-def fit(base: DataFrame, words: DataFrame) -> tuple[Model, int, int]:
-    """(model, training tokens, distinct training tokens), from base (text, shard, held_out, slice) and its vocabulary().
-
-    1. How often each suffix follows each of 64 groups of suffixes clusters the suffixes into tail classes.
-    2. All training tokens give the counts of each feature with each class, and with each word of a head class. They set the first weights, and how long a weight's steps are.
-    3. Gradient rounds: tasks sum observed minus expected counts over a slice of the documents, the driver takes the step. The slices of all rounds together are all training documents.
-    """
-    spark, learnt = base.sparkSession, base.where("not held_out")
+def clusters_of(learnt: DataFrame) -> np.ndarray:
+    """A cluster for each suffix, by how often it follows each of 64 groups of suffixes."""
 
     def follows(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(SUFFIXES * 64)
         for _, t in _texts(batches):
-            out += np.bincount(_suffix(t.keys) * 64 + _suffix(t.before(1)) // 64, minlength=len(out))
+            s = _suffix(t.keys)
+            out += np.bincount((s * 64)[t.ids] + (s // 64)[t.before(1)], minlength=len(out))
         return out
 
-    whole = words.where("shard = -1")
+    pairs = summed(learnt, follows)
+    return _clusters(pairs.reshape(SUFFIXES, 64), TAIL_CLASSES) if pairs.any() else np.zeros(SUFFIXES, np.int64)
+
+
+def fit(learnt: DataFrame, words: DataFrame, cluster: np.ndarray) -> tuple[Model, int, int]:
+    """(model, training tokens, distinct training tokens), from the training documents (text, slice) and the vocabulary().
+
+    1. The vocabulary gives the head words and each tail class's counts. Its gradient steps for the words' weights in tail classes run over the whole of it: a task adds up the exponentials of its words, a table of fixed size goes round, and
+       the weights themselves follow from the counts and the tables, wherever a word's counts are.
+    2. All training tokens give the counts of each feature with each class, and with each word of a head class. They set the first weights, and how long a weight's steps are. The rows that features are hashed to grow with the tokens.
+    3. Gradient rounds: tasks sum observed minus expected counts over a slice of the documents, the driver takes the step. The slices of all rounds together are all training documents.
+    """
+    spark, whole = learnt.sparkSession, words.where("shard = -1")
 
     def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, n = np.r_[keys, np.frombuffer(k, np.int64)], np.r_[n, np.frombuffer(c, np.int64)]
-                best = np.lexsort((keys, -n))[: HEAD_CLASSES * IN_CLASS]
-                keys, n = keys[best], n[best]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    def by_suffix(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros((2, SUFFIXES))
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                s, c = _suffix(np.frombuffer(k, np.uint64)), np.frombuffer(c, np.int64)
-                out += np.stack([np.bincount(s, x, SUFFIXES) for x in (c, c > 0)])
-        return out.ravel()
+            x = _unpacked(batch)
+            keys, first = np.unique(np.r_[keys, x["keys"]], return_index=True)
+            n = np.r_[n, x["counts"]][first]
+            best = np.lexsort((keys, -n))[: HEAD_CLASSES * IN_CLASS]
+            keys, n = keys[best], n[best]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
     top = whole.mapInArrow(most, "key long, n long").where("n > 0").orderBy(F.desc("n"), "key").limit(HEAD_CLASSES * IN_CLASS).collect()
-    per_suffix, distinct = summed(whole, by_suffix).reshape(-1, SUFFIXES) if top else np.zeros((2, SUFFIXES))
     head = np.array([int(_END), *(r.key % 2**64 for r in top if r.key % 2**64 != int(_END))][: HEAD_CLASSES * IN_CLASS], np.uint64)
     n_head = np.array([{r.key % 2**64: r.n for r in top}.get(int(k), 0) for k in head], np.float64)
-    cluster = _clusters(summed(learnt, follows).reshape(SUFFIXES, 64), TAIL_CLASSES) if top else np.zeros(SUFFIXES, np.int64)
-    in_tail = per_suffix - np.bincount(_suffix(head), n_head, SUFFIXES) + 0.5 * (distinct - np.bincount(_suffix(head), n_head > 0, SUFFIXES))
-    tail_total = np.bincount(cluster, in_tail, TAIL_CLASSES) + 0.5
-    zero = np.zeros((ROWS + SUFFIXES, CLASSES), np.float32)
-    model = Model(head, cluster, tail_total, zero, np.zeros((IN_ROWS, IN_CLASS), np.float32), np.zeros(CLASSES, np.float32), np.full((HEAD_CLASSES, IN_CLASS), -30, np.float32))
+    square = (TAIL_CLASSES, TAIL_CLASSES)
+    model = Model(head, cluster, np.zeros((1 + SUFFIXES, CLASSES), np.float32), np.zeros((1, IN_CLASS), np.float32), np.zeros(CLASSES, np.float32), np.full((HEAD_CLASSES, IN_CLASS), -30, np.float32), np.zeros(square))
     model.in_bias.ravel()[: len(head)] = np.log(n_head + 0.5)
-    total, kinds = int(round(per_suffix.sum())), int(round(distinct.sum()))
+
+    def tails(x: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Which entries are of tail classes, and of which."""
+        kind, place = model.place(x["keys"])
+        some = np.flatnonzero((place < 0) & (x["counts"] > 0))
+        return some, kind[some] - HEAD_CLASSES
+
+    def by_class(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        size, seen, total = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES**2), np.zeros(2)
+        for batch in batches:
+            x = _unpacked(batch)
+            if not len(x["keys"]):
+                continue
+            first = np.r_[True, x["keys"][1:] != x["keys"][:-1]] & (x["counts"] > 0)
+            total += x["counts"][first].sum(), first.sum()
+            some, kind = tails(x)
+            size += np.bincount(kind, np.where(first[some], x["counts"][some] + 0.5, 0), TAIL_CLASSES)
+            seen += np.bincount(kind * TAIL_CLASSES + x["after"][some], x["together"][some], len(seen))
+        return np.concatenate([size, seen, total])
+
+    sums = summed(whole, by_class)
     if not top:
+        model.tables = [np.full(square, 0.5)] * (TAIL_STEPS + 1)
         return model, 0, 0
-
-    def observed(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        m = sent.value
-        c, w = np.zeros(m.classes.size), np.zeros(m.words.size)
-        for _, t in _texts(batches):
-            kind, place = m.place(t.keys)
-            for r in m.features(t):
-                c += np.bincount(r * CLASSES + kind, minlength=len(c))
-            some = np.flatnonzero(place >= 0)
-            for r in m.in_features(t, some, kind[some]):
-                w += np.bincount(r * IN_CLASS + place[some], minlength=len(w))
-        return _pack(c, w)
-
-    def slope(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        m = sent.value
-        c, w = np.zeros_like(m.classes), np.zeros_like(m.words)
-        for _, t in _texts(batches):
-            for _, r, k, p, some, inner, place, q in m.blocks(t):
-                p, q = -p, -q
-                p[np.arange(len(k)), k] += 1
-                q[np.arange(len(some)), place] += 1
-                for f in r:
-                    _add_rows(c, f, p)
-                for f in inner:
-                    _add_rows(w, f, q)
-        return _pack(c, w)
-
-    sent = spark.sparkContext.broadcast(model)  # of fixed size, as are the sums
-    seen = summed(learnt, observed, np.float32)
-    c, w = seen[: zero.size].reshape(zero.shape), seen[zero.size :].reshape(model.words.shape)
-    prior = c[:ROWS].sum(0) + 1
+    total, kinds = int(round(sums[-2])), int(round(sums[-1]))
+    base = np.repeat(sums[:TAIL_CLASSES, None] + 0.5, TAIL_CLASSES, 1)
+    model.seen, model.tables = sums[TAIL_CLASSES:-2].reshape(square), [base]
+    for _ in range(TAIL_STEPS):
+
+        def more(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            out = np.zeros(TAIL_CLASSES**2)
+            for batch in batches:
+                x = _unpacked(batch)
+                some, kind = tails(x)
+                after, n, both = (x[c][some] for c in ("after", "counts", "together"))
+                out += np.bincount(kind * TAIL_CLASSES + after, (n + 0.5) * np.expm1(model.tail(kind, after, n, both)), len(out))
+            return out
+
+        model.tables = [*model.tables, base + summed(whole, more).reshape(square)]
+
+    rows, in_rows = _rows(total, ROWS, TOKENS_A_ROW), _rows(total, IN_ROWS, 2 * TOKENS_A_ROW)
+    model.classes, model.words = np.zeros((rows + SUFFIXES, CLASSES), np.float32), np.zeros((in_rows, IN_CLASS), np.float32)
+
+    def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c, w = model.classes, model.words
+        return x[: c.size].reshape(c.shape[::-1]).T, x[c.size :].reshape(w.shape[::-1]).T
+
+    def over(docs: DataFrame, add: Callable[[Model, Tokens, np.ndarray, np.ndarray], None]) -> tuple[np.ndarray, np.ndarray]:
+        """What add() adds up to, over the documents, in arrays like `classes` and `words` on their sides."""
+        sent = spark.sparkContext.broadcast(model)  # of bounded size, as are the sums
+
+        def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            m = sent.value
+            c, w = np.zeros(m.classes.shape[::-1]), np.zeros(m.words.shape[::-1])
+            for _, t in _texts(batches):
+                add(m, t, c, w)
+            return np.concatenate([c.ravel(), w.ravel()])
+
+        out = summed(docs, part, np.float32)
+        sent.destroy()
+        return halves(out if len(out) else np.zeros(model.classes.size + model.words.size))
+
+    c, w = over(learnt, observed)
+    prior = c[:rows].sum(0) + 1
     prior /= prior.sum()
     model.bias = np.log(prior).astype(np.float32)
     model.classes = (0.35 * np.log((c + 20 * prior) / ((c.sum(1, keepdims=True) + 20) * prior))).astype(np.float32)
@@ -344,58 +383,106 @@ def fit(base: DataFrame, words: DataFrame) -> tuple[Model, int, int]:
     bound_c = reach * (c + c.sum(1, keepdims=True) * prior) / 2 + 2
     bound_w = reach * (w + w.sum(1, keepdims=True) / IN_CLASS) / 2 + 2
     for i in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(model)
-        g = summed(learnt.where(F.col("slice") == i % SLICES), slope, np.float32)
-        if len(g):
-            rate = 0.5 / (1 + 0.3 * i)
-            model.classes = (model.classes + rate * np.clip(g[: zero.size].reshape(zero.shape) / bound_c, -2, 2)).astype(np.float32)
-            model.words = (model.words + rate * np.clip(g[zero.size :].reshape(model.words.shape) / bound_w, -2, 2)).astype(np.float32)
+        g, h = over(learnt.where(F.col("slice") == i % SLICES), slope)
+        rate = 0.5 / (1 + 0.3 * i)
+        model.classes = (model.classes + rate * np.clip(g / bound_c, -2, 2)).astype(np.float32)
+        model.words = (model.words + rate * np.clip(h / bound_w, -2, 2)).astype(np.float32)
     return model, total, kinds
 
 
+def observed(m: Model, t: Tokens, c: np.ndarray, w: np.ndarray) -> None:
+    """Add how often each row's feature meets each class, and each place of a head class."""
+    kind, place = (x[t.ids] for x in m.place(t.keys))
+    for r in m.features(t):
+        c += np.bincount(kind * c.shape[1] + r, minlength=c.size).reshape(c.shape)
+    some = np.flatnonzero(place >= 0)
+    for r in m.in_features(t, some, kind[some]):
+        w += np.bincount(place[some] * w.shape[1] + r, minlength=w.size).reshape(w.shape)
+
+
+def slope(m: Model, t: Tokens, c: np.ndarray, w: np.ndarray) -> None:
+    """Add the slope of the tokens' log p in each weight: observed less expected counts."""
+    for _, r, k, p, some, inner, place, q in m.blocks(t):
+        p /= -p.sum(0)
+        q /= -q.sum(0)
+        p[k, np.arange(len(k))] += 1
+        q[place, np.arange(len(some))] += 1
+        for f in r:
+            _add(c, f, p)
+        for f in inner:
+            _add(w, f, q)
+
+
+class Counts:
+    """A shard's counted pairs, in the order of tokens, and log p of each in its tail class."""
+
+    def __init__(self, parts: list[dict[str, np.ndarray]], m: Model):
+        x = {c: np.concatenate([p[c] for p in parts] or [np.zeros(0, k)]) for c, k in _PACKED.items()}
+        order = np.argsort(x["keys"], kind="stable")
+        self.keys, self.after, self.n, together = (v[order] for v in x.values())
+        kind = m.cluster[_suffix(self.keys)]
+        self.cluster, self.norm = m.cluster, np.log(m.tables[-1])
+        self.log = np.log(self.n + 0.5) + m.tail(kind, self.after, self.n, together) - self.norm[kind, self.after]
+
+    def of(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(count, log p in its tail class) of each token."""
+        at = np.searchsorted(self.keys, t.keys)
+        n = np.where(self.keys[np.minimum(at, len(self.keys) - 1)] == t.keys, self.n[np.minimum(at, len(self.keys) - 1)], 0)
+        kind = self.cluster[_suffix(t.keys)]
+        table = np.log(n + 0.5)[:, None] - self.norm[kind]  # [distinct tokens, clusters]; pairs that were seen together stand in the shard's rows
+        for j in range(TAIL_CLASSES):
+            i = np.minimum(at + j, len(self.keys) - 1)
+            has = np.flatnonzero((self.keys[i] == t.keys) & (at + j < len(self.keys)))
+            if not len(has):
+                break
+            table[has, self.after[i[has]]] = self.log[i[has]]
+        return n[t.ids], table[t.ids, kind[t.before(1)]]
+
+
 def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text), by a model of the rows that aren't held out.
 
     Tokens: words with A-Z in lower case, then one end. A word is known by 64 bits: of its hash and its suffix's. base_score: log10 of the text's probability under single tokens' counts raised by 0.5; score: under the model.
 
     The documents are written to the shared folder with the number of the task that reads them: its shard. Tokens are counted by shard, a shard gets the counts of its own tokens only, and the documents meet these in the order of shards, a shard's
-    counts first. So no task and no broadcast holds the whole vocabulary.
+    counts first. So no task and no broadcast holds the whole vocabulary, nor the weights of its words. Each shard goes to a task of its own.
 
     Null or empty text: the end alone. A null doc_id isn't held out. Repeated rows are counted and scored each. An empty table gives an empty result; with nothing to learn from, train_tokens is 0 and base_score 0. Other columns are ignored.
     """
     spark = docs.sparkSession
     out = is_held_out(F.col("doc_id")) if held_out is None else held_out
-    base = cut(docs.select("doc_id", "text", out.alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"), F.spark_partition_id().alias("shard")), "documents")
-    words = vocabulary(base)
-    release(base)
-    model, total, kinds = fit(base, words)
-    sent = spark.sparkContext.broadcast(model)
+    dealt = docs.select("doc_id", "text", out.alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"), F.spark_partition_id().alias("shard"))
+    shards = max(1, dealt.rdd.getNumPartitions())
+    base = cut(dealt, "documents")
+    learnt = base.where("not held_out").select("text", "slice")
+    cluster = clusters_of(learnt)
+    words = vocabulary(base, cluster, shards)
+    model, total, kinds = fit(learnt, words, cluster)
+    sent = spark.sparkContext.broadcast(model)  # of bounded size; the result reads it, so it stays as long as that
     none = F.lit(None)
-    both = words.where("shard >= 0").select("shard", F.lit(0).alias("kind"), "keys", "counts", none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("string").alias("text"))
-    both = both.unionByName(base.select("shard", F.lit(1).alias("kind"), none.cast("binary").alias("keys"), none.cast("binary").alias("counts"), "doc_id", "held_out", "text"))
-    both = both.repartition("shard").sortWithinPartitions("shard", "kind")
+    both = words.where("shard >= 0").select("shard", F.lit(0).alias("kind"), *_PACKED, none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("string").alias("text"))
+    both = both.unionByName(base.select("shard", F.lit(1).alias("kind"), *[none.cast("binary").alias(c) for c in _PACKED], "doc_id", "held_out", "text"))
+    both = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, packs, keys, counts = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        shard, packs, counts = None, [], None
         for whole in batches:
             of, kind = whole.column("shard").to_numpy(), whole.column("kind").to_numpy()
             cuts = np.r_[np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (kind[1:] != kind[:-1])]), len(of)]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 part = whole.slice(a, b - a)
                 if of[a] != shard:
-                    shard, packs = of[a], []
+                    shard, packs, counts = of[a], [], None
                 if kind[a] == 0:
-                    packs += [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for k, c in zip(part.column("keys").to_pylist(), part.column("counts").to_pylist(), strict=True)]
+                    packs.append(_unpacked(part))
                     continue
-                if packs:
-                    keys, counts = (np.concatenate(x) for x in zip(*packs, strict=True))
-                    order = np.argsort(keys)
-                    keys, counts, packs = keys[order], counts[order], []
-                for batch in slices(part, 2_000_000):
+                if counts is None:
+                    counts, packs = Counts(packs, sent.value), []
+                for batch in slices(part, TEXT):
                     t = Tokens(batch.column("text"))
-                    c = counts[np.searchsorted(keys, t.keys)]
+                    c, inside = counts.of(t)
                     one = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-                    base_score, s = (np.add.reduceat(x, t.first[:-1]) for x in (one, sent.value.log10(t, c)))
+                    base_score, s = (np.add.reduceat(x, t.first[:-1]) for x in (one, sent.value.log(t, inside) / np.log(10)))
                     known = np.add.reduceat((c > 0).astype(np.int64), t.first[:-1])
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(t.first)), pa.array(known), pa.array(base_score), pa.array(s)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

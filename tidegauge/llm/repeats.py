@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import WORD, cut, release
+from tidegauge.llm.shared import WORD, cut, drop_cut
 from tidegauge.llm.textops import Words, runs, slices, utf8
 
 #: Bytes of text to which one automaton belongs, about.
@@ -138,14 +138,14 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     shard = F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")
     met = anchored(base, window).repartition("key").sortWithinPartitions("key", "doc", "pos")
     found = cut(met.mapInArrow(_recurring, "doc long, pos long, n long, first_doc long, first_pos long"), "recurring")
-    release(docs)
+
     found = found.withColumn("shard", shard.cast("long")).repartition("doc").sortWithinPartitions("doc", "pos")
     passages = cut(found.mapInArrow(_merged, "shard long, n long, first_doc long, first_pos long").distinct(), "passages")
-    release(docs)
+
     asked = passages.select("first_doc", "first_pos", "n").distinct()
     texts = _phrases(base, asked, window)
     phrases = cut(texts.join(passages, ["first_doc", "first_pos", "n"]).select(F.col("shard").cast("int"), F.lit(0).alias("kind"), F.col("first_doc").alias("doc"), F.col("first_pos").alias("pos"), F.col("phrase").alias("text")), "phrases")
-    release(docs)
+
     both = phrases.unionByName(base.select(shard.alias("shard"), F.lit(1).alias("kind"), "doc", F.lit(0).cast("long").alias("pos"), "text"))
     both = both.repartition("shard").sortWithinPartitions("shard", "kind")
     out = both.mapInArrow(_locate, "doc long, n_words long, n_removed long, kept string")

@@ -6,9 +6,11 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,34 +21,60 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a new local one only where the setting is unset."""
+    """This application's folder in that of spark.checkpoint.dir, which driver and executors share. Where the setting is unset, a local master gets a new temporary folder; a cluster raises, since its executors would write to disks of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="tidegauge-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         path = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/tidegauge-{spark.sparkContext.applicationId}"
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which goes as a whole when the driver ends."""
+    folder = shared_dir(spark)
+    fs, p = _hadoop(spark, folder)
+    fs.deleteOnExit(p)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes an execution's shuffle files at its end instead of when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, and lost executors don't recompute it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet to the shared folder and read again: its lineage ends there, lost executors don't recompute it, and its shuffle files go."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with freeing(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
+def drop_cut(*cuts: DataFrame) -> None:
     """Delete what cut() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(shared_dir(spark).replace("file://", "file:").rstrip("/")) or path.startswith(shared_dir(spark)):
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    for df in cuts:
+        spark = df.sparkSession
+        folder = shared_dir(spark).removeprefix("file://")
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder in path:
+                fs, p = _hadoop(spark, path)
+                fs.delete(p, True)
 
 
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
@@ -54,12 +82,6 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files that nothing refers to any more, such as those of what was cut."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def trim() -> None:
     """Give freed memory back to the system: Python workers live on for later tasks, and keep it otherwise."""
     gc.collect()
