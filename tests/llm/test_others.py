@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.common import DOCS, LOWER, WORD, clashing, frame, texts
 from tidegauge.llm import chat, decontam, lm, mixing, topk, toxicity, urls
+from tidegauge.llm.shared import cut
 
 
 def test_top_k(spark):
@@ -238,12 +239,12 @@ def test_lm(spark):
 def small_model(spark):
     """Training rows of which the words in slice k are its own, and what is learnt from them."""
     r = random.Random(3)
-    rows = [(k, " ".join(f"left{k} right{k} " + r.choice((f"Rare{i}x{k}ung", f"rare{i % 7}.", "the")) for i in range(200)), False, k % lm.SLICES, k % 2) for k in range(3 * lm.SLICES)]
-    base = spark.createDataFrame([*rows, (99, "left0 never seen, RARE3.", True, 0, 1)], "doc_id long, text string, held_out boolean, slice long, shard int")
-    learnt = base.where("not held_out")
-    cluster = lm.clusters_of(learnt)
-    words = lm.vocabulary(base, cluster, 2)
-    return rows, words, lm.fit(learnt, words, cluster)
+    rows = [(k, " ".join(f"left{k} right{k} " + r.choice((f"Rare{i}x{k}ung", f"rare{i % 7}.", "the")) for i in range(200)), False) for k in range(3 * lm.SLICES)]
+    docs = spark.createDataFrame([*rows, (99, "left0 never seen, RARE3.", True)], "doc_id long, text string, held_out boolean").repartitionById(lm.SLICES, F.col("doc_id").cast("int"))
+    base = cut(lm.tokenised(docs))
+    cluster = lm.clusters_of(base)
+    words = lm.vocabulary(base, cluster, lm.SLICES)
+    return rows, words, lm.fit(base, words, cluster)
 
 
 @pytest.fixture(scope="module")
@@ -256,7 +257,7 @@ def test_lm_learns_words_of_every_slice(small):
 
     model = small[2][0]
     for k in range(lm.SLICES):
-        t = lm.Tokens(pa.array([f"left{k} right{k}"]))
+        t = lm.Tokens.of(pa.array([f"left{k} right{k}"]))
         kind, place = (x[t.ids] for x in model.place(t.keys))
         assert place[1] >= 0
         assert model.words[model.in_features(t, np.array([1]), kind[1:2])[0, 0]].any(), k
@@ -310,7 +311,7 @@ def test_lm_scores_as_plain_loops_do(small):
     keys_of = lambda t: [int(t.keys[i]) for i in t.ids]
     counts, head = Counter(), set(m.head.tolist())
     for row in rows:
-        k = keys_of(lm.Tokens(pa.array([row[1]])))
+        k = keys_of(lm.Tokens.of(pa.array([row[1]])))
         counts.update((x, int(m.cluster[(k[i - 1] if i else 1) % lm.SUFFIXES])) for i, x in enumerate(k))
     word = Counter()
     for (k, _), n in counts.items():
@@ -328,7 +329,7 @@ def test_lm_scores_as_plain_loops_do(small):
         tables.append(now)
     assert np.allclose(m.tables, tables)
     parts = [lm._unpacked(b) for b in pa.Table.from_pylist([r.asDict() for r in words.where("shard = 1").collect()]).to_batches()]
-    text = lm.Tokens(pa.array([" ".join(rows[1][1].split()[5:40] + rows[3][1].split()[-20:])]))
+    text = lm.Tokens.of(pa.array([" ".join(rows[1][1].split()[5:40] + rows[1 + lm.SLICES][1].split()[-20:])]))
     c, inside = lm.Counts(parts, m).of(text)
     assert c.tolist() == [word[k] for k in keys_of(text)]
     assert np.allclose(m.log(text, inside), plain_log(m, tables, keys_of(text), counts), atol=1e-4)
@@ -338,10 +339,10 @@ def test_lm_slope_is_that_of_the_log_probability():
     import pyarrow as pa
 
     r = np.random.default_rng(4)
-    t = lm.Tokens(pa.array(["a b c a b d", "b a. c"]))
+    t = lm.Tokens.of(pa.array(["a b c a b d", "b a. c"]))
     m = lm.Model(t.keys[:4], r.integers(0, lm.TAIL_CLASSES, lm.SUFFIXES), r.normal(size=(8 + lm.SUFFIXES, lm.CLASSES)), r.normal(size=(8, lm.IN_CLASS)), r.normal(size=lm.CLASSES), r.normal(size=(lm.HEAD_CLASSES, lm.IN_CLASS)), None)
     c, w = np.zeros(m.classes.shape[::-1]), np.zeros(m.words.shape[::-1])
-    lm.slope(m, t, c, w)
+    lm.slope(m, t, np.arange(len(t.ids)), c, w)
     whole = lambda: m.log(t, np.zeros(len(t.ids))).sum()
     for x, g in ((m.classes, c), (m.words, w)):
         for _ in range(25):
@@ -359,19 +360,20 @@ def test_lm_is_a_distribution(spark):
     import pyarrow as pa
 
     r = random.Random(5)
-    rows = [(i, " ".join(f"w{min(int(r.expovariate(0.004)), 1500)}{r.choice(('a', 'ing', 'ed'))}" for _ in range(400)), False, i % lm.SLICES, 0) for i in range(20)]
-    base = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, slice long, shard int")
+    rows = [(i, " ".join(f"w{min(int(r.expovariate(0.004)), 1500)}{r.choice(('a', 'ing', 'ed'))}" for _ in range(400)), False) for i in range(20)]
+    base = cut(lm.tokenised(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(1)))
     cluster = lm.clusters_of(base)
     words = lm.vocabulary(base, cluster, 1)
     m, _, kinds = lm.fit(base, words, cluster)
     assert kinds > lm.HEAD_CLASSES * lm.IN_CLASS
     counts = lm.Counts([lm._unpacked(b) for b in pa.Table.from_pylist([x.asDict() for x in words.where("shard = 0").collect()]).to_batches()], m)
     known = sorted({w for x in rows for w in x[1].split()})
-    t = lm.Tokens(pa.array([f"{known[3]} {known[9]} {w}".strip() for w in [*known, ""]]))
+    t = lm.Tokens.of(pa.array([f"{known[3]} {known[9]} {w}".strip() for w in [*known, ""]]))
     third = t.first[:-1] + 2
     total = np.exp(m.log(t, counts.of(t)[1]))[third].sum()
-    unseen = lm.Tokens(pa.array([f"{known[3]} {known[9]}"]))
-    _, _, _, p, *_ = next(m.blocks(unseen))
+    unseen = lm.Tokens.of(pa.array([f"{known[3]} {known[9]}"]))
+    kind, rows_of, some, _, inner = m.known(unseen, np.arange(len(unseen.ids)))
+    _, _, p, _ = next(m.blocks(kind, rows_of, some, inner))
     after = m.cluster[lm._suffix(unseen.keys)][unseen.before(1)[2]]
     total += sum(p[lm.HEAD_CLASSES + g, 2] / p[:, 2].sum() * 0.5 / m.tables[-1][g, after] for g in range(lm.TAIL_CLASSES))
     assert abs(total - 1) < 1e-3

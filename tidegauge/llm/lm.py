@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import cut, freeing
+from tidegauge.llm.shared import cut, freeing, trim
 from tidegauge.llm.textops import Words, mix64, slices, utf8
 
 #: Words in a class that has a softmax of its own, classes of either kind, and suffixes of words.
@@ -23,25 +23,37 @@ TOKENS_A_ROW, ROWS, IN_ROWS = 512, (1 << 12, 1 << 16), (1 << 11, 1 << 15)
 ROUNDS = SLICES = 4
 #: Gradient steps for the weights of the words in tail classes, each over the whole counted vocabulary, and what holds these weights near 0.
 TAIL_STEPS, SHRINK = 2, 1.0
-#: Bytes of text that are taken at once, and tokens that are scored at once.
-TEXT, BLOCK = 2_000_000, 1 << 17
+#: Bytes of text whose tokens are a packed row, and tokens that are scored at once: few enough for a processor's own memory.
+TEXT, BLOCK = 2_000_000, 1 << 13
 _END = np.uint64(0xE0D << 12)
 _START = np.uint64(1)
 
 
 class Tokens:
-    """The tokens of a batch of texts, each of which ends in END: keys: the distinct ones (52 bits of the word's hash above 12 of its suffix's), sorted, and START; ids: each token's place in keys; doc: its text; first: where texts begin."""
+    """The tokens of a batch of texts, each of which ends in END: keys: the distinct ones (52 bits of the word's hash above 12 of its suffix's), sorted, and START; ids: each token's place in keys; first: where texts begin."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, first: np.ndarray, keys: np.ndarray, ids: np.ndarray):
+        self.first, self.keys, self.ids = first, np.append(keys, _START), ids
+        self.doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Tokens:
         words = Words(*utf8(column), lower=True, suffix=True)
         keys = (words.hash & ~np.uint64(SUFFIXES - 1)) | words.suffix
         n = np.diff(words.first)
-        self.first = words.first + np.arange(len(words.first))
         every = np.full(len(keys) + len(n), _END)
         every[np.arange(len(keys)) + np.repeat(np.arange(len(n)), n)] = keys
-        distinct, self.ids = np.unique(every, return_inverse=True)
-        self.keys = np.append(distinct, _START)
-        self.doc = np.repeat(np.arange(len(n)), n + 1)
+        return cls(words.first + np.arange(len(words.first)), *np.unique(every, return_inverse=True))
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        gaps = np.diff(self.keys[:-1], prepend=np.uint64(0))  # smaller numbers than the keys
+        return self.first.astype(np.int64).tobytes(), *(pa.compress(x, "zstd", asbytes=True) for x in (gaps, self.ids.astype(np.uint32)))
+
+    @classmethod
+    def unpacked(cls, first: bytes, keys: bytes, ids: bytes, distinct: int) -> Tokens:
+        first = np.frombuffer(first, np.int64)
+        back = lambda x, n, kind: np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, "zstd"), kind)
+        return cls(first, np.cumsum(back(keys, distinct, np.uint64)), back(ids, int(first[-1]), np.uint32).astype(np.int64))
 
     def before(self, i: int) -> np.ndarray:
         """The id i places before each token; that of START before its text's beginning."""
@@ -94,6 +106,11 @@ def _add(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
         o += np.bincount(rows, v, len(o))
 
 
+def _by_row(x: np.ndarray) -> np.ndarray:
+    """Floats with each row's side by side, since rows are what is taken."""
+    return np.ascontiguousarray(x, np.float32)
+
+
 def _rows(tokens: int, bounds: tuple[int, int], each: int) -> int:
     """A power of two that grows with the tokens between the bounds."""
     return int(min(max(bounds[0], 1 << max(0, int(tokens // each) - 1).bit_length()), bounds[1]))
@@ -132,23 +149,27 @@ class Model:
             w += np.clip((together - expected - SHRINK * w) / (expected + SHRINK), -2, 2)
         return np.where(together > 0, w, 0.0)
 
-    def features(self, t: Tokens) -> np.ndarray:
-        """Rows of `classes` of each token."""
-        shift, a, b = np.uint64(64 - (len(self.classes) - SUFFIXES).bit_length() + 1), t.before(1), t.before(2)
-        of = lambda x: (x >> shift).astype(np.int64)
+    def features(self, t: Tokens, of: np.ndarray) -> np.ndarray:
+        """Rows of `classes` of some tokens."""
+        shift, a, b = np.uint64(64 - (len(self.classes) - SUFFIXES).bit_length() + 1), t.before(1)[of], t.before(2)[of]
+        row = lambda x: (x >> shift).astype(np.int64)
         one = mix64(t.keys + np.uint64(11))
-        return np.stack([of(one)[a], of(mix64(one[a] + t.keys[b] * np.uint64(3))), of(mix64(t.keys + np.uint64(13)))[b], (len(self.classes) - SUFFIXES + _suffix(t.keys))[a]])
+        return np.stack([row(one)[a], row(mix64(one[a] + t.keys[b] * np.uint64(3))), row(mix64(t.keys + np.uint64(13)))[b], (len(self.classes) - SUFFIXES + _suffix(t.keys))[a]])
 
-    def in_features(self, t: Tokens, some: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        shift, a, b = np.uint64(64 - len(self.words).bit_length() + 1), t.before(1)[some], t.before(2)[some]
+    def in_features(self, t: Tokens, of: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Rows of `words` of some tokens, which are of the head classes kind."""
+        shift, a, b = np.uint64(64 - len(self.words).bit_length() + 1), t.before(1)[of], t.before(2)[of]
         k = mix64(kind.astype(np.uint64) + np.uint64(71))
         return np.stack([(mix64(x ^ k) >> shift).astype(np.int64) for x in (t.keys[a] + np.uint64(1), t.keys[b] + np.uint64(2), (t.keys[a] & np.uint64(SUFFIXES - 1)) + np.uint64(3))])
 
-    def blocks(self, t: Tokens) -> Iterator[tuple]:
-        """For blocks of tokens: slice, features, class, exp of each class's logit, which are of a head class, their features, place, and exp of each place's logit. Logits are bounded: no weight passes 20."""
-        kind, place = (x[t.ids] for x in self.place(t.keys))
-        rows, some = self.features(t), np.flatnonzero(place >= 0)
-        inner = self.in_features(t, some, kind[some])
+    def known(self, t: Tokens, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some tokens: classes and rows of features; which of them are of a head class, their places and rows there."""
+        kind, place = (x[t.ids[of]] for x in self.place(t.keys))
+        some = np.flatnonzero(place >= 0)
+        return kind, self.features(t, of), some, place[some], self.in_features(t, of[some], kind[some])
+
+    def blocks(self, kind: np.ndarray, rows: np.ndarray, some: np.ndarray, inner: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+        """For blocks of what known() gives: which tokens, which of `some`, and exp of the logits of all classes, and of all places in the token's class, a column for a token. Logits are small: no weight passes 20."""
         for s in range(0, len(kind), BLOCK):
             e = min(len(kind), s + BLOCK)
             u, v = np.searchsorted(some, (s, e))
@@ -157,15 +178,15 @@ class Model:
                 x = x + np.take(self.classes, f, axis=0)
             for f in inner[:, u:v]:
                 y += np.take(self.words, f, axis=0)
-            yield slice(s, e), rows[:, s:e], kind[s:e], np.exp(np.ascontiguousarray(x.T)), some[u:v] - s, inner[:, u:v], place[some[u:v]], np.exp(np.ascontiguousarray(y.T))
+            yield slice(s, e), slice(u, v), np.exp(np.ascontiguousarray(x.T)), np.exp(np.ascontiguousarray(y.T))
 
     def log(self, t: Tokens, inside: np.ndarray) -> np.ndarray:
         """log p of each token; inside: log p(token | tail class, cluster before) for those of tail classes."""
-        out = np.empty(len(t.ids))
-        for at, _, k, p, some, _, place, q in self.blocks(t):
-            deep = inside[at].copy()
-            deep[some] = np.log(q[place, np.arange(len(some))] / q.sum(0))
-            out[at] = np.log(p[k, np.arange(len(k))] / p.sum(0)) + deep
+        out = inside.astype(np.float64)
+        kind, rows, some, place, inner = self.known(t, np.arange(len(t.ids)))
+        for at, of, p, q in self.blocks(kind, rows, some, inner):
+            out[some[of]] = np.log(q[place[of], np.arange(q.shape[1])] / q.sum(0))
+            out[at] += np.log(p[kind[at], np.arange(p.shape[1])] / p.sum(0))
         return out
 
 
@@ -173,10 +194,33 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
-    for whole in batches:
-        for batch in slices(whole, TEXT):
-            yield batch, Tokens(batch.column("text"))
+#: A row of tokenised(): the documents of a slice of text and their packed tokens.
+_TOKENS = "shard int, slice int, doc_ids array<long>, held_out array<boolean>, first binary, keys binary, ids binary, distinct int"
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, held_out) as packed rows of about TEXT bytes of text, or of one text; shard: the task that reads them. Texts are taken apart once, later passes read the tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, number = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for batch in slices(whole, TEXT):
+                t = Tokens.of(batch.column("text"))
+                lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.concat_arrays([batch.column(c).cast(k)])) for c, k in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([(shard + number) % SLICES], pa.int32()), *lists, *(pa.array([x], pa.binary()) for x in t.packed()), pa.array([len(t.keys) - 1], pa.int32())], [c.split()[0] for c in _TOKENS.split(", ")])
+                number += 1
+        trim()
+
+    return docs.mapInArrow(run, _TOKENS)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Tokens, np.ndarray]]:
+    """(row, tokens, which tokens are learnt from) of each row of tokenised()."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i] for c in batch.schema.names}
+            t = Tokens.unpacked(*(row[c].as_py() for c in ("first", "keys", "ids", "distinct")))
+            yield row, t, ~row["held_out"].values.to_numpy(zero_copy_only=False)[t.doc]
 
 
 #: Of each entry of a packed row: token, cluster of the word before, the token's count in all training documents, and how many of them come after that cluster.
@@ -209,17 +253,14 @@ def vocabulary(base: DataFrame, cluster: np.ndarray, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(pairs), shard, np.int32)), *(pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary()) for x in (keys, after, n))], ["bucket", "shard", "keys", "after", "n"])
 
         size = 0
-        for batch, t in _texts(batches):
-            shard, learnt = batch.column("shard").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        for row, t, learnt in _read(batches):
             pair = t.ids * TAIL_CLASSES + cluster[_suffix(t.keys)][t.before(1)]
-            for s in np.unique(shard).tolist():
-                mine = (shard == s)[t.doc]
-                there = np.zeros(len(t.keys) * TAIL_CLASSES, bool)
-                there[pair[mine]] = True
-                which = np.flatnonzero(there)
-                n = np.bincount(pair[mine & learnt[t.doc]], minlength=len(there))[which]
-                held.setdefault(s, []).append((t.keys[which // TAIL_CLASSES], (which % TAIL_CLASSES).astype(np.uint8), n.astype(np.int32)))
-                size += len(which)
+            there = np.zeros(len(t.keys) * TAIL_CLASSES, bool)
+            there[pair] = True
+            which = np.flatnonzero(there)
+            n = np.bincount(pair[learnt], minlength=len(there))[which]
+            held.setdefault(row["shard"].as_py(), []).append((t.keys[which // TAIL_CLASSES], (which % TAIL_CLASSES).astype(np.uint8), n.astype(np.int32)))
+            size += len(which)
             if size > 2_000_000:
                 yield from packed()
                 held, size = {}, 0
@@ -271,29 +312,29 @@ def _clusters(pairs: np.ndarray, k: int) -> np.ndarray:
     return of
 
 
-def clusters_of(learnt: DataFrame) -> np.ndarray:
+def clusters_of(base: DataFrame) -> np.ndarray:
     """A cluster for each suffix, by how often it follows each of 64 groups of suffixes."""
 
     def follows(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(SUFFIXES * 64)
-        for _, t in _texts(batches):
+        for _, t, learnt in _read(batches):
             s = _suffix(t.keys)
-            out += np.bincount((s * 64)[t.ids] + (s // 64)[t.before(1)], minlength=len(out))
+            out += np.bincount(((s * 64)[t.ids] + (s // 64)[t.before(1)])[learnt], minlength=len(out))
         return out
 
-    pairs = summed(learnt, follows)
+    pairs = summed(base, follows)
     return _clusters(pairs.reshape(SUFFIXES, 64), TAIL_CLASSES) if pairs.any() else np.zeros(SUFFIXES, np.int64)
 
 
-def fit(learnt: DataFrame, words: DataFrame, cluster: np.ndarray) -> tuple[Model, int, int]:
-    """(model, training tokens, distinct training tokens), from the training documents (text, slice) and the vocabulary().
+def fit(base: DataFrame, words: DataFrame, cluster: np.ndarray) -> tuple[Model, int, int]:
+    """(model, training tokens, distinct training tokens), from tokenised() documents and their vocabulary().
 
     1. The vocabulary gives the head words and each tail class's counts. Its gradient steps for the words' weights in tail classes run over the whole of it: a task adds up the exponentials of its words, a table of fixed size goes round, and
        the weights themselves follow from the counts and the tables, wherever a word's counts are.
     2. All training tokens give the counts of each feature with each class, and with each word of a head class. They set the first weights, and how long a weight's steps are. The rows that features are hashed to grow with the tokens.
     3. Gradient rounds: tasks sum observed minus expected counts over a slice of the documents, the driver takes the step. The slices of all rounds together are all training documents.
     """
-    spark, whole = learnt.sparkSession, words.where("shard = -1")
+    spark, whole = base.sparkSession, words.where("shard = -1")
 
     def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -336,8 +377,8 @@ def fit(learnt: DataFrame, words: DataFrame, cluster: np.ndarray) -> tuple[Model
         model.tables = [np.full(square, 0.5)] * (TAIL_STEPS + 1)
         return model, 0, 0
     total, kinds = int(round(sums[-2])), int(round(sums[-1]))
-    base = np.repeat(sums[:TAIL_CLASSES, None] + 0.5, TAIL_CLASSES, 1)
-    model.seen, model.tables = sums[TAIL_CLASSES:-2].reshape(square), [base]
+    flat = np.repeat(sums[:TAIL_CLASSES, None] + 0.5, TAIL_CLASSES, 1)
+    model.seen, model.tables = sums[TAIL_CLASSES:-2].reshape(square), [flat]
     for _ in range(TAIL_STEPS):
 
         def more(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -349,7 +390,7 @@ def fit(learnt: DataFrame, words: DataFrame, cluster: np.ndarray) -> tuple[Model
                 out += np.bincount(kind * TAIL_CLASSES + after, (n + 0.5) * np.expm1(model.tail(kind, after, n, both)), len(out))
             return out
 
-        model.tables = [*model.tables, base + summed(whole, more).reshape(square)]
+        model.tables = [*model.tables, flat + summed(whole, more).reshape(square)]
 
     rows, in_rows = _rows(total, ROWS, TOKENS_A_ROW), _rows(total, IN_ROWS, 2 * TOKENS_A_ROW)
     model.classes, model.words = np.zeros((rows + SUFFIXES, CLASSES), np.float32), np.zeros((in_rows, IN_CLASS), np.float32)
@@ -358,59 +399,59 @@ def fit(learnt: DataFrame, words: DataFrame, cluster: np.ndarray) -> tuple[Model
         c, w = model.classes, model.words
         return x[: c.size].reshape(c.shape[::-1]).T, x[c.size :].reshape(w.shape[::-1]).T
 
-    def over(docs: DataFrame, add: Callable[[Model, Tokens, np.ndarray, np.ndarray], None]) -> tuple[np.ndarray, np.ndarray]:
+    def over(docs: DataFrame, add: Callable[[Model, Tokens, np.ndarray, np.ndarray, np.ndarray], None]) -> tuple[np.ndarray, np.ndarray]:
         """What add() adds up to, over the documents, in arrays like `classes` and `words` on their sides."""
         sent = spark.sparkContext.broadcast(model)  # of bounded size, as are the sums
 
         def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             m = sent.value
             c, w = np.zeros(m.classes.shape[::-1]), np.zeros(m.words.shape[::-1])
-            for _, t in _texts(batches):
-                add(m, t, c, w)
+            for _, t, learnt in _read(batches):
+                add(m, t, np.flatnonzero(learnt), c, w)
             return np.concatenate([c.ravel(), w.ravel()])
 
         out = summed(docs, part, np.float32)
         sent.destroy()
         return halves(out if len(out) else np.zeros(model.classes.size + model.words.size))
 
-    c, w = over(learnt, observed)
+    c, w = over(base, observed)
     prior = c[:rows].sum(0) + 1
     prior /= prior.sum()
     model.bias = np.log(prior).astype(np.float32)
-    model.classes = (0.35 * np.log((c + 20 * prior) / ((c.sum(1, keepdims=True) + 20) * prior))).astype(np.float32)
+    model.classes = _by_row(0.35 * np.log((c + 20 * prior) / ((c.sum(1, keepdims=True) + 20) * prior)))
     # a first guess of an in-class weight needs the class's own shares, which rows mix: they start at 0
     reach = 1 / SLICES
     bound_c = reach * (c + c.sum(1, keepdims=True) * prior) / 2 + 2
     bound_w = reach * (w + w.sum(1, keepdims=True) / IN_CLASS) / 2 + 2
     for i in range(ROUNDS):
-        g, h = over(learnt.where(F.col("slice") == i % SLICES), slope)
+        g, h = over(base.where(F.col("slice") == i % SLICES), slope)
         rate = 0.5 / (1 + 0.3 * i)
-        model.classes = (model.classes + rate * np.clip(g / bound_c, -2, 2)).astype(np.float32)
-        model.words = (model.words + rate * np.clip(h / bound_w, -2, 2)).astype(np.float32)
+        model.classes = _by_row(model.classes + rate * np.clip(g / bound_c, -2, 2))
+        model.words = _by_row(model.words + rate * np.clip(h / bound_w, -2, 2))
     return model, total, kinds
 
 
-def observed(m: Model, t: Tokens, c: np.ndarray, w: np.ndarray) -> None:
-    """Add how often each row's feature meets each class, and each place of a head class."""
-    kind, place = (x[t.ids] for x in m.place(t.keys))
-    for r in m.features(t):
+def observed(m: Model, t: Tokens, learnt: np.ndarray, c: np.ndarray, w: np.ndarray) -> None:
+    """Add how often each row's feature meets each class, and each place of a head class, over the tokens learnt."""
+    kind, rows, some, place, inner = m.known(t, learnt)
+    for r in rows:
         c += np.bincount(kind * c.shape[1] + r, minlength=c.size).reshape(c.shape)
-    some = np.flatnonzero(place >= 0)
-    for r in m.in_features(t, some, kind[some]):
-        w += np.bincount(place[some] * w.shape[1] + r, minlength=w.size).reshape(w.shape)
+    for r in inner:
+        w += np.bincount(place * w.shape[1] + r, minlength=w.size).reshape(w.shape)
 
 
-def slope(m: Model, t: Tokens, c: np.ndarray, w: np.ndarray) -> None:
-    """Add the slope of the tokens' log p in each weight: observed less expected counts."""
-    for _, r, k, p, some, inner, place, q in m.blocks(t):
-        p /= -p.sum(0)
-        q /= -q.sum(0)
-        p[k, np.arange(len(k))] += 1
-        q[place, np.arange(len(some))] += 1
-        for f in r:
-            _add(c, f, p)
-        for f in inner:
-            _add(w, f, q)
+def slope(m: Model, t: Tokens, learnt: np.ndarray, c: np.ndarray, w: np.ndarray) -> None:
+    """Add the slope of the learnt tokens' log p in each weight: observed less expected counts."""
+    kind, rows, some, place, inner = m.known(t, learnt)
+    P, Q = np.empty((CLASSES, len(kind)), np.float32), np.empty((IN_CLASS, len(some)), np.float32)
+    for at, of, p, q in m.blocks(kind, rows, some, inner):
+        P[:, at], Q[:, of] = p / -p.sum(0), q / -q.sum(0)
+    P[kind, np.arange(len(kind))] += 1
+    Q[place, np.arange(len(some))] += 1
+    for r in rows:
+        _add(c, r, P)
+    for r in inner:
+        _add(w, r, Q)
 
 
 class Counts:
@@ -444,24 +485,23 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
 
     Tokens: words with A-Z in lower case, then one end. A word is known by 64 bits: of its hash and its suffix's. base_score: log10 of the text's probability under single tokens' counts raised by 0.5; score: under the model.
 
-    The documents are written to the shared folder with the number of the task that reads them: its shard. Tokens are counted by shard, a shard gets the counts of its own tokens only, and the documents meet these in the order of shards, a shard's
-    counts first. So no task and no broadcast holds the whole vocabulary, nor the weights of its words. Each shard goes to a task of its own.
+    The documents' tokens are written to the shared folder with the number of the task that reads them: its shard. Tokens are counted by shard, a shard gets the counts of its own tokens only, and its documents meet these in one task, the
+    counts first. So no task and no broadcast holds the whole vocabulary, nor the weights of its words.
 
     Null or empty text: the end alone. A null doc_id isn't held out. Repeated rows are counted and scored each. An empty table gives an empty result; with nothing to learn from, train_tokens is 0 and base_score 0. Other columns are ignored.
     """
     spark = docs.sparkSession
     out = is_held_out(F.col("doc_id")) if held_out is None else held_out
-    dealt = docs.select("doc_id", "text", out.alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"), F.spark_partition_id().alias("shard"))
+    dealt = docs.select("doc_id", "text", out.alias("held_out"))
     shards = max(1, dealt.rdd.getNumPartitions())
-    base = cut(dealt, "documents")
-    learnt = base.where("not held_out").select("text", "slice")
-    cluster = clusters_of(learnt)
+    base = cut(tokenised(dealt), "tokens")
+    cluster = clusters_of(base)
     words = vocabulary(base, cluster, shards)
-    model, total, kinds = fit(learnt, words, cluster)
+    model, total, kinds = fit(base, words, cluster)
     sent = spark.sparkContext.broadcast(model)  # of bounded size; the result reads it, so it stays as long as that
-    none = F.lit(None)
-    both = words.where("shard >= 0").select("shard", F.lit(0).alias("kind"), *_PACKED, none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("string").alias("text"))
-    both = both.unionByName(base.select("shard", F.lit(1).alias("kind"), *[none.cast("binary").alias(c) for c in _PACKED], "doc_id", "held_out", "text"))
+    names = [c.split()[0] for c in _TOKENS.split(", ")]
+    both = words.where("shard >= 0").select("shard", F.lit(0).alias("kind"), *_PACKED, *[F.lit(None).cast(c.split()[1]).alias(f"t_{c.split()[0]}") for c in _TOKENS.split(", ")])
+    both = both.unionByName(base.select("shard", F.lit(1).alias("kind"), *[F.lit(None).cast("binary").alias(c) for c in _PACKED], *[F.col(c).alias(f"t_{c}") for c in names]))
     both = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,13 +518,14 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
                     continue
                 if counts is None:
                     counts, packs = Counts(packs, sent.value), []
-                for batch in slices(part, TEXT):
-                    t = Tokens(batch.column("text"))
+                rows = pa.RecordBatch.from_arrays([part.column(f"t_{c}") for c in names], names)
+                for row, t, _ in _read([rows]):
                     c, inside = counts.of(t)
                     one = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
                     base_score, s = (np.add.reduceat(x, t.first[:-1]) for x in (one, sent.value.log(t, inside) / np.log(10)))
                     known = np.add.reduceat((c > 0).astype(np.int64), t.first[:-1])
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(t.first)), pa.array(known), pa.array(base_score), pa.array(s)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                    yield pa.RecordBatch.from_arrays([row["doc_ids"].values, row["held_out"].values, pa.array(np.diff(t.first)), pa.array(known), pa.array(base_score), pa.array(s)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        trim()
 
     scored = both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
