@@ -20,7 +20,7 @@ def test_top_k(spark):
     r = random.Random(1)
     rows = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(300)]
     rows += [(300 + i, rows[5][1]) for i in range(40)]  # many equal vectors: ties
-    rows += [(1000, None), (1001, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1004, [0.5, 0.5]), (1005, []), (None, [0.1] * 6), rows[7]]
+    rows += [(1000, None), (1001, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1004, [0.5, 0.5]), (1005, []), (None, [0.1] * 6)]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, shard int, tree string").repartition(3)
     ok = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and i not in (1000, 1001, 1002, 1003)}
     want = set()
@@ -31,6 +31,22 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_keeps_rows_that_repeat_an_id(spark):
+    rows = [(0, [1.0]), (5, [3.0]), (5, [2.0]), (7, [1.0]), (0, [4.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3)
+    m = 1024**2
+    want = [(0, 1, 0, 4 * m), (0, 2, 5, 3 * m), (0, 3, 5, 2 * m), (0, 1, 5, 12 * m), (0, 2, 5, 8 * m), (0, 3, 0, 4 * m)]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_top_k_ties_over_many_shards(spark):
+    r = random.Random(9)
+    rows = [(i, [float(r.randint(-3, 3)) for _ in range(3)]) for i in range(400)]
+    want = {(q, i) for q, v in rows if q % 40 == 0 for _, i in sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:5]}
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 40 == 0, k=5, per_shard=8)
+    assert {(x.query_id, x.vec_id) for x in got.collect()} == want
+
+
 def test_top_k_in_query_blocks_and_large_numbers(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 20)
     r = random.Random(2)

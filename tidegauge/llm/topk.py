@@ -11,19 +11,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import cut, new_path
+from tidegauge.llm.shared import cut, drop_cut, new_path
 
 LEAF = 128
 #: Numbers that a block of queries holds at most; it is the one thing that is broadcast.
 BLOCK = 1 << 20
+#: One shard in so many goes first, for its kth scores.
+FIRST = 8
+#: Less than any vec_id's negative.
+_NOBODY = -(2**63) - 1
 #: Up to here sums of products of doubles are exact.
 EXACT = 1 << 53
 
 
 class Tree:
-    """Median splits along the widest side; each node has its points' bounding box and smallest id. Points are integers."""
+    """Median splits along the widest side; each node has its points' bounding box and smallest id. Points are integers; rows: a number for each point, which is its own even where ids repeat."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
         order = np.arange(len(ids))
         lo, hi, least, ends, kids = [], [], [], [], []
 
@@ -39,11 +43,11 @@ class Tree:
             return k
 
         build(0, len(ids))
-        self.ids, self.points = ids[order], points[order]
+        self.ids, self.points, self.rows = ids[order], points[order], rows[order]
         self.lo, self.hi, self.least, self.ends, self.kids = np.array(lo), np.array(hi), np.array(least), ends, kids
 
     def search(self, queries: np.ndarray, own: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> None:
-        """best[i]: heap of (score, -id), the k best so far of query i; from it comes the bound to beat, and the tree's better points go into it.
+        """best[i]: heap of (score, -id), the k best so far of query i, which is row own[i]; from it comes the bound to beat, and the tree's better points go into it.
 
         The frontier holds nodes by the most that a point of their box can score, then by their smallest id.
         """
@@ -63,7 +67,7 @@ class Tree:
                     continue
                 s, e = self.ends[n]
                 score, ids = self.points[s:e] @ q, self.ids[s:e]
-                keep = ids != own[i]
+                keep = self.rows[s:e] != own[i]
                 if len(top) == k:
                     keep &= score >= top[0][0]
                 score, ids = score[keep], ids[keep]
@@ -77,7 +81,7 @@ class Tree:
                         heapq.heapreplace(top, x)
 
 
-def _numbers(rows: list, points: np.ndarray) -> np.ndarray:
+def _numbers(points: np.ndarray) -> np.ndarray:
     """Doubles where all sums of products are exact in them, else Python's integers."""
     most = np.abs(points).max(initial=0)
     return points.astype(np.float64) if int(most) ** 2 * max(1, points.shape[1]) < EXACT else points.astype(object)
@@ -92,75 +96,90 @@ def usable(vector: Column) -> Column:
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, per_shard: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) for which `queries` holds, the k others with the highest score.
+    """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) for which `queries` holds, the k other rows with the highest score.
 
     Score: inner product of the components, each turned into floor(scale * x). Ties go to the smaller vec_id.
-    Vectors that are null or hold null, NaN or an infinity, and rows without a vec_id, take no part. Of
-    rows that repeat a vec_id the smallest vector (components compared in turn) stands for all. Only vectors of a query's own
+    Vectors that are null or hold null, NaN or an infinity, and rows without a vec_id, take no part. Rows that repeat a vec_id are each a candidate, of each other too, and
+    each a query of its own if `queries` holds. Only vectors of a query's own
     length are its candidates; vectors of length 0 score 0. With fewer than k candidates all are returned; an empty table gives an
     empty result. Components of over 2^53 / scale aren't whole after scaling in doubles; a score beyond a long
     saturates. Other columns are ignored.
 
-    Vectors are dealt by a hash of their id into shards of about per_shard rows, whatever their values, so
+    Vectors are dealt by a hash of their row into shards of about per_shard rows, whatever their values, so
     copies of one vector spread. The trees are written once to the shared folder. Queries come to the driver as a stream and
-    go out in blocks of at most BLOCK numbers; each task runs a block through its shards one after another and takes the kth score along as the bound to beat.
+    go out in blocks of at most BLOCK numbers. A block is first run through one in FIRST of the shards; the kth scores found there go out with it to the others, and
+    a task that runs it through several shards takes its kth score along: the bound to beat.
     """
     spark = vectors.sparkSession
     base = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", scaled(F.col("embedding"), scale).alias("v"), queries.alias("is_query"))
-    base = cut(base.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query")), "vectors")
+    base = cut(base.withColumn("row", F.monotonically_increasing_id()), "vectors")
     shards = max(1, -(-base.count() // per_shard))
-    dealt = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("length", F.size("v"))
-    dealt = dealt.select("shard", "length", "vec_id", "v").repartition(shards, "shard").sortWithinPartitions("shard", "length")
+    dealt = base.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).withColumn("length", F.size("v"))
+    dealt = dealt.select("shard", "length", "vec_id", "row", "v").repartition(shards, "shard").sortWithinPartitions("shard", "length")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tree(key: tuple, ids: list, rows: list) -> pa.RecordBatch:
-            points = np.array([x for r in rows for x in r], dtype=np.int64).reshape(len(ids), key[1])
-            blob = pickle.dumps(Tree(np.array(ids, dtype=np.int64), _numbers(rows, points)))
-            return pa.RecordBatch.from_arrays([pa.array([key[1]], pa.int32()), pa.array([blob], pa.binary())], ["length", "tree"])
+        def tree(key: tuple, ids: list, rows: list, vectors: list) -> pa.RecordBatch:
+            points = np.array([x for v in vectors for x in v], dtype=np.int64).reshape(len(ids), key[1])
+            blob = pickle.dumps(Tree(np.array(ids, dtype=np.int64), _numbers(points), np.array(rows, dtype=np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([blob], pa.binary())], ["shard", "length", "tree"])
 
-        key, ids, rows = None, [], []
+        key, held = None, ([], [], [])
         for batch in batches:
-            for s, n, i, v in zip(*(batch.column(c) for c in ("shard", "length", "vec_id", "v")), strict=True):
+            for s, n, i, r, v in zip(*(batch.column(c) for c in ("shard", "length", "vec_id", "row", "v")), strict=True):
                 if key != (now := (s.as_py(), n.as_py())):
-                    if ids:
-                        yield tree(key, ids, rows)
-                    key, ids, rows = now, [], []
-                ids.append(i.as_py())
-                rows.append(v.values.to_numpy(zero_copy_only=False))
-        if ids:
-            yield tree(key, ids, rows)
-
-    index = cut(dealt.mapInArrow(build, "length int, tree binary"), "trees")
+                    if held[0]:
+                        yield tree(key, *held)
+                    key, held = now, ([], [], [])
+                for x, y in zip(held, (i.as_py(), r.as_py(), v.values.to_numpy(zero_copy_only=False)), strict=True):
+                    x.append(y)
+        if held[0]:
+            yield tree(key, *held)
+
+    index = cut(dealt.mapInArrow(build, "shard long, length int, tree binary"), "trees")
     out = new_path(spark, "hits")
-    schema = "query_id long, vec_id long, score long"
+    schema = "query_row long, query_id long, vec_id long, score long"
     spark.createDataFrame([], schema).write.parquet(out)
 
-    def send(block: list) -> None:
-        sent = spark.sparkContext.broadcast([(q.vec_id, np.array(q.v, dtype=np.int64)) for q in block])
+    def run(block: list, bounds: dict[int, int], trees: DataFrame, to: str) -> None:
+        sent = spark.sparkContext.broadcast(([(q.row, q.vec_id, np.array(q.v, dtype=np.int64)) for q in block], bounds))  # a block's numbers, and one a query
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_length: dict[int, tuple] = {}
-            for i, v in sent.value:
-                by_length.setdefault(len(v), ([], []))[0].append(i)
-                by_length[len(v)][1].append(v)
-            by_length = {n: (np.array(i), np.stack(v), [[] for _ in i]) for n, (i, v) in by_length.items()}
+            by_length: dict[int, list] = {}
+            for q in sent.value[0]:
+                by_length.setdefault(len(q[2]), []).append(q)
+            # a bound stands for k rows that any other of that score beats
+            held = {n: (np.array([q[0] for q in some]), np.stack([q[2] for q in some]), [[(sent.value[1][q[0]], _NOBODY)] * k if q[0] in sent.value[1] else [] for q in some]) for n, some in by_length.items()}
             for batch in batches:
                 for n, blob in zip(batch.column("length").to_pylist(), batch.column("tree"), strict=True):
-                    if n in by_length:
-                        own, q, best = by_length[n]
+                    if n in held:
+                        own, q, best = held[n]
                         tree = pickle.loads(blob.as_py())
-                        q = _numbers(q, q)
+                        q = _numbers(q)
                         if q.dtype != tree.points.dtype or np.abs(q).max(initial=0) * np.abs(tree.points).max(initial=0) * max(n, 1) >= EXACT:
                             q, tree.points, tree.lo, tree.hi = (x.astype(np.int64).astype(object) for x in (q, tree.points, tree.lo, tree.hi))
                         tree.search(q, own, best, k)
-            rows = [(int(i), -x, max(-(2**63), min(2**63 - 1, int(s)))) for own, _, best in by_length.values() for i, top in zip(own, best, strict=True) for s, x in top]
-            yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "vec_id", "score"), r, strict=True)) for r in rows], pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score")]))
+            ids = {q[0]: q[1] for q in sent.value[0]}
+            rows = [(int(i), ids[int(i)], -x, max(-(2**63), min(2**63 - 1, int(s)))) for own, _, best in held.values() for i, top in zip(own, best, strict=True) for s, x in top if x != _NOBODY]
+            names = [c.split()[0] for c in schema.split(", ")]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([(c, pa.int64()) for c in names]))
 
-        index.mapInArrow(search, schema).write.mode("append").parquet(out)
+        trees.mapInArrow(search, schema).write.mode("append").parquet(to)
         sent.destroy()
 
+    first = F.col("shard") % FIRST == 0
+
+    def send(block: list) -> None:
+        part = new_path(spark, "first")
+        run(block, {}, index.where(first), part)
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+        hits = spark.read.schema(schema).parquet(part).withColumn("_rank", rank).where(F.col("_rank") <= k)
+        hits.drop("_rank").write.mode("append").parquet(out)
+        kth = {r.query_row: r.score for r in hits.where(F.col("_rank") == k).select("query_row", "score").collect()}  # one row a query of the block
+        drop_cut(spark.read.schema(schema).parquet(part))
+        run(block, kth, index.where(~first), out)
+
     block, numbers = [], 0
-    for q in base.where("is_query").select("vec_id", "v").toLocalIterator():
+    for q in base.where("is_query").select("row", "vec_id", "v").toLocalIterator():
         if block and numbers + len(q.v) > BLOCK:
             send(block)
             block, numbers = [], 0
@@ -169,5 +188,5 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, p
     if block:
         send(block)
     hits = spark.read.schema(schema).parquet(out)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
