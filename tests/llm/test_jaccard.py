@@ -101,3 +101,18 @@ def test_components_of_paths_stars_and_noise(spark):
     assert {(x.node, x.component) for x in got} == {(i, find(i)) for i in up}
     assert len(got) == len(up)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    rows = [(1, "a b c d"), (5, "a b c d"), (5, "e f g h"), (9, "e f g h"), (9, ""), (4, "i j k l"), (11, "i j k l"), (11, None), (12, "one two"), (12, "three")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(frame(spark, rows)).collect()}
+    assert got == {(1, 2, 1), (5, 2, 1), (9, 2, 1), (9, 0, 1), (4, 2, 4), (11, 2, 4), (11, 0, 4), (12, 1, 12)}
+
+
+def test_texts_without_a_common_word_never_link(spark):
+    """Words whose hashes are equal under any polynomial."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_groups(frame(spark, rows)).collect()} == {(1, 1), (2, 2), (3, 1)}

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.graph import connected_components
-from tidegauge.llm.shared import broadcast_up_to, cut, fresh, trim
+from tidegauge.llm.shared import broadcast_up_to, cut, drop_cut, fresh, trim
 from tidegauge.llm.textops import Words, mix64, runs, slices, utf8
 
 #: Rows (16 to 24 bytes each) that may be broadcast; beyond, joins are shuffled.
-SMALL = 500_000
+SMALL = 200_000
 #: Sets and tokens of them that a task compares at once, and sets in a group of the matrix.
 BLOCK_SETS, BLOCK_TOKENS, GROUP = 1024, 1_000_000, 32
 #: Frequent shingles that are told apart from the others, half a megabyte.
@@ -195,7 +195,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     link(); each pair of a large family's blocks is a task's work of its own.
 
     Null and empty texts, and texts of white space, have empty sets and link with nothing. Rows with a null
-    doc_id are returned with a null component_id and link with nothing. Rows that share a doc_id are one document for component_id: what one links with, all do.
+    doc_id are returned with a null component_id and link with nothing. Rows that share a doc_id are one document for component_id: what one links with, all do, those without words too.
     An empty table gives an empty result; other columns are ignored.
     """
     made = cut(sketches(docs, width, percent), "sketches")
@@ -205,12 +205,16 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     shared = cut(parts.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("part", "a"), "parts")
     edges = parts.join(broadcast_up_to(shared, SMALL), "part").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
     families = cut(connected_components(edges), "families")
-    links = cut(_links(docs, families, width, percent), "links")
-    names = broadcast_up_to(cut(connected_components(links), "components"), SMALL)
-    out = made.select("doc_id", "n", "k1", "k2").join(firsts.withColumnRenamed("n", "_n"), ["k1", "k2"], "left")
+    # a set's node is the smallest document that has it; rows without words have their own
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("node")).join(names, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    nodes = made.select("doc_id", "n", "k1", "k2").join(firsts.withColumnRenamed("n", "_n"), ["k1", "k2"], "left")
+    nodes = cut(nodes.select("doc_id", F.col("n").alias("n_shingles"), own.alias("node")), "nodes")
+    several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    same = nodes.join(cut(several, "several"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+    links = cut(_links(docs, families, width, percent).unionByName(same), "links")
+    drop_cut(made, firsts, shared, families)
+    names = broadcast_up_to(cut(connected_components(links), "components"), SMALL)
+    return nodes.join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
 def _links(docs: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
