@@ -1,7 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query runs once to warm up and then three times; the median counts. Roll-ups are built and stored once, timed as
-`build`; `rollup_*` ask the stored levels, `scan_*` the events, for the same 80 random ranges.
+`build`; `rollup_*` ask the stored levels, `scan_*` the events, for the same random ranges: 20 of each level, which `scan` aggregates
+to levels first, and 1000 of each, which `scan` compares with every event.
 """
 
 from __future__ import annotations
@@ -48,6 +49,12 @@ def main() -> None:
             took.append(time.perf_counter() - t)
         times[name] = round(statistics.median(took[1:] or took), 4)
 
+    def scan(spark, sf, q, ranges):
+        """The ranges' sums from the events alone."""
+        e = q.read_table(spark, sf, "events").select(q.second_of(q.read_table(spark, sf, "events"), "ts").alias("s"), q._cents().alias("v"))
+        asked = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ranges)], "i int, start long, end long")
+        return e.join(q.F.broadcast(asked), (q.F.col("s") >= q.F.col("start")) & (q.F.col("s") < q.F.col("end"))).groupBy("i", "start", "end").agg(q.F.sum("v").alias("sum"))
+
     noop = lambda df: df.write.format("noop").mode("overwrite").save()
     for name in HEADLINE:
         timed(name, lambda name=name: noop(q.QUERIES[name](spark, sf)))
@@ -59,6 +66,9 @@ def main() -> None:
             ranges = q.random_ranges(level)
             timed(f"rollup_20_ranges_{level}", lambda r=ranges: noop(q._many(stored, r)))
             timed(f"scan_20_ranges_{level}", lambda r=ranges: noop(q._many(built, r)))
+            ranges = q.random_ranges(level, 1000, 11)
+            timed(f"rollup_1000_ranges_{level}", lambda r=ranges: noop(q._many(stored, r)), 2)
+            timed(f"scan_1000_ranges_{level}", lambda r=ranges: noop(scan(spark, sf, q, r)), 1)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": times, "sf": sf.rstrip("/").rsplit("sf", 1)[-1]}))
     spark.stop()

@@ -116,6 +116,7 @@ def _toward_zero(a: int, b: int) -> int:
 
 
 ZERO, MIN, MAX = Duration(0), Duration(_LEAST), Duration(_MOST)
+NANOSECOND, MICROSECOND, MILLISECOND, SECOND, MINUTE, HOUR, DAY, WEEK = (Duration(n) for n in (1, 10**3, 10**6, NANO, 60 * NANO, 3600 * NANO, 86_400 * NANO, 604_800 * NANO))
 
 
 def weeks(n: float) -> Duration:
@@ -142,6 +143,14 @@ def milliseconds(n: int) -> Duration:
     return Duration(n * 10**6)
 
 
+def microseconds(n: int) -> Duration:
+    return Duration(n * 10**3)
+
+
+def nanoseconds(n: int) -> Duration:
+    return Duration(n)
+
+
 def years(n: float) -> Duration:
     """Years of 52 weeks, as the year level has them."""
     return weeks(52 * n)

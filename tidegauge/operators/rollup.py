@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.aggregates import Aggregate
 from tidegauge.functions.duration import Duration
-from tidegauge.plans.ranges import LEVELS, Plan, TimeRange, choose
+from tidegauge.plans.ranges import LEVELS, Piece, Plan, TimeRange, choose
 from tidegauge.sources.events import between, second_of
 
 
@@ -38,7 +38,7 @@ class Rollup:
     """levels: for each level a sparse table (*keys, slot, *fields of the aggregate), slot being the epoch second at which it starts.
 
     Slots lie between origin and watermark, both whole seconds. Levels are lazy: until stored() has written them, each is one
-    aggregation of the events, and a range is a filtered scan of those (raw). Filters compare the bare slot or timestamp column, so that they and the columns asked for reach the scan.
+    aggregation of the events (raw), and a question about some slots or a range scans the events of their seconds only. Filters compare the bare slot or timestamp column, so that they and the columns asked for reach the scan.
     """
 
     spec: Aggregate
@@ -54,9 +54,16 @@ class Rollup:
     @classmethod
     def build(cls, events: DataFrame, spec: Aggregate, value: Column, ts: str, origin: int, watermark: int, keys: Sequence[str] = ()) -> Rollup:
         """From raw events. Rows before origin are late, rows at the watermark or beyond wait; rows without a timestamp don't count."""
-        rows = between(events, ts, origin, watermark).select(*keys, second_of(events, ts).alias("_second"), value.alias("_in"))
-        levels = {level: rows.withColumn("slot", slot_of(F.col("_second"), level, origin)).groupBy(*keys, "slot").agg(*spec.lifted(F.col("_in"))) for level in LEVELS}
-        return cls(spec, origin, watermark, levels, tuple(keys), raw=(events, value, ts))
+        raw = events, value, ts
+        levels = {level: cls._of_events(raw, spec, origin, watermark, keys, level, origin) for level in LEVELS}
+        return cls(spec, origin, watermark, levels, tuple(keys), raw=raw)
+
+    @staticmethod
+    def _of_events(raw: tuple[DataFrame, Column, str], spec: Aggregate, start: int, end: int, keys: Sequence[str], level: str, origin: int) -> DataFrame:
+        """A level from the events of some seconds."""
+        events, value, ts = raw
+        rows = between(events, ts, start, max(start, end)).select(*keys, slot_of(second_of(events, ts), level, origin).alias("slot"), value.alias("_in"))
+        return rows.groupBy(*keys, "slot").agg(*spec.lifted(F.col("_in")))
 
     @classmethod
     def _from_seconds(cls, seconds: DataFrame, spec: Aggregate, origin: int, watermark: int, keys: tuple[str, ...]) -> Rollup:
@@ -88,12 +95,26 @@ class Rollup:
 
     def level(self, name: str) -> DataFrame:
         """A level's retained slots."""
-        df, keep = self.levels[name], self.retention.get(name, Retention())
+        return self.levels[name] if self._oldest(name) is None else self._rows(name, self.origin - LEVELS[name], self.watermark)
+
+    def _oldest(self, name: str) -> int | None:
+        """Where a level's retained slots begin; None if all are."""
+        keep = self.retention.get(name, Retention())
         n = {"keep": None, "drop": CAPACITY[name] - 1, "limit": CAPACITY[name] + keep.more}[keep.policy]
-        return df if n is None else df.where(F.col("slot") >= self._newest(name) - n * LEVELS[name])
+        return None if n is None else self._newest(name) - n * LEVELS[name]
+
+    def _rows(self, name: str, start: int, end: int) -> DataFrame:
+        """A level's retained slots that begin from start to before end; where they aren't stored, from the events of their seconds."""
+        size, first = LEVELS[name], self.origin if name in ("week", "year") else 0
+        lo, hi = (t + (first - t) % size for t in (start, end))
+        oldest = self._oldest(name)
+        lo = lo if oldest is None else max(lo, oldest)
+        if self.raw is None:
+            return self.levels[name].where((F.col("slot") >= lo) & (F.col("slot") < hi))
+        return self._of_events(self.raw, self.spec, max(lo, self.origin), min(hi, self.watermark), self.keys, name, self.origin)
 
     def with_retention(self, **policies: Retention) -> Rollup:
-        return replace(self, retention=self.retention | policies, raw=None)
+        return replace(self, retention=self.retention | policies)
 
     def cleared(self) -> Rollup:
         return replace(self, levels={k: v.limit(0) for k, v in self.levels.items()}, raw=None)
@@ -121,23 +142,44 @@ class Rollup:
         return replace(self, levels=both, watermark=max(self.watermark, other.watermark), raw=None)
 
     def deltas(self, since: int | None = None) -> DataFrame:
-        """The change log: a row for each second from `since` to the watermark, null fields where nothing came."""
+        """The change log: a row for each second from `since` to the watermark, null fields where nothing came. With keys: the keys' seconds in which something came."""
         start = self.origin if since is None else max(since, self.origin)
-        return self._spine(start, self.watermark, 1).join(self.levels["second"], "slot", "left").select("slot", *self.spec.fields)
+        rows = self._rows("second", start, self.watermark)
+        if self.keys:
+            return rows.select(*self.keys, "slot", *self.spec.fields)
+        return self._spine(start, self.watermark, 1).join(rows, "slot", "left").select("slot", *self.spec.fields)
 
     @classmethod
-    def from_deltas(cls, deltas: DataFrame, spec: Aggregate, origin: int, watermark: int) -> Rollup:
-        some = deltas.where(" or ".join(f"{n} is not null" for n in spec.fields))
-        return cls._from_seconds(some.select("slot", *spec.fields), spec, origin, watermark, ())
+    def from_deltas(cls, deltas: DataFrame, spec: Aggregate, origin: int, watermark: int, keys: Sequence[str] = ()) -> Rollup:
+        """From a change log, or from several united: partials of the same second (and key) are combined."""
+        some = deltas.where(" or ".join(f"{n} is not null" for n in spec.fields)).where((F.col("slot") >= origin) & (F.col("slot") < watermark))
+        seconds = some.groupBy(*keys, "slot").agg(*spec.combined())
+        return cls._from_seconds(seconds, spec, origin, watermark, tuple(keys))
+
+    def with_deltas(self, deltas: DataFrame, watermark: int | None = None) -> Rollup:
+        """This and a change log of the same keys, slot by slot: one key's log merges into the keyed roll-up."""
+        end = max(self.watermark, watermark or self.watermark)
+        return self.merged(Rollup.from_deltas(deltas, self.spec, self.origin, end, self.keys))
 
     # -- questions --------------------------------------------------------------------------
 
     def plan(self, start: int, end: int, **options: object) -> Plan:
         return choose(TimeRange(start, end), self.origin, self.watermark, invertible=self.spec.invertible, **options)
 
+    def executed(self, start: int, end: int, **options: object) -> Plan:
+        """The plan that combine_range() runs: levels that aren't stored are no cheaper than their events, so there it is a scan of the range's seconds."""
+        if not self._scans:
+            return self.plan(start, end, **options)
+        r = TimeRange(start, end).clipped(self.origin, self.watermark)
+        return Plan("scan", (Piece("second", r.start, r.end),), r.duration) if r.duration > 0 else Plan("empty", (), 0)
+
+    @property
+    def _scans(self) -> bool:
+        return self.raw is not None and not self.retention
+
     def explain(self, start: int, end: int, **options: object) -> DataFrame:
-        """(seq, kind, level, start, end, slots, cost) of the chosen plan's pieces."""
-        p = self.plan(start, end, **options)
+        """(seq, kind, level, start, end, slots, cost) of the pieces of the plan that combine_range() runs."""
+        p = self.executed(start, end, **options)
         rows = [(i, p.kind, x.level, x.start, x.end, x.slots, p.cost) for i, x in enumerate(p.pieces)]
         return self._spark.createDataFrame(rows, "seq int, kind string, level string, start long, end long, slots long, cost long")
 
@@ -154,9 +196,11 @@ class Rollup:
                 if p.level == level:
                     c = (F.col("slot") >= p.start) & (F.col("slot") < p.end)
                     cond = c if cond is None else cond | c
-            parts.append(self.level(level).where(cond).select(*self.keys, "slot", *self.spec.fields))
+            mine = [p for p in pieces if p.level == level]
+            rows = self._rows(level, min(p.start for p in mine), max(p.end for p in mine))
+            parts.append(rows.where(cond).select(*self.keys, "slot", *self.spec.fields))
         if not parts:
-            return self.level("second").where(F.lit(False)).select(*self.keys, "slot", *self.spec.fields)
+            return self._rows("second", self.origin, self.origin).select(*self.keys, "slot", *self.spec.fields)
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -165,7 +209,7 @@ class Rollup:
     def combine_range(self, start: int, end: int, keyed: bool = False, **options: object) -> DataFrame:
         """One row, or one for each key, with the fields and `value` of all seconds from start to before end; the identity where there is nothing."""
         keys = self.keys if keyed else ()
-        if self.raw is not None:
+        if self._scans:
             events, value, ts = self.raw
             r = TimeRange(start, end).clipped(self.origin, self.watermark)
             rows = between(events, ts, r.start, max(r.start, r.end)).withColumn("_in", value)
@@ -180,8 +224,8 @@ class Rollup:
         return self._lowered(rows.groupBy(*keys).agg(*self.spec.combined()), keys)
 
     def analyze(self, start: int, end: int, **options: object) -> DataFrame:
-        """combine_range() with the plan's kind and its cost in combinations."""
-        p = self.plan(start, end, **options)
+        """combine_range() with the kind of the plan that it runs and its cost in combinations."""
+        p = self.executed(start, end, **options)
         return self.combine_range(start, end, **options).withColumns({"kind": F.lit(p.kind), "cost": F.lit(p.cost).cast("long")})
 
     def stats(self) -> DataFrame:
@@ -200,6 +244,11 @@ class Rollup:
         n = duration.whole("second") if isinstance(duration, Duration) else duration
         return self.combine_range(self.watermark - n, self.watermark, **options)
 
+    def interval_stats(self, duration: Duration | int, **options: object) -> DataFrame:
+        """interval() with kind and cost, as analyze() has them."""
+        n = duration.whole("second") if isinstance(duration, Duration) else duration
+        return self.analyze(self.watermark - n, self.watermark, **options)
+
     def _spine(self, start: int, end: int, step: int) -> DataFrame:
         return self._spark.range(start, max(start, end), step).select(F.col("id").alias("slot"))
 
@@ -207,7 +256,7 @@ class Rollup:
         """(slot, fields, value) of every slot of a level (the coarsest that both bounds fit) in the range, empty ones with the identity."""
         r = TimeRange(start, end).clipped(self.origin, self.watermark)
         level = level or TimeRange(start, end).granularity
-        kept = self.level(level).where((F.col("slot") >= r.start) & (F.col("slot") < r.end)).groupBy("slot").agg(*self.spec.combined())
+        kept = self._rows(level, r.start, max(r.start, r.end)).groupBy("slot").agg(*self.spec.combined())
         return self._lowered(self._spine(r.start, r.end, LEVELS[level]).join(kept, "slot", "left"), ["slot"])
 
     def group_by(self, start: int, end: int, interval: int, clip: bool = False) -> DataFrame:
@@ -216,14 +265,14 @@ class Rollup:
             return self._lowered(self._pieces(()), ["slot"])
         last = start + -(-(end - start) // interval) * interval
         level = next(n for n in ("day", "hour", "minute", "second") if start % LEVELS[n] == 0 and interval % LEVELS[n] == 0 and (not clip or end % LEVELS[n] == 0))
-        rows = self.level(level).where((F.col("slot") >= start) & (F.col("slot") < (end if clip else last)))
+        rows = self._rows(level, start, end if clip else last)
         rows = rows.withColumn("slot", F.col("slot") - F.pmod(F.col("slot") - start, F.lit(interval))).groupBy("slot").agg(*self.spec.combined())
         return self._lowered(self._spine(start, last, interval).join(rows, "slot", "left"), ["slot"])
 
     def landmark(self, keyed: bool = False) -> DataFrame:
         """The whole history, from the coarsest level."""
         keys = self.keys if keyed else ()
-        if self.raw is not None:
+        if self._scans:
             return self.combine_range(self.origin, self.watermark, keyed)
         return self._lowered(self.level("year").groupBy(*keys).agg(*self.spec.combined()), keys)
 
@@ -235,46 +284,50 @@ class Rollup:
         """(slot, fields, value) of the newest complete slots with index i to before j, oldest first in time; empty ones with the identity."""
         end, size = self._newest(level), LEVELS[level]
         lo, hi = max(end - j * size, self.origin - (self.origin - (self.origin if level in ("week", "year") else 0)) % size), end - i * size
-        rows = self.level(level).where((F.col("slot") >= lo) & (F.col("slot") < hi)).groupBy("slot").agg(*self.spec.combined())
+        rows = self._rows(level, lo, hi).groupBy("slot").agg(*self.spec.combined())
         return self._lowered(self._spine(lo, hi, size).join(rows, "slot", "left"), ["slot"])
 
     def last(self, level: str, n: int) -> DataFrame:
         """The newest n complete slots of a level as one row."""
         end = self._newest(level)
-        return self._lowered(self.level(level).where((F.col("slot") >= end - n * LEVELS[level]) & (F.col("slot") < end)).agg(*self.spec.combined()))
+        return self._lowered(self._rows(level, end - n * LEVELS[level], end).agg(*self.spec.combined()))
 
     def total(self, level: str) -> DataFrame:
         """A level's open rotation: what has come since the newest slot of the next coarser level was complete."""
+        start = max(self.origin, self._newest(_COARSER[level])) if level in _COARSER else self.origin
+        return self._lowered(self._rows("second", start, self.watermark).agg(*self.spec.combined()))
+
+    def rotation(self, level: str) -> DataFrame:
+        """(level, rotation_count, ticks_remaining, fields, value) of a level's open rotation: complete slots in it, slots until it is full, and its total."""
+        size = LEVELS[level]
         start = self._newest(_COARSER[level]) if level in _COARSER else self.origin
-        return self._lowered(self.level("second").where(F.col("slot") >= start).agg(*self.spec.combined()))
+        count = min(CAPACITY[level] - 1, max(0, self._newest(level) - start) // size) if level in _COARSER else (self._newest(level) - start) // size % CAPACITY[level]
+        head = [F.lit(level).alias("level"), F.lit(count).cast("long").alias("rotation_count"), F.lit(CAPACITY[level] - count).cast("long").alias("ticks_remaining")]
+        return self.total(level).select(*head, *self.spec.fields, "value")
 
     def filtered(self, level: str, start: int, end: int, keep: Column) -> DataFrame:
         """The slots in the range whose partial fits, as one row; no row if none does."""
-        rows = self.level(level).where((F.col("slot") >= start) & (F.col("slot") < end))
-        rows = rows.groupBy("slot").agg(*self.spec.combined()).where(keep)
+        rows = self._rows(level, start, end).groupBy("slot").agg(*self.spec.combined()).where(keep)
         return self._lowered(rows.agg(*self.spec.combined(), F.count(F.lit(1)).alias("_n")).where("_n > 0"))
 
     # -- prefix layout ----------------------------------------------------------------------
 
-    def prefix(self, level: str) -> DataFrame:
-        """(slot, fields) with running totals up to and with each slot. Totals run inside a unit of the second coarser level, and over the units' sums, so no window holds the whole level."""
+    def prefix(self, level: str) -> Prefix:
+        """Running totals of a level. They run inside a unit of the second coarser level, and over the units' sums, so no window holds the whole level."""
         if not self.spec.invertible:
             raise ValueError(f"{self.spec.name} can't be subtracted")
         names = list(LEVELS)
         unit = names[min(names.index(level) + 2, len(names) - 1)]
-        rows = self.level(level).groupBy("slot").agg(*self.spec.combined()).withColumn("_unit", slot_of(F.col("slot"), unit, self.origin))
-        inside = Window.partitionBy("_unit").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-        before = Window.orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
-        units = rows.groupBy("_unit").agg(*self.spec.combined())
-        units = units.select("_unit", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in self.spec.fields])
-        run = rows.select("_unit", "slot", *[F.sum(n).over(inside).alias(n) for n in self.spec.fields])
-        return run.join(units, "_unit").select("slot", *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in self.spec.fields])
-
-    def prefix_range(self, prefix: DataFrame, start: int, end: int) -> DataFrame:
-        """A range's row from two rows of prefix(): what runs before the end less what runs before the start."""
-        upto = lambda t: [F.coalesce(F.max_by(n, F.when(F.col("slot") < t, F.col("slot"))), F.lit(0)) for n in self.spec.fields]
-        out = prefix.where(F.col("slot") < end).agg(*[(a - b).alias(n) for n, a, b in zip(self.spec.fields, upto(end), upto(start), strict=True)])
-        return self._lowered(out)
+        rows = self.level(level).groupBy("slot").agg(*self.spec.combined()).withColumn("unit", slot_of(F.col("slot"), unit, self.origin))
+        inside = Window.partitionBy("unit").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+        upto = Window.orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
+        units = rows.groupBy("unit").agg(*self.spec.combined()).select("unit", *[F.sum(n).over(upto).alias(n) for n in self.spec.fields])
+        run = rows.select("slot", *[F.sum(n).over(inside).alias(n) for n in self.spec.fields])
+        return Prefix(self, unit, run, units)
+
+    def prefix_range(self, prefix: Prefix, start: int, end: int) -> DataFrame:
+        """A range's row from running totals: what runs before the end less what runs before the start."""
+        return prefix.between(start, end)
 
     # -- keys and timers --------------------------------------------------------------------
 
@@ -299,9 +352,49 @@ class Rollup:
         A second is within reach of the few times after it: each row of the finest level that fits is dealt to those, no join by range.
         """
         level = next(n for n in ("day", "hour", "minute", "second") if all(x % LEVELS[n] == 0 for x in (first, every, back)))
+        if first > self.watermark:
+            return self._lowered(self._pieces(()).withColumnRenamed("slot", "at"), ["at"])
         n = (self.watermark - first) // every
         k = lambda c: F.floor((c - first) / every)
         lo, hi = F.greatest(F.lit(0), k(F.col("slot")) + 1), F.least(F.lit(n), k(F.col("slot") + back))
-        rows = self.level(level).where(lo <= hi).withColumn("_k", F.explode(F.sequence(lo, hi))).groupBy((F.col("_k") * every + first).alias("at")).agg(*self.spec.combined())
+        rows = self._rows(level, first - back, first + n * every).where(lo <= hi).withColumn("_k", F.explode(F.sequence(lo, hi))).groupBy((F.col("_k") * every + first).alias("at")).agg(*self.spec.combined())
         spine = self._spark.range(0, max(0, n + 1)).select((F.col("id") * every + first).alias("at"))
         return self._lowered(spine.join(rows, "at", "left"), ["at"])
+
+    def once(self, at: int, back: int) -> DataFrame:
+        """A timer that fires once: (at, fields, value) of the last `back` seconds at the time `at`; no row while the watermark hasn't reached it."""
+        if at > self.watermark:
+            return self._lowered(self._pieces(()).withColumnRenamed("slot", "at"), ["at"])
+        return self.combine_range(at - back, at).select(F.lit(at).cast("long").alias("at"), *self.spec.fields, "value")
+
+
+@dataclass(frozen=True)
+class Prefix:
+    """Running totals of a roll-up's level: inside (slot, fields), up to and with each slot of its unit; units (unit, fields), up to and with each unit. Both only have what isn't empty."""
+
+    of: Rollup = field(repr=False)
+    unit: str
+    inside: DataFrame = field(repr=False)
+    units: DataFrame = field(repr=False)
+
+    def stored(self, path: str) -> Prefix:
+        """Both tables written under path in order, and read again: a lookup then reads the slots of one unit, by a filter that reaches Parquet, and the few units."""
+        spark = self.inside.sparkSession
+        self.inside.repartitionByRange("slot").sortWithinPartitions("slot").write.mode("overwrite").parquet(f"{path}/inside")
+        self.units.sortWithinPartitions("unit").write.mode("overwrite").parquet(f"{path}/units")
+        return replace(self, inside=spark.read.parquet(f"{path}/inside"), units=spark.read.parquet(f"{path}/units"))
+
+    def before(self, t: int, side: str) -> DataFrame:
+        """Two rows at most: the total of the units before t's, and that of its own unit's slots before t."""
+        size, first = LEVELS[self.unit], self.of.origin if self.unit in ("week", "year") else 0
+        start = t - (t - first) % size
+        fields = list(self.of.spec.fields)
+        units = self.units.where(F.col("unit") < start).agg(*[F.max_by(n, "unit").alias(n) for n in fields])
+        own = self.inside.where((F.col("slot") >= start) & (F.col("slot") < t)).agg(*[F.max_by(n, "slot").alias(n) for n in fields])
+        return units.unionByName(own).select(F.lit(side).alias("side"), *fields)
+
+    def between(self, start: int, end: int) -> DataFrame:
+        r = TimeRange(start, end).clipped(self.of.origin, self.of.watermark)
+        rows = self.before(max(r.start, r.end), "end").unionByName(self.before(r.start, "start"))
+        total = lambda n, side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(n))), F.lit(0))
+        return self.of._lowered(rows.agg(*[(total(n, "end") - total(n, "start")).alias(n) for n in self.of.spec.fields]))

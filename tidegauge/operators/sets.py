@@ -19,7 +19,7 @@ def top_n(rollup: Rollup, n: int, start: int, end: int, descending: bool = True,
     spec, key = rollup.spec, rollup.keys
     order = lambda: [F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last(), *key]
     if truncate_per_slot:
-        rows = rollup.level(truncate_per_slot).where((F.col("slot") >= start) & (F.col("slot") < end)).withColumn("value", spec.lowered())
+        rows = rollup._rows(truncate_per_slot, start, end).withColumn("value", spec.lowered())
         rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("slot").orderBy(*order()))).where(F.col("_r") <= n)
         rows = rows.groupBy(*key).agg(*spec.combined()).withColumn("value", spec.lowered())
     else:
@@ -29,10 +29,17 @@ def top_n(rollup: Rollup, n: int, start: int, end: int, descending: bool = True,
 
 
 def bitmaps(rows: DataFrame, slot: Column, value: str) -> DataFrame:
-    """(slot, bucket, bitmap): the set of non-negative whole numbers of each slot, 32,768 to a bitmap. Nulls and negatives are in no set."""
-    v = F.col(value) + 1  # Spark numbers buckets from 1
-    some = rows.where(F.col(value) >= 0)
-    return some.groupBy(slot.alias("slot"), F.bitmap_bucket_number(v).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("bitmap"))
+    """(slot, bucket, bitmap): the set of whole numbers of each slot, 32,768 to a bitmap; all 64-bit numbers can be in one (unsigned ones above 2^63 as the negative of the same bits). Nulls are in no set."""
+    v = F.col(value).cast("long")
+    return rows.where(v.isNotNull()).groupBy(slot.alias("slot"), _bucket(v).alias("bucket")).agg(F.bitmap_construct_agg(_position(v)).alias("bitmap"))
+
+
+def _bucket(value: Column) -> Column:
+    return F.shiftright(value, 15)
+
+
+def _position(value: Column) -> Column:
+    return value.bitwiseAND(F.lit(BITS - 1).cast("long"))
 
 
 def united(maps: DataFrame, slot: Column | None = None) -> DataFrame:
@@ -46,17 +53,21 @@ def counted(maps: DataFrame) -> DataFrame:
     return maps.groupBy("slot").agg(F.sum(F.bitmap_count("bitmap")).alias("n_distinct"))
 
 
-def _bit(bitmap: Column, position: Column) -> Column:
-    """Whether a bit is set; bits count from each byte's lowest."""
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (position % 8).cast("int")) == 1
+def elements(maps: DataFrame) -> DataFrame:
+    """(slot, bucket, position) of every bit that is set: a row for each byte that isn't zero, then for each of its bits, counted from the lowest."""
+    bytes_ = F.filter(F.sequence(F.lit(1), F.lit(BITS // 8)), lambda i: F.substring(F.col("bitmap"), i, F.lit(1)) != F.lit(b"\0"))
+    rows = maps.select("slot", "bucket", "bitmap", F.explode(bytes_).alias("_i"))
+    byte = F.conv(F.hex(F.substring("bitmap", F.col("_i"), F.lit(1))), 16, 10).cast("int")
+    rows = rows.select("slot", "bucket", "_i", byte.alias("_b"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda j: F.getbit(F.col("_b"), j) == 1)
+    return rows.select("slot", "bucket", "_i", F.explode(bits).alias("_j")).select("slot", "bucket", ((F.col("_i") - 1) * 8 + F.col("_j")).cast("long").alias("position"))
 
 
 def members(maps: DataFrame, candidates: DataFrame, value: str) -> DataFrame:
-    """(slot, value): which of the candidates each slot's set has, by a join on the bucket."""
-    c = candidates.select(F.col(value).alias("value")).where("value >= 0").distinct()
-    c = c.withColumn("bucket", F.bitmap_bucket_number(F.col("value") + 1)).withColumn("_p", F.bitmap_bit_position(F.col("value") + 1))
-    return maps.join(c, "bucket").where(_bit(F.col("bitmap"), F.col("_p"))).select("slot", "value")
+    """(slot, value): which of the candidates each slot's set has. Elements and candidates meet in the whole number itself, so the work is the elements and the hits."""
+    c = candidates.select(F.col(value).cast("long").alias("value")).where("value is not null").distinct()
+    c = c.select("value", _bucket(F.col("value")).alias("bucket"), _position(F.col("value")).alias("position"))
+    return elements(maps).join(c, ["bucket", "position"]).select("slot", "value")
 
 
 def _positions(value: Column) -> Column:
@@ -70,11 +81,9 @@ def blooms(rows: DataFrame, slot: Column, value: str) -> DataFrame:
 
 
 def may_contain(filters: DataFrame, candidates: DataFrame, value: str) -> DataFrame:
-    """(slot, value): the candidates that each slot's filter may have; none that it has is missing."""
+    """(slot, value): the candidates that each slot's filter may have; none that it has is missing. Set bits and candidates' bits meet in bucket and position, and a slot's hits of a candidate are counted."""
     c = candidates.select(F.col(value).alias("value")).where("value is not null").distinct()
-    bits = c.select("value", F.explode(F.array_distinct(_positions(F.col("value")))).alias("_p")).withColumn("bucket", F.floor(F.col("_p") / BITS))
-    need = F.size(F.array_distinct(_positions(F.col("value"))))
-    hit = filters.join(bits, "bucket").where(_bit(F.col("bitmap"), F.col("_p") % BITS)).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("_n"))
-    return hit.where(F.col("_n") == need).select("slot", "value")
-
-
+    bits = c.select("value", F.explode(F.array_distinct(_positions(F.col("value")))).alias("_p"))
+    bits = bits.select("value", F.floor(F.col("_p") / BITS).alias("bucket"), (F.col("_p") % BITS).alias("position"))
+    hit = elements(filters).join(bits, ["bucket", "position"]).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("_n"))
+    return hit.where(F.col("_n") == F.size(F.array_distinct(_positions(F.col("value"))))).select("slot", "value")

@@ -79,7 +79,7 @@ def split(r: TimeRange) -> list[Piece]:
 
 @dataclass(frozen=True)
 class Plan:
-    """kind: landmark, single, combined, prefix, inverse or empty. pieces are added; for inverse they are what the whole history has too much."""
+    """kind: landmark, single, combined, prefix, inverse, scan (of events) or empty. pieces are added; for inverse they are what the whole history has too much."""
 
     kind: str
     pieces: tuple[Piece, ...]

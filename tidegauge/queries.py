@@ -12,7 +12,8 @@ from tidegauge.functions.aggregates import ALL, AVG, AVG_INT, COUNT, MAX, MIN, M
 from tidegauge.operators import sets, windows
 from tidegauge.operators.rollup import Retention, Rollup, slot_of
 from tidegauge.plans.ranges import LEVELS
-from tidegauge.sources.events import between, read_table, second_of
+from tidegauge.sources.events import between, read_table, scratch, second_of
+from tidegauge.streaming import windows as streams
 from tidegauge.streaming.windows import on_time
 
 #: 2024-01-01 and 2024-01-31, between which all events lie; the range of the flagship query, 2024-01-05 15:50:50 to 2024-01-20 12:30:45.
@@ -37,6 +38,17 @@ def _events(spark: SparkSession, sf: str, spec: Aggregate = SUM, keys: tuple[str
     return Rollup.build(read_table(spark, sf, "events"), spec, _cents(), "ts", start, end, keys)
 
 
+_STORED: dict[tuple, Rollup] = {}
+
+
+def _stored(spark: SparkSession, sf: str, spec: Aggregate = SUM, keys: tuple[str, ...] = ()) -> Rollup:
+    """The roll-up of all events with its levels written to the shared folder, once in an application."""
+    key = spark.sparkContext.applicationId, sf, spec.name, keys
+    if key not in _STORED:
+        _STORED[key] = _events(spark, sf, spec, keys).stored(scratch(spark, f"rollup-{spec.name}"))
+    return _STORED[key]
+
+
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     QUERIES[name] = run
     if sql is not None:
@@ -72,31 +84,75 @@ def random_ranges(level: str, n: int = 20, seed: int = 7) -> list[tuple[int, int
 
 
 def _many(rollup: Rollup, ranges: list[tuple[int, int]]) -> DataFrame:
-    """Sums of many ranges at once: each level is scanned once, and each range's pieces take their slots there."""
+    """Sums of many ranges at once. Each range's plan names the slots it combines, which meet a level's rows by slot; of a level only what lies between the first and the last of these is read."""
+    spark, out, kept = rollup.levels["second"].sparkSession, None, rollup.spec.fields
     pieces = [(i, p.level, p.start, p.end) for i, (a, b) in enumerate(ranges) for p in rollup.plan(a, b).pieces]
-    spark, out = rollup.levels["second"].sparkSession, None
     for level in dict.fromkeys(x[1] for x in pieces):
         mine = [(i, s, e) for i, lv, s, e in pieces if lv == level]
-        want = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), F.lit(e).alias("e")) for i, s, e in mine]), lambda x: (F.col("slot") >= x["s"]) & (F.col("slot") < x["e"]))
-        rows = rollup.level(level).select(F.explode(want).alias("x"), *rollup.spec.fields).select("x.i", *rollup.spec.fields).groupBy("i").agg(*rollup.spec.combined())
+        slots = F.explode(F.sequence(F.col("s"), F.col("e") - LEVELS[level], F.lit(LEVELS[level]))).alias("slot")
+        asked = spark.createDataFrame(mine, "i int, s long, e long").select("i", slots)
+        rows = rollup._rows(level, min(s for _, s, _ in mine), max(e for _, _, e in mine)).join(asked, "slot").groupBy("i").agg(*rollup.spec.combined())
         out = rows if out is None else out.unionByName(rows)
     asked = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ranges)], "i int, start long, end long")
     got = out.groupBy("i").agg(*rollup.spec.combined())
-    return asked.join(F.broadcast(got), "i", "left").select("start", "end", *rollup.spec.filled())
+    return asked.join(got, "i", "left").select("start", "end", *rollup.spec.filled())
+
+
+def _many_sql(ranges: list[tuple[int, int]]) -> str:
+    values = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(ranges))
+    return f"SELECT a AS start, b AS end, CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM (VALUES {values}) r(i, a, b) LEFT JOIN {_E} ON s >= a AND s < b GROUP BY i, a, b"
 
 
 for _level in ("second", "minute", "hour", "day"):
     _ranges = random_ranges(_level)
-    _values = ", ".join(f"({a}, {b})" for a, b in _ranges)
-    _add(f"range_sum_{_level}s", lambda spark, sf, ranges=_ranges: _many(_events(spark, sf), ranges).withColumnRenamed("sum", "value"), f"SELECT a AS start, b AS end, CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM (VALUES {_values}) r(a, b) LEFT JOIN {_E} ON s >= a AND s < b GROUP BY a, b")
+    _add(f"range_sum_{_level}s", lambda spark, sf, ranges=_ranges: _many(_events(spark, sf), ranges).withColumnRenamed("sum", "value"), _many_sql(_ranges))
+    _ranges = random_ranges(_level, 1000, 11)
+    _add(f"stored_1000_ranges_{_level}", lambda spark, sf, ranges=_ranges: _many(_stored(spark, sf), ranges).withColumnRenamed("sum", "value"), _many_sql(_ranges))
 
 _add("range_raw_scan", lambda spark, sf: between(read_table(spark, sf, "events"), "ts", START, END).agg(F.sum(_cents()).alias("value")), f"SELECT CAST(sum(v) AS BIGINT) AS value FROM {_E} WHERE s >= {START} AND s < {END}")
+_PIECES = (
+    ("second", START, 1_704_469_860, 10),
+    ("minute", 1_704_469_860, 1_704_470_400, 9),
+    ("hour", 1_704_470_400, 1_704_499_200, 8),
+    ("day", 1_704_499_200, 1_705_708_800, 14),
+    ("hour", 1_705_708_800, 1_705_752_000, 12),
+    ("minute", 1_705_752_000, 1_705_753_800, 30),
+    ("second", 1_705_753_800, END, 45),
+)
 _add(
     "range_explain",
-    lambda spark, sf: _events(spark, sf).explain(START, END),
-    "SELECT * FROM (VALUES " + ", ".join(f"({i}, 'combined', '{lv}', {a}::BIGINT, {b}::BIGINT, {n}::BIGINT, 135::BIGINT)" for i, (lv, a, b, n) in enumerate((("second", START, 1_704_469_860, 10), ("minute", 1_704_469_860, 1_704_470_400, 9), ("hour", 1_704_470_400, 1_704_499_200, 8), ("day", 1_704_499_200, 1_705_708_800, 14), ("hour", 1_705_708_800, 1_705_752_000, 12), ("minute", 1_705_752_000, 1_705_753_800, 30), ("second", 1_705_753_800, END, 45)))) + ") t(seq, kind, level, start, \"end\", slots, cost)",
+    lambda spark, sf: _stored(spark, sf).explain(START, END),
+    "SELECT * FROM (VALUES " + ", ".join(f"({i}, 'combined', '{lv}', {a}::BIGINT, {b}::BIGINT, {n}::BIGINT, 135::BIGINT)" for i, (lv, a, b, n) in enumerate(_PIECES)) + ") t(seq, kind, level, start, \"end\", slots, cost)",
 )
-_add("range_analyze", lambda spark, sf: _events(spark, sf).analyze(START, END).select("value", "kind", "cost"), f"SELECT CAST(sum(v) AS BIGINT) AS value, 'combined' AS kind, 135::BIGINT AS cost FROM {_E} WHERE s >= {START} AND s < {END}")
+_IN = f"s >= {START} AND s < {END}"
+_add("range_analyze", lambda spark, sf: _events(spark, sf).analyze(START, END).select("value", "kind", "cost"), f"SELECT CAST(sum(v) AS BIGINT) AS value, 'scan' AS kind, {END - START}::BIGINT AS cost FROM {_E} WHERE {_IN}")
+_add("stored_analyze", lambda spark, sf: _stored(spark, sf).analyze(START, END).select("value", "kind", "cost"), f"SELECT CAST(sum(v) AS BIGINT) AS value, 'combined' AS kind, 135::BIGINT AS cost FROM {_E} WHERE {_IN}")
+_add(
+    "stored_interval_stats",
+    lambda spark, sf: _stored(spark, sf).interval_stats(DAY).select("value", "kind", "cost"),
+    f"SELECT CAST(sum(v) AS BIGINT) AS value, 'single' AS kind, 1::BIGINT AS cost FROM {_E} WHERE s >= {WATERMARK - DAY} AND s < {WATERMARK}",
+)
+for _name in ("sum", "all", "avg"):
+    _spec, _out, _sql = _LOWER[_name]
+    _add(f"stored_range_{_name}", lambda spark, sf, spec=_spec, out=_out: _stored(spark, sf, spec).combine_range(START, END).selectExpr(*out), f"SELECT {_sql} FROM {_E} WHERE {_IN}")
+    _add(f"stored_landmark_{_name}", lambda spark, sf, spec=_spec, out=_out: _stored(spark, sf, spec).landmark().selectExpr(*out), f"SELECT {_sql} FROM {_E}")
+    _add(f"stored_interval_7d_{_name}", lambda spark, sf, spec=_spec, out=_out: _stored(spark, sf, spec).interval(7 * DAY).selectExpr(*out), f"SELECT {_sql} FROM {_E} WHERE s >= {WATERMARK - 7 * DAY} AND s < {WATERMARK}")
+_add("stored_snapshot", lambda spark, sf: _stored(spark, sf, ALL).level("hour"), f"SELECT s - s % 3600 AS slot, min(v) AS min, max(v) AS max, count(v) AS count, CAST(sum(v) AS BIGINT) AS sum FROM {_E} GROUP BY 1")
+_add(
+    "stored_topk_time",
+    lambda spark, sf: _stored(spark, sf, SUM, ("user_id",)).top_k(7, START, END).select("user_id", "value"),
+    f"SELECT user_id, CAST(sum(v) AS BIGINT) AS value FROM {_E} WHERE {_IN} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7",
+)
+_add(
+    "stored_keyed_range",
+    lambda spark, sf: _stored(spark, sf, SUM, ("user_id",)).where_key(F.col("user_id").between(3, 40)).combine_range(START, END, keyed=True).select("user_id", "value"),
+    f"SELECT user_id, CAST(sum(v) AS BIGINT) AS value FROM {_E} WHERE user_id BETWEEN 3 AND 40 AND {_IN} GROUP BY 1",
+)
+_add(
+    "stored_group_by_12h",
+    lambda spark, sf: _stored(spark, sf).group_by(ORIGIN, WATERMARK, 12 * HOUR).select("slot", "value"),
+    f"SELECT w AS slot, CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM range({ORIGIN}, {WATERMARK}, {12 * HOUR}) t(w) LEFT JOIN {_E} ON s - s % {12 * HOUR} = w GROUP BY w",
+)
 _add("level_stats", lambda spark, sf: _events(spark, sf).stats(), " UNION ALL ".join(f"SELECT '{lv}' AS level, count(DISTINCT slot) AS retained, min(slot) AS first, max(slot) AS newest, {'false' if lv in ('week', 'year') else 'true'} AS \"full\" FROM (SELECT {_slot_sql(lv, ORIGIN)} AS slot FROM {_E})" for lv in LEVELS))
 for _label, _n in (("15s", 15), ("1m", 60), ("1h", HOUR), ("1d", DAY), ("7d", 7 * DAY)):
     _add(f"interval_{_label}", lambda spark, sf, n=_n: _events(spark, sf, COUNT).interval(n).select("value"), f"SELECT count(*) AS value FROM {_E} WHERE s >= {WATERMARK - _n} AND s < {WATERMARK}")
@@ -137,18 +193,27 @@ def _sliding_sql(size: int, slide: int, origin: int, watermark: int, sql: str) -
 
 for _label, _size, _slide, _name in (("1h_10m", HOUR, 600, "sum"), ("10m_3m_uneven", 600, 180, "sum"), ("1h_25m_min", HOUR, 1500, "min"), ("6h_1h_avg", 6 * HOUR, HOUR, "avg"), ("1d_1h_all", DAY, HOUR, "all")):
     _spec, _out, _sql = _LOWER[_name]
-    _to = ORIGIN + 3 * DAY if _slide == 180 else WATERMARK
+    _to = WATERMARK
     _add(f"sliding_{_label}", lambda spark, sf, spec=_spec, out=_out, size=_size, slide=_slide, to=_to: windows.sliding(read_table(spark, sf, "events"), spec, _cents(), "ts", size, slide, ORIGIN, to).selectExpr("window_start", "window_end", *out), _sliding_sql(_size, _slide, ORIGIN, _to, _sql))
-_add("tumbling_unaligned_90s", lambda spark, sf: windows.tumbling(read_table(spark, sf, "events"), SUM, _cents(), "ts", 90, ORIGIN + 30, ORIGIN + DAY).select("window_start", "window_end", "value"), _sliding_sql(90, 90, ORIGIN + 30, ORIGIN + DAY, "CAST(coalesce(sum(v), 0) AS BIGINT) AS value"))
+_add(
+    "tumbling_unaligned_90s",
+    lambda spark, sf: windows.tumbling(read_table(spark, sf, "events"), SUM, _cents(), "ts", 90, ORIGIN + 30, WATERMARK).select("window_start", "window_end", "value"),
+    f"SELECT w AS window_start, w + 90 AS window_end, CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM range({ORIGIN + 30}, {WATERMARK - 89}, 90) t(w) LEFT JOIN {_E} e ON s - (s - {ORIGIN + 30}) % 90 = w GROUP BY w",
+)
+_add(
+    "windows_fired_by_advance",
+    lambda spark, sf: windows.sliding(read_table(spark, sf, "events"), SUM, _cents(), "ts", HOUR, 600, ORIGIN, END, since=START).select("window_start", "window_end", "value"),
+    f"SELECT * FROM ({_sliding_sql(HOUR, 600, ORIGIN, END, 'CAST(coalesce(sum(v), 0) AS BIGINT) AS value')}) WHERE window_end > {START}",
+)
 _add("tumbling_1d_by_type", lambda spark, sf: windows.tumbling(read_table(spark, sf, "events"), SUM, _cents(), "ts", DAY, ORIGIN, WATERMARK, ["event_type"]).select("event_type", "window_start", "window_end", "value"), f"SELECT k.event_type, w AS window_start, w + {DAY} AS window_end, CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM range({ORIGIN}, {WATERMARK}, {DAY}) t(w) CROSS JOIN (SELECT DISTINCT event_type FROM events) k LEFT JOIN {_E} e ON s - s % {DAY} = w AND e.event_type = k.event_type GROUP BY ALL")
 
 
-def _session_sql(keys: str, timeout: int) -> str:
+def _session_sql(keys: str, timeout: int, closed: str | None = None) -> str:
     part = f"PARTITION BY {keys} " if keys else ""
     k = f"{keys}, " if keys else ""
     return f"""WITH a AS (SELECT {k}s, v, CASE WHEN s - lag(s) OVER ({part}ORDER BY s) <= {timeout} THEN 0 ELSE 1 END AS new FROM {_E}),
 b AS (SELECT *, sum(new) OVER ({part}ORDER BY s RANGE UNBOUNDED PRECEDING) AS n FROM a)
-SELECT {k}min(s) AS window_start, max(s) + {timeout} AS window_end, CAST(sum(v) AS BIGINT) AS value FROM b GROUP BY {k}n HAVING max(s) + {timeout} + 1 <= {WATERMARK}"""
+SELECT {k}min(s) AS window_start, max(s) + {timeout} AS window_end, CAST(sum(v) AS BIGINT) AS value FROM b GROUP BY {k}n HAVING {closed or f"max(s) + {timeout} + 1 <= {WATERMARK}"}"""
 
 
 for _label, _timeout, _keys in (("10m", 600, []), ("30s", 30, []), ("1h_by_user", HOUR, ["user_id"]), ("3d_by_user", 3 * DAY, ["user_id"])):
@@ -166,13 +231,26 @@ def _with_slot(spark: SparkSession, sf: str, level: str) -> tuple[DataFrame, obj
 
 _add("distinct_users_by_day", lambda spark, sf: sets.counted(sets.bitmaps(*_with_slot(spark, sf, "day"), "user_id")), f"SELECT s - s % {DAY} AS slot, CAST(count(DISTINCT user_id) AS BIGINT) AS n_distinct FROM {_E} GROUP BY 1")
 _add("distinct_users_by_week", lambda spark, sf: sets.counted(sets.united(sets.bitmaps(*_with_slot(spark, sf, "hour"), "user_id"), slot_of(F.col("slot"), "week", ORIGIN))), f"SELECT {_slot_sql('week', ORIGIN)} AS slot, CAST(count(DISTINCT user_id) AS BIGINT) AS n_distinct FROM {_E} GROUP BY 1")
-_add("bitmap_membership", lambda spark, sf: sets.members(sets.bitmaps(*_with_slot(spark, sf, "hour"), "user_id"), read_table(spark, sf, "events").where("user_id % 7 = 3"), "user_id"), f"SELECT DISTINCT s - s % 3600 AS slot, user_id AS value FROM {_E} WHERE user_id % 7 = 3")
+_add("bitmap_membership", lambda spark, sf: sets.members(sets.bitmaps(*_with_slot(spark, sf, "hour"), "user_id"), read_table(spark, sf, "events"), "user_id"), f"SELECT DISTINCT s - s % 3600 AS slot, user_id AS value FROM {_E}")
 _add("bloom_membership", lambda spark, sf: sets.may_contain(sets.blooms(*_with_slot(spark, sf, "hour"), "user_id"), read_table(spark, sf, "events"), "user_id"))
 
 
+def _bloom_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs of hour and user there are, and how many of them the hours' filters deny: none."""
+    e, slot = _with_slot(spark, sf, "hour")
+    there = e.select(slot.alias("slot"), F.col("user_id").alias("value")).distinct()
+    found = sets.may_contain(sets.blooms(e, slot, "user_id"), e, "user_id").withColumn("hit", F.lit(1))
+    return there.join(found, ["slot", "value"], "left").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("hit").isNull()).alias("n_missed"))
+
+
+_add("bloom_misses", _bloom_misses, f"SELECT count(*) AS n_pairs, 0::BIGINT AS n_missed FROM (SELECT DISTINCT s - s % 3600, user_id FROM {_E})")
+
+
 def _prefix(spark: SparkSession, sf: str) -> DataFrame:
-    r = _events(spark, sf)
-    return r.prefix_range(r.prefix("second"), START, END).select("value")
+    key = spark.sparkContext.applicationId, sf, "prefix"
+    if key not in _STORED:
+        _STORED[key] = _stored(spark, sf).prefix("second").stored(scratch(spark, "prefix"))
+    return _STORED[key].between(START, END).select("value")
 
 
 def _merged(spark: SparkSession, sf: str, parts: int = 2) -> Rollup:
@@ -182,11 +260,80 @@ def _merged(spark: SparkSession, sf: str, parts: int = 2) -> Rollup:
 
 
 _add("prefix_range_sum", _prefix, f"SELECT CAST(sum(v) AS BIGINT) AS value FROM {_E} WHERE s >= {START} AND s < {END}")
-_add("inverse_landmark_sum", lambda spark, sf: _events(spark, sf).combine_range(ORIGIN + 10, WATERMARK - 10, use_inverse=True).select("value"), f"SELECT CAST(sum(v) AS BIGINT) AS value FROM {_E} WHERE s >= {ORIGIN + 10} AND s < {WATERMARK - 10}")
+_add("inverse_landmark_sum", lambda spark, sf: _stored(spark, sf).combine_range(ORIGIN + 10, WATERMARK - 10, use_inverse=True).select("value"), f"SELECT CAST(sum(v) AS BIGINT) AS value FROM {_E} WHERE s >= {ORIGIN + 10} AND s < {WATERMARK - 10}")
 _add("merge_two_halves", lambda spark, sf: _merged(spark, sf).level("hour"), f"SELECT s - s % 3600 AS slot, min(v) AS min, max(v) AS max, count(v) AS count, CAST(sum(v) AS BIGINT) AS sum FROM {_E} GROUP BY 1")
 _add("advance", lambda spark, sf: _events(spark, sf, end=START).advanced(read_table(spark, sf, "events"), _cents(), "ts", END).level("day"), f"SELECT s - s % {DAY} AS slot, CAST(sum(v) AS BIGINT) AS sum FROM {_E} WHERE s < {END} GROUP BY 1")
-_add("delta_state", lambda spark, sf: _events(spark, sf).deltas(WATERMARK - DAY), f"SELECT w AS slot, CAST(sum(v) AS BIGINT) AS sum FROM range({WATERMARK - DAY}, {WATERMARK}) t(w) LEFT JOIN {_E} ON s = w GROUP BY w")
-_add("delta_rebuild", lambda spark, sf: Rollup.from_deltas(_events(spark, sf).deltas(WATERMARK - DAY), SUM, ORIGIN, WATERMARK).level("hour"), f"SELECT s - s % 3600 AS slot, CAST(sum(v) AS BIGINT) AS sum FROM {_E} WHERE s >= {WATERMARK - DAY} GROUP BY 1")
+_add(
+    "delta_state",
+    lambda spark, sf: _events(spark, sf).deltas().groupBy((F.col("slot") - F.col("slot") % 3600).alias("hour")).agg(F.count(F.lit(1)).alias("seconds"), F.count("sum").alias("filled"), F.coalesce(F.sum("sum"), F.lit(0)).alias("value")),
+    f"SELECT w - w % 3600 AS hour, count(DISTINCT w) AS seconds, count(DISTINCT s) AS filled, CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM range({ORIGIN}, {WATERMARK}) t(w) LEFT JOIN {_E} ON s = w GROUP BY 1",
+)
+_HOURS = f"SELECT s - s % 3600 AS slot, CAST(sum(v) AS BIGINT) AS sum FROM {_E} GROUP BY 1"
+_add("delta_rebuild", lambda spark, sf: Rollup.from_deltas(_events(spark, sf).deltas(), SUM, ORIGIN, WATERMARK).level("hour"), _HOURS)
+
+
+def _appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Two change logs, of the events before and after a time, one after the other."""
+    old, new = _events(spark, sf, end=START), _events(spark, sf, start=START)
+    return Rollup.from_deltas(old.deltas().unionByName(new.deltas()), SUM, ORIGIN, WATERMARK).level("hour")
+
+
+def _one_more_key(spark: SparkSession, sf: str) -> DataFrame:
+    """A keyed roll-up without user 7, and that user's change log merged into it."""
+    all_users = _events(spark, sf, keys=("user_id",))
+    rest, log = all_users.where_key(F.col("user_id") != 7), all_users.where_key(F.col("user_id") == 7).deltas()
+    return rest.with_deltas(log).landmark(keyed=True).select("user_id", "value")
+
+
+_add("delta_append", _appended, _HOURS)
+_add("keyed_merge_delta", _one_more_key, f"SELECT user_id, CAST(sum(v) AS BIGINT) AS value FROM {_E} GROUP BY 1")
+_add("cleared_and_merged", lambda spark, sf: _events(spark, sf).cleared().merged(_events(spark, sf)).level("hour"), _HOURS)
+_OPEN = WATERMARK - 5000
+_add(
+    "rotation_hour",
+    lambda spark, sf: _events(spark, sf, end=_OPEN).rotation("hour").select("level", "rotation_count", "ticks_remaining", "value"),
+    f"SELECT 'hour' AS level, ({_OPEN} % {DAY} // {HOUR})::BIGINT AS rotation_count, 24 - ({_OPEN} % {DAY} // {HOUR})::BIGINT AS ticks_remaining, CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM {_E} WHERE s >= {_OPEN - _OPEN % DAY} AND s < {_OPEN}",
+)
+_add(
+    "timer_once",
+    lambda spark, sf: _events(spark, sf).once(START, DAY).select("at", "value"),
+    f"SELECT {START}::BIGINT AS at, CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM {_E} WHERE s >= {START - DAY} AND s < {START}",
+)
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    # a pattern may match a file or a folder; a plain path of a stream must be a folder
+    return spark.readStream.schema(read_table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+
+
+def _run(stream: DataFrame) -> DataFrame:
+    """All that a stream emits until its source is read: written as Parquet, and read."""
+    spark, out = stream.sparkSession, scratch(stream.sparkSession, "stream")
+    query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def _stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    out = scratch(spark, "stream")
+    streams.roll_up_stream(_stream(spark, sf), SUM, _cents(), "ts", f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return streams.load_roll_up(spark, f"{out}/rows", SUM, ORIGIN, WATERMARK).level("hour")
+
+
+# a stream's watermark ends at its newest event: windows that end by then are emitted, empty ones aren't
+_SEEN = f"(SELECT max(s) FROM {_E})"
+for _label, _size, _slide in (("tumbling_1d", DAY, DAY), ("sliding_6h_1h", 6 * HOUR, HOUR)):
+    _add(
+        f"stream_{_label}",
+        lambda spark, sf, size=_size, slide=_slide: _run(streams.window_stream(_stream(spark, sf), SUM, _cents(), "ts", size, slide, ORIGIN).select("window_start", "window_end", "value")),
+        f"SELECT w AS window_start, w + {_size} AS window_end, CAST(sum(v) AS BIGINT) AS value FROM range({ORIGIN}, {WATERMARK}, {_slide}) t(w) JOIN {_E} e ON s >= w AND s < w + {_size} WHERE w + {_size} <= {_SEEN} GROUP BY w",
+    )
+_add(
+    "stream_session_1h_by_user",
+    lambda spark, sf: _run(streams.session_stream(_stream(spark, sf), SUM, _cents(), "ts", HOUR, keys=["user_id"]).select("user_id", "window_start", "window_end", "value")),
+    _session_sql("user_id", HOUR, f"max(s) + {HOUR} <= {_SEEN}"),
+)
+_add("stream_rollup_hour", _stream_rollup, _HOURS)
 
 
 def _replay(spark: SparkSession, sf: str) -> DataFrame:

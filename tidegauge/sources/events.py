@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,19 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet", schema: st
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one of a local master. It goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tidegauge-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/tidegauge-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def second_of(df: DataFrame, ts: str) -> Column:
     """The epoch second of a timestamp column, or of a long of milliseconds. A timestamp without zone counts as UTC, whatever the session's zone."""
     kind = dict(df.dtypes)[ts]
