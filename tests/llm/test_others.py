@@ -110,6 +110,46 @@ def test_urls(spark):
     assert urls.url_filter(df.limit(0)).count() == 0
 
 
+def test_urls_random_graphs(spark):
+    """Components with stars and long chains of canonical links, refreshes and redirects, against a search from each page."""
+    r = random.Random(12)
+    hosts = ["a.org", "b.com", "c.net", "example.net", "example.com", "x.example.com", "d.io", "net", "sub.org"]
+    url = lambda i: f"http://{hosts[i % len(hosts)]}{('/en/', '/de/', '/fr/', '/')[i // 9 % 4]}p{i}"
+    n = 240
+    links = [(i, i + 1) for i in range(40)] + [(60 + i, 50) for i in range(1, 50)] + [(r.randrange(120, n), r.randrange(120, n)) for _ in range(70)]
+    tag = lambda i, j: f'<link rel="canonical" href="{url(j)}">' if (i + j) % 2 else f'<meta http-equiv="refresh" content="1; url={url(j)}">'
+    given = [x for k, x in enumerate(links) if k % 5 == 0]
+    rows = [(i, url(i), "".join(tag(a, b) for k, (a, b) in enumerate(links) if a == i and k % 5)) for i in range(n) if i % 7]  # some are only linked to
+    edges = spark.createDataFrame([(url(a), url(b)) for a, b in given], "a string, b string")
+    there = {i for i, *_ in rows}
+    near = {}
+    for k, (a, b) in enumerate(links):
+        if a != b and (k % 5 == 0 or a in there):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def judge(i):
+        host, path, best = hosts[i % len(hosts)], url(i).split("/", 3)[3], None
+        for verdict, rule in urls.RULES:
+            h, p = rule.split("/", 1)
+            if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(rule) > len(best[1])):
+                best = verdict, rule
+        return best
+
+    want = {}
+    for i in there:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near.get(todo.pop(), ()):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        own = judge(i)
+        want[i] = (own[1], own[0]) if own else (None, "block" if any((judge(j) or ("",))[0] == "block" for j in seen) else "allow")
+    got = {x.page_id: (x.rule, x.verdict) for x in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"), edges=edges).collect()}
+    assert got == want and {v for _, v in want.values()} == {"block", "allow"}
+
+
 def test_urls_second_tags_and_relative_targets(spark):
     link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
     rows = [
@@ -136,22 +176,39 @@ def test_chat_round_trip(text):
 def test_chat_templates():
     turns = [("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(300)]
     header = lambda t: "BEGIN " + chat.chatml(t)
-    assert chat.spans(turns, header) == chat.spans(turns, header, 10**9)
-    counted = lambda t: "".join(f"[{i}]{x}" for i, (_, x) in enumerate(t))  # noqa: E731  depends on what stands before: blocks don't fit, whole prefixes do
-    assert chat.spans(turns, counted) == chat.spans(turns, counted, 10**9)
-    assert chat.spans(turns, counted)[1][-1][1] == len(counted(turns))
+    whole, at = chat.spans(turns, header)
+    assert whole == header(turns) and [whole[a:b] for a, b in at] == [chat.chatml([t]) for t in turns]
+    counted = lambda t: "".join(f"[{i}]{x}" for i, (_, x) in enumerate(t))  # noqa: E731  depends on what stands before
+    whole, at = chat.spans(turns, counted)
+    assert [whole[a:b] for a, b in at] == [f"[{i}]t{i}" for i in range(300)]
     last_only = lambda t: "".join(f"<{x}>" if i < len(t) - 1 else f"<{x}!>" for i, (_, x) in enumerate(t))
     assert chat.spans(turns, last_only) == (last_only(turns), None)
     assert chat.spans([], header) == ("BEGIN ", [])
 
 
+@pytest.mark.parametrize("n", [1, 64, 100, 131, 192, 299])
+def test_chat_finds_one_rewriting_prefix(n):
+    turns = [("user", f"t{i}") for i in range(300)]
+    once = lambda t: chat.chatml(t) + ("(cont)" if len(t) == n else "")
+    assert chat.spans(turns, once) == (once(turns), None)
+
+
+def test_chat_very_long_conversation_and_turn():
+    turns = [("user", "x<|" * 100_000), *(("assistant", f"t{i}") for i in range(3000))]
+    whole, at = chat.spans(turns[1:], chat.chatml)
+    assert [whole[a:b] for a, b in at] == [chat.chatml([t]) for t in turns[1:]]
+    assert [(r, t) for r, t, _, _ in chat.read_chatml(chat.spans(turns[:3], chat.chatml)[0])] == turns[:3]
+
+
 def test_chat_frame(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, None, None), (None, 0, "user", "n"), (None, 1, "assistant", "<|im_end|>"), (1, 0, "user", "a"), *((7, i, "assistant", f"x{i}") for i in range(500))]
     df = spark.createDataFrame([(*x, "z") for x in rows], "conv_id long, turn long, role string, text string, formatted string").repartition(3)
+    alone = [x for x in chat.format_conversations(df).collect() if x.conv_id is None]
+    assert sorted((t, x.roles) for x in alone for _, t, _, _ in chat.read_chatml(x.formatted)) == [("<|im_end|>", ["assistant"]), ("n", ["user"])] and len(alone) == 2
     got = {x.conv_id: x for x in chat.format_conversations(df).collect()}
     assert [t for _, t, _, _ in chat.read_chatml(got[1].formatted)] == ["a", "a", "b"]
     assert [t for _, t, _, _ in chat.read_chatml(got[7].formatted)] == [f"x{i}" for i in range(500)]
-    assert got[2].roles == [""] and got[None].roles == ["user", "assistant"] and not got[7].rewrites
+    assert got[2].roles == [""] and not got[7].rewrites
     assert hashlib.sha256(got[7].formatted.encode()).hexdigest() == hashlib.sha256(chat.chatml([("assistant", f"x{i}") for i in range(500)]).encode()).hexdigest()
     assert chat.format_conversations(df.limit(0)).count() == 0
 
@@ -218,6 +275,67 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), net).count() == 0
 
 
+def plain_toxicity(net, text):
+    """The highest window's probability by loops over Python numbers; hashed rows as Vocabulary gives them for one word."""
+    import pyarrow as pa
+
+    words = WORD.findall(text or "")
+    if not words:
+        return 0.0
+    p, sig, n = {k: np.asarray(x, np.float64) for k, x in net.p.items()}, lambda x: 1 / (1 + math.exp(-x)), toxicity.STATE
+    vectors = {}
+    for w in set(words):
+        v = toxicity.Vocabulary(pa.array([w]))
+        grams = sum((p["gram"][g] for g in v.grams), np.zeros(toxicity.WIDTH)) / math.sqrt(max(1, len(v.grams)))
+        vectors[w] = [*p["word"][v.word[0]], *grams]
+    best = -math.inf
+    for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        some = words[start : start + toxicity.WINDOW]
+        states = []
+        for d, order in ((0, range(len(some))), (1, reversed(range(len(some))))):
+            h, out = [0.0] * n, {}
+            for t in order:
+                gate = [sum(x * p["W"][i][3 * n * d + j] for i, x in enumerate(vectors[some[t]])) + p["bias"][3 * n * d + j] for j in range(3 * n)]
+                back = [sum(h[i] * p["U"][d][i][j] for i in range(n)) for j in range(3 * n)]
+                z, r = ([sig(gate[k * n + j] + back[k * n + j]) for j in range(n)] for k in (0, 1))
+                c = [math.tanh(gate[2 * n + j] + r[j] * back[2 * n + j]) for j in range(n)]
+                h = out[t] = [(1 - z[j]) * h[j] + z[j] * c[j] for j in range(n)]
+            states.append(out)
+        both = [states[0][t] + states[1][t] for t in range(len(some))]
+        e = [math.exp(sum(a * b for a, b in zip(s, p["a"], strict=True))) for s in both]
+        pooled = [sum(x * s[j] for x, s in zip(e, both, strict=True)) / sum(e) for j in range(2 * n)]
+        best = max(best, sum(a * b for a, b in zip(pooled, p["w"], strict=True)) + p["b"][0])
+    return sig(best)
+
+
+def test_toxicity_scores_as_plain_loops_do(spark):
+    r = random.Random(7)
+    some = [" ".join("".join(r.choice("abCé.") for _ in range(r.randint(1, 9))) for _ in range(n)) for n in (0, 1, 5, 31, 32, 33, 70)]
+    net = toxicity.Network.new(3)
+    rows = toxicity.score(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), net).collect()
+    assert all(abs(x.toxicity_score - plain_toxicity(net, x.text)) < 1e-4 for x in rows)
+
+
+def test_toxicity_slopes():
+    """backward() against differences of forward(), in doubles."""
+    r = np.random.default_rng(2)
+    net = toxicity.Network({k: x.astype(np.float64) for k, x in toxicity.Network.new(1).p.items()})
+    gates, mask = r.normal(size=(6, 3, 6 * toxicity.STATE)), np.array([[1, 1, 1], [1, 1, 1], [1, 1, 0], [1, 1, 0], [1, 0, 0], [1, 0, 0]], np.float64)
+    d = r.normal(size=3)
+    _, held = net.forward(gates, mask, keep=True)
+    grad, dg = net.backward(d, held)
+    for name, x, g in (*((k, net.p[k], grad[k]) for k in ("w", "b", "a", "U")), ("gates", gates, dg)):
+        for i in r.integers(0, x.size, 20):
+            at = np.unravel_index(i, x.shape)
+            y = x[at]
+            both = []
+            for step in (1e-5, -1e-5):
+                x[at] = y + step
+                both.append((net.forward(gates, mask)[0] * d).sum())
+            x[at] = y
+            assert abs((both[0] - both[1]) / 2e-5 - g[at]) < 2e-3, name
+
+
 def test_windows_cover_whole_texts():
     import pyarrow as pa
 

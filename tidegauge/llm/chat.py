@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +25,20 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
+#: Characters of a turn whose rendering is kept for the next, longer prefix, and how many such turns: 16 million characters at most.
+SHORT, KEPT = 1000, 1 << 14
+
+
+def _turn(role: str, text: str) -> str:
+    return f"{START}{escape(role.replace(chr(92), chr(92) * 2).replace(chr(10), chr(92) + 'n'))}\n{escape(text)}{END}\n"
+
+
+_kept_turn = lru_cache(KEPT)(_turn)
+
+
 def chatml(turns: list[Turn]) -> str:
     """The default template. A line break in a role is written as \\n, a backslash there as two."""
-    return "".join(f"{START}{escape(r.replace(chr(92), chr(92) * 2).replace(chr(10), chr(92) + 'n'))}\n{escape(t)}{END}\n" for r, t in turns)
+    return "".join([_kept_turn(r, t) if len(r) + len(t) <= SHORT else _turn(r, t) for r, t in turns])
 
 
 def read_chatml(text: str) -> list[tuple[str, str, int, int]]:
@@ -41,56 +53,34 @@ def read_chatml(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def spans(turns: list[Turn], render: Template, block: int = 64) -> tuple[str, list[tuple[int, int]] | None]:
+def spans(turns: list[Turn], render: Template) -> tuple[str, list[tuple[int, int]] | None]:
     """The rendered conversation, and where in it each turn stands; None instead of spans if the template rewrites history.
 
-    Each turn's span is what the rendering of the prefix that ends with it adds to the rendering of
-    the prefix before. If a longer prefix's rendering doesn't begin with the shorter one's, the
-    template has rewritten history. For long conversations the prefixes of a block of turns are
-    first rendered from the turn before the block on, and the block's spans are accepted only if
-    they add up to exactly what the whole prefix's rendering gains over the block; where they don't,
-    every prefix is rendered whole. So a template without memory costs n * block turns, any other n * n.
+    Every prefix is rendered, one turn longer each time, and compared with the one before: what it adds is its last turn's span. If it doesn't begin with the one before, the
+    template has rewritten history. Nothing is known of the template, so no prefix can be left out: n turns cost n renderings of n / 2 turns on average, whatever the template.
     """
     whole = render([])
     found: list[tuple[int, int]] = []
-    for s in range(0, len(turns), block):
-        e = min(len(turns), s + block)
-        after = render(turns[:e])
-        if s and (local := _block(turns, s, e, render)) is not None and after == whole + "".join(local):
-            for piece in local:
-                found.append((len(whole), len(whole) + len(piece)))
-                whole += piece
-            continue
-        for i in range(s + 1, e + 1):
-            longer = after if i == e else render(turns[:i])
-            if not longer.startswith(whole):
-                return render(turns), None
-            found.append((len(whole), len(longer)))
-            whole = longer
+    for i in range(1, len(turns) + 1):
+        longer = render(turns[:i])
+        if not longer.startswith(whole):
+            return render(turns), None
+        found.append((len(whole), len(longer)))
+        whole = longer
     return whole, found
 
 
-def _block(turns: list[Turn], s: int, e: int, render: Template) -> list[str] | None:
-    last, out = render(turns[s - 1 : s]), []
-    for i in range(s + 1, e + 1):
-        now = render(turns[s - 1 : i])
-        if not now.startswith(last):
-            return None
-        out.append(now[len(last) :])
-        last = now
-    return out
-
-
 def format_conversations(rows: DataFrame, render: Template = chatml) -> DataFrame:
     """One row per conversation of rows (conv_id, turn, role, text): conv_id, formatted, starts, ends (code points of each turn's span), roles, rewrites (the template rewrites history; then no spans).
 
     Turns stand by turn (null first), ties by role and text. Null role or text: empty. Rows with a
-    null conv_id are one conversation. Repeated rows are turns of their own. An empty table gives an
+    null conv_id belong to no other row: each is a conversation of its own. Repeated rows are turns of their own. An empty table gives an
     empty result; other columns are ignored. Rows stream through in conversation order, so a task
-    holds one conversation at a time besides a batch.
+    holds one conversation at a time besides a batch; a conversation can't be split, since its template sees all of it.
     """
     some = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    some = some.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    some = some.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = "conv_id long, formatted string, roles array<string>, starts array<long>, ends array<long>, rewrites boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +92,7 @@ def format_conversations(rows: DataFrame, render: Template = chatml) -> DataFram
         kinds = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("roles", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("rewrites", pa.bool_())])
         for batch in batches:
             for c, r, t in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
-                if turns and c != conv:
+                if turns and (c != conv or c is None):
                     out.append(done(conv, turns))
                     size += len(out[-1]["formatted"])
                     turns = []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.shared import SPACE, broadcast_up_to, cut, fresh, lower_az
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Rows of the benchmark's sketches (16 bytes each) that may be broadcast; beyond, the join is shuffled.
+#: Rows of the benchmark's sketches (16 to 24 bytes each), or of its shingles with their bytes counted, that may be broadcast; beyond, the join is shuffled.
 SMALL = 500_000
 
 
@@ -76,7 +76,7 @@ def verified(docs: DataFrame, pairs: DataFrame, found: DataFrame, width: int, th
     ids = found.select(F.col("doc_id").alias("id")).distinct()
     some = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     held = some.select("doc_id", F.explode(shingles_of(words_of(F.col("text")), width)).alias("s"))
-    shared = held.join(broadcast_up_to(pairs.select("item_id", "s"), SMALL), "s").groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_shared"))
+    shared = held.join(broadcast_up_to(pairs.select("item_id", "s"), SMALL, "s"), "s").groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_shared"))
     f = found.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "n_item")
     out = shared.join(f, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")))
     return out.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9).select("doc_id", "item_id", "n_item", "n_shared", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))

@@ -17,7 +17,7 @@ from tidegauge.llm.shared import broadcast_up_to, cut, fresh, trim
 from tidegauge.llm.textops import mix64, powers, slices
 
 #: Rows (16 to 24 bytes each) that may be broadcast; beyond, joins are shuffled.
-SMALL = 500_000
+SMALL = 200_000
 BLOCK_LINES, BLOCK_CHARS = 1024, 1_000_000
 #: Most edits between near lines, and code points of the shorter line for each.
 EDITS, PER_EDIT = 2, 10
@@ -195,8 +195,8 @@ def near_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) ->
     return lines.select("doc", "text_id", "no", "h", "h2").join(broadcast_up_to(again, SMALL), ["h", "h2"]).where(where > F.col("earliest")).select("doc", "text_id", "no")
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
-    """docs, all columns, with the lines taken out of text that repeat or nearly repeat an earlier one; adds n_lines and n_removed.
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, counts: bool = True) -> DataFrame:
+    """docs, all columns, with the lines taken out of text that repeat or nearly repeat an earlier one; counts: adds n_lines and n_removed, for which columns of these names, in any case, give way.
 
     Lines end at line feeds. A line goes if a line that stands earlier (in a smaller doc_id, or before it in the same document), itself
     removed or not, is at most t edits (insertions, deletions, substitutions of code points) away: t = min(edits, n // per_edit), n the length of
@@ -214,8 +214,9 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int =
     own = F.struct(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
     joined = docs.withColumn(ident, own).join(gone, ident, "left")
     joined = joined.withColumn(new, F.pandas_udf(_kept, "text string, n_lines long, n_removed long")(F.col("text"), F.col(drop)))
-    rest = [F.col(f"{new}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*rest, F.col(f"{new}.n_lines").alias("n_lines"), F.col(f"{new}.n_removed").alias("n_removed"))
+    added = ["n_lines", "n_removed"] if counts else []
+    rest = [F.col(f"{new}.text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
+    return joined.select(*rest, *[F.col(f"{new}.{c}").alias(c) for c in added])
 
 
 def _kept(text: pd.Series, gone: pd.Series) -> pd.DataFrame:

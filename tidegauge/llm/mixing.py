@@ -35,24 +35,24 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of docs (doc_id, text, source).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row of docs (doc_id, text, source), and the columns of docs that `keep` names.
 
-    A row's key is the MD5 of its doc_id: random, yet the same in every run. Within a source
+    A row's key is the MD5 of its doc_id, or of its text if it has none: random, yet the same in every run. Within a source
     the rows stand in key order. Key ranges (the first four hex digits: 65,536 ranges of nearly
     equal share) are summed with partial aggregation, prefix sums run over 256 ranges of ranges
     and over the 256 ranges inside each, and only the one range that a source's budget cuts is
     opened row by row. A hot source is thus never in one task. The row at the cut gives only
     the words that are missing. Budget: the target, rounded down; whole epochs first.
 
-    Null text: size 0. Null source: a source of its own, the last. Null doc_id: key of the text
-    'null'. Rows that repeat a doc_id share its key; the smaller size stands first, and rows equal in
+    Null text: size 0. Null source: a source of its own, the last. Rows that repeat a doc_id share its key; the smaller size stands first, and rows equal in
     size are interchangeable. Sources without words: target 0. Empty table: empty result.
-    Other columns are ignored.
+    Other columns are ignored; one that `keep` names may have any name that the result doesn't.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.coalesce("text", F.lit("")))).cast("binary"))
     skey = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source")))
-    rows = cut(docs.select("doc_id", word_count(F.col("text")).alias("size"), skey.alias("skey"), key.alias("key")), "sizes")
+    kept = [f"_keep{i}" for i in range(len(keep))]
+    rows = cut(docs.select("doc_id", word_count(F.col("text")).alias("size"), skey.alias("skey"), key.alias("key"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)]), "sizes")
     r4 = F.substring("key", 1, 4)
     ranges = cut(rows.groupBy("skey", r4.alias("r4")).agg(F.sum("size").alias("n")), "ranges")
     r2 = ranges.groupBy("skey", F.substring("r4", 1, 2).alias("r2")).agg(F.sum("n").alias("n2"))
@@ -69,9 +69,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     hit = inner.where("before4 <= rest and before4 + n > rest").select("skey", F.col("r4").alias("cut4"), "before4")
     goal = broadcast_up_to(cut(goal.join(hit, "skey", "left"), "goals"), SMALL)
     all_rows = rows.withColumn("r4", r4).join(goal, "skey")
-    out = "doc_id", "size", "source_size", "target"
+    out = "doc_id", "size", "source_size", "target", *kept
     # without a cut range the rest is used up by no row (a source of size 0) or is 0
     plain = all_rows.where("cut4 is null or r4 <> cut4").select(*out, (F.col("full") * F.col("size") + F.when(F.col("r4") < F.col("cut4"), F.col("size")).otherwise(0)).alias("taken"))
     opened = all_rows.where("r4 = cut4").withColumn("at", F.col("before4") + F.coalesce(F.sum("size").over(Window.partitionBy("skey").orderBy("key", "size").rowsBetween(*before)), F.lit(0)))
     opened = opened.select(*out, (F.col("full") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("at")))).alias("taken"))
-    return plain.unionByName(opened)
+    names = ["doc_id", *keep, "size", "source_size", "target", "taken"]
+    return plain.unionByName(opened).select("doc_id", *kept, "size", "source_size", "target", "taken").toDF(*names)

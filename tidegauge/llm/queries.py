@@ -13,10 +13,12 @@ from tidegauge.llm.shared import table
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact top 10 by inner product, for every vector whose vec_id is divisible by 100; see topk.top_k."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document's whole text by a network learnt from the labels that aren't held out; see toxicity.fit and toxicity.score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     s = F.col("toxicity_score")
@@ -24,32 +26,39 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose three-word shingles agree to 90 %; see jaccard.jaccard_groups."""
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), 3, 90)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document once repeated windows of 20 words are gone, as a digest; see repeats.without_repeats."""
     kept = repeats.without_repeats(table(spark, sf_dir, "documents"), 20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability under a maximum-entropy model and under single tokens' counts; see lm.score."""
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold four fifths of a benchmark item's five-word shingles; see decontam.leaks."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url and its aliases; see urls.url_filter."""
     return urls.url_filter(table(spark, sf_dir, "pages")).drop("component")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document once lines that nearly repeat an earlier one are gone, as a digest; see lines.without_repeated_lines."""
     out = lines.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and read back from the output as digests; see chat.format_conversations."""
     text = f"{chat.END}{chat.START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -71,6 +80,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of the sources to weights 5, 2, 1 takes; see mixing.mix."""
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 

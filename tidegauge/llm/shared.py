@@ -77,9 +77,10 @@ def drop_cut(*cuts: DataFrame) -> None:
                 fs.delete(p, True)
 
 
-def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint only if its counted rows are at most `rows`; beyond that, as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_up_to(df: DataFrame, rows: int, text: str | None = None, size: int = 32_000_000) -> DataFrame:
+    """df with a broadcast hint only if its counted rows are at most `rows`, and the bytes of its column `text`, if it has one, at most `size`; beyond that, as it is, for a shuffled join."""
+    n, held = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text)) if text else F.lit(0)).head()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def trim() -> None:

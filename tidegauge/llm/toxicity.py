@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import trim
+from tidegauge.llm.shared import fresh, trim
 from tidegauge.llm.textops import Words, mix64, slices, utf8
 
 WINDOW, STRIDE = 32, 16
@@ -244,12 +244,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     return pickle.loads(rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "net binary").head().net)
 
 
-def score(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs, all columns, with toxicity_score: the network's probability for the highest of all overlapping windows of the whole text.
+def score(docs: DataFrame, net: Network | None, name: str = "toxicity_score") -> DataFrame:
+    """docs, all columns, with the column `name`: the network's probability for the highest of all overlapping windows of the whole text. A column of that name in docs, in any case, gives way.
 
-    Without words (null, empty, white space): 0. Without a network (nothing of both classes to learn from): 0.5 for texts with words.
+    Without words (null, empty, white space): 0. Without a network (nothing of both classes to learn from): 0.5 for texts with words. Repeated rows are each scored; an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size; the result reads it, so it stays as long as that
 
     def run(column: pa.Array) -> np.ndarray:
         v = Vocabulary(column)
@@ -263,15 +263,18 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for batch in slices(whole, 1_000_000):
-                yield batch.append_column("toxicity_score", pa.array(run(batch.column("text")), pa.float64()))
+                yield batch.append_column(name, pa.array(run(batch.column("text")), pa.float64()))
         trim()
 
-    names = [c for c in docs.columns if c != "toxicity_score"]
-    kept = docs.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", toxicity_score double"
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", `{name}` double"
     return kept.mapInArrow(batches, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without the documents that score the threshold or more, under a network learnt from labels."""
-    return score(docs, fit(docs, labels)).where(F.col("toxicity_score") < threshold).select(*docs.columns)
+    """docs, all columns as they are, without the documents that score the threshold or more, under a network learnt from labels.
+
+    Null and empty texts score 0 and stay; rows with a null doc_id are judged by their texts; of repeated rows all stay or all go. Empty labels, or of one class only: every text scores 0.5.
+    """
+    new = fresh(docs, "_score")
+    return score(docs, fit(docs, labels), new).where(F.col(new) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

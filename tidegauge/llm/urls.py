@@ -92,6 +92,8 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, edg
     blocked = names.where(own["verdict"] == "block").select("component").distinct()
     # aliases are of pages with links only; the far larger rest of the pages meets them in one join
     fate = names.join(blocked.withColumn("blocked", F.lit(True)), "component", "left").select(F.col("node").alias("address"), "component", "blocked")
-    out = judged.join(fate, "address", "left")
+    # pages without an address are nobody's alias: they stay out of the join, where they would all be one key
+    out = judged.where("address is not null").join(fate, "address", "left")
+    out = out.unionByName(judged.where("address is null"), allowMissingColumns=True)
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "component")
