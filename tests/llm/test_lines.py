@@ -5,14 +5,16 @@ from tests.llm.common import DOCS, clashing, frame
 from tidegauge.llm import lines
 
 
-def distance(a, b):
-    p = list(range(len(b) + 1))
+def distance(a, b, band=2):
+    """Edits between a and b, or more than band if there are more."""
+    far = band + 1
+    p = {j: j for j in range(min(len(b), band) + 1)}
     for i, x in enumerate(a):
-        c = [i + 1]
-        for j, y in enumerate(b):
-            c.append(min(p[j] + (x != y), p[j + 1] + 1, c[-1] + 1))
+        c = {}
+        for j in range(max(0, i + 1 - band), min(len(b), i + 1 + band) + 1):
+            c[j] = min(p.get(j, far) + 1, c.get(j - 1, far) + 1, p.get(j - 1, far) + (x != b[j - 1]) if j else far)
         p = c
-    return p[-1]
+    return p.get(len(b), far)
 
 
 def near(a, b):
@@ -74,3 +76,22 @@ def test_large_family_in_blocks(spark, monkeypatch):
 
 def test_empty(spark):
     assert lines.without_repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def zipf_lines(n, seed=8):
+    """Short lines of words by Zipf's law, of which many share a segment with some other."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6))) for _ in range(3000)]
+    weights = [1 / (k + 1) for k in range(len(words))]
+    return [(i, " ".join(r.choices(words, weights, k=r.randint(3, 5)))[: r.randint(10, 25)].strip()) for i in range(n)]
+
+
+def test_short_lines_of_common_words(spark):
+    rows = zipf_lines(300)
+    assert got(lines.without_repeated_lines(frame(spark, rows))) == brute(rows)
+
+
+def test_work_on_short_lines_grows_with_them(spark):
+    """Lines are sent about as often whatever the corpus: no chain of shared segments joins them into ever larger groups."""
+    sent = {n: lines.met_lines(frame(spark, zipf_lines(n)), 2, 10)[2].count() for n in (4000, 16_000)}
+    assert sent[16_000] < 8 * sent[4000]

@@ -11,7 +11,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.graph import connected_components
 from tidegauge.llm.jaccard import by_block
 from tidegauge.llm.shared import broadcast_up_to, cut, fresh, trim
 from tidegauge.llm.textops import mix64, powers, slices
@@ -98,54 +97,41 @@ def within(codes: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray,
     return good
 
 
-def near_pairs(lines: list[str], run: np.ndarray, side: np.ndarray, edits: int = EDITS, per_edit: int = PER_EDIT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions of near lines of the same run. side: negative, or of lines with the same side no pairs are wanted."""
+def near_pairs(lines: list[str], run: np.ndarray, side: np.ndarray, indexed: np.ndarray, edits: int = EDITS, per_edit: int = PER_EDIT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions of near lines of the same run, which are the lines that share an entry of the index; one of the pair stands in it, the other may only probe it. Runs follow one another. side: negative, or of lines with the same side no pairs are wanted."""
     codes, offsets = _codes(lines)
     size = np.diff(offsets)
     bag = np.zeros((len(lines), 64), np.int16)  # an edit changes at most two counts by one
     np.add.at(bag, (np.repeat(np.arange(len(lines)), size), codes & 63), 1)
-    sig, who, indexed = signatures(lines, edits, per_edit)
-    sig = mix64(sig ^ mix64(run[who].astype(np.uint64)))
-    order = np.lexsort((who, sig))
-    sig, who, indexed = sig[order], who[order], indexed[order]
-    first = np.r_[np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]), len(sig)] if len(sig) else np.zeros(1, np.int64)
-    seen = np.zeros(0, np.int64)
+    first = np.r_[np.flatnonzero(np.r_[True, run[1:] != run[:-1]]), len(run)] if len(run) else np.zeros(1, np.int64)
     kept, held = [], 0
 
-    def flush() -> np.ndarray:
-        return np.setdiff1d(np.unique(np.concatenate(kept)), seen, assume_unique=True)
-
-    def verify(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def verify() -> tuple[np.ndarray, np.ndarray]:
+        new = np.unique(np.concatenate(kept))
         a, b = new // len(lines), new % len(lines)
-        short = np.minimum(size[a], size[b])
-        yes = within(codes, offsets, a, b, np.minimum(edits, short // per_edit))
+        yes = within(codes, offsets, a, b, np.minimum(edits, np.minimum(size[a], size[b]) // per_edit))
         return a[yes], b[yes]
 
     for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if e - s < 2 or not indexed[s:e].any():
-            continue
-        w = np.unique(who[s:e])
-        for i in range(len(w) - 1):
-            rest = w[i + 1 :]
-            rest = rest[(np.abs(size[rest] - size[w[i]]) <= edits) & ((side[rest] < 0) | (side[rest] != side[w[i]]))]
+        w = np.arange(s, e)
+        for i in np.flatnonzero(indexed[s:e]).tolist():
+            # of two lines that both stand in the index the earlier one here finds the other
+            rest = w[(~indexed[s:e]) | (w > s + i)]
+            rest = rest[(np.abs(size[rest] - size[s + i]) <= edits) & ((side[rest] < 0) | (side[rest] != side[s + i]))]
             if len(rest):
-                rest = rest[np.abs(bag[rest] - bag[w[i]]).sum(1) <= 2 * edits]
+                rest = rest[np.abs(bag[rest] - bag[s + i]).sum(1) <= 2 * edits]
             if len(rest):
-                kept.append(w[i] * len(lines) + rest)
+                kept.append((s + i) * len(lines) + rest)
                 held += len(rest)
         if held > 100_000:
-            new = flush()
-            yield verify(new)
-            seen, kept, held = np.union1d(seen, new), [], 0
+            yield verify()
+            kept, held = [], 0
     if kept:
-        yield verify(flush())
-
+        yield verify()
 
-def near_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
-    """(doc, text_id, no): the lines of docs (doc_id, text) that repeat, or nearly repeat, an earlier one.
 
-    See without_repeated_lines. doc is doc_id, text_id a hash of the text, so that rows that share a doc_id keep their own lines.
-    """
+def met_lines(docs: DataFrame, edits: int, per_edit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(firsts, lines, dealt): where each distinct line stands first; all lines; and the distinct lines that share an entry of the index with another, by entry."""
     base = docs.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     lines = base.select("doc", F.xxhash64("text").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
     lines = lines.where(~F.col("line").rlike(r"^[\x20\x09-\x0D]*$")).withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("line"), "line"))
@@ -163,24 +149,39 @@ def near_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) ->
 
     signed = base.select("text").mapInArrow(sign, "sig long, h long, indexed boolean")
     shared = signed.groupBy("sig").agg(F.min("h").alias("a"), F.max("h").alias("z"), F.max("indexed").alias("indexed"))
-    shared = cut(shared.where("indexed and a < z").select("sig", "a"), "signatures")
-    edges = signed.join(broadcast_up_to(shared, SMALL), "sig").select("a", F.col("h").alias("b")).where("a <> b").distinct()
-    families = broadcast_up_to(cut(connected_components(edges), "families"), SMALL)
-    some = lines.join(families.select(F.col("node").alias("h"), F.col("component").alias("family")), "h")
-    held = cut(some.groupBy("family", "h", "h2").agg(F.min(F.struct("doc", "no", "line")).alias("f")).select("family", "h", "h2", F.col("f.doc").alias("doc"), F.col("f.no").alias("no"), F.col("f.line").alias("line")), "members")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_LINES, F.sum(F.length("line")) / BLOCK_CHARS)).cast("int")
-    sizes = broadcast_up_to(cut(held.groupBy("family").agg(blocks.alias("blocks")), "blocks"), SMALL)
-    dealt = held.join(sizes, "family").withColumn("side", F.pmod(F.xxhash64("h2"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "h", "h2", "doc", "no", "line")
+    shared = cut(shared.where("indexed and a < z").select("sig"), "signatures")
+    hits = cut(signed.join(broadcast_up_to(shared, SMALL), "sig").groupBy("sig", "h").agg(F.max("indexed").alias("indexed")), "hits")
+    some = lines.join(broadcast_up_to(cut(hits.select("h").distinct(), "hit-lines"), SMALL), "h")
+    held = cut(some.groupBy("h", "h2").agg(F.min(F.struct("doc", "no", "line")).alias("f")).select("h", "h2", F.col("f.doc").alias("doc"), F.col("f.no").alias("no"), F.col("f.line").alias("line")), "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_LINES, F.sum("length") / BLOCK_CHARS)).cast("int")
+    lengths = broadcast_up_to(held.select("h", F.length("line").alias("length")), SMALL)
+    sizes = broadcast_up_to(cut(hits.join(lengths, "h").groupBy("sig").agg(blocks.alias("blocks")).where("blocks > 1"), "blocks"), SMALL)
+    return firsts, lines, _dealt(hits, held, sizes)
+
+
+def _dealt(hits: DataFrame, held: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The lines of each entry of the index, in blocks of bounded size: a line goes to every pair (i, j) of blocks that its own is one of."""
+    dealt = hits.join(held, "h").join(sizes, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("h2"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.col("sig").alias("family"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "indexed", "h", "h2", "doc", "no", "line")
+
+
+def near_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """(doc, text_id, no): the lines of docs (doc_id, text) that repeat, or nearly repeat, an earlier one.
+
+    See without_repeated_lines. doc is doc_id, text_id a hash of the text, so that rows that share a doc_id keep their own lines.
+    """
+    firsts, lines, dealt = met_lines(docs, edits, per_edit)
+    where = F.struct("doc", "no")
 
     def work(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
-        family, i, j, side = (t.column(c).to_numpy() for c in ("family", "i", "j", "side"))
+        family, i, j, side, indexed = (t.column(c).to_numpy() for c in ("family", "i", "j", "side", "indexed"))
         run = np.cumsum(np.r_[0, (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         h, h2, doc, no, text = (t.column(c).to_pylist() for c in ("h", "h2", "doc", "no", "line"))
         place = [(d is not None, d or 0, x) for d, x in zip(doc, no, strict=True)]
         best: dict[int, int] = {}
-        for a, b in near_pairs(text, run, np.where(i == j, -1, side), edits, per_edit):
+        for a, b in near_pairs(text, run, np.where(i == j, -1, side), indexed, edits, per_edit):
             for early, late in zip(a.tolist(), b.tolist(), strict=True):
                 if place[early] > place[late]:
                     early, late = late, early
@@ -202,8 +203,8 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int =
     removed or not, is at most t edits (insertions, deletions, substitutions of code points) away: t = min(edits, n // per_edit), n the length of
     the shorter one, so lines under per_edit code points go only if they are equal. Lines of nothing but white space stay.
 
-    Distinct lines meet in the substring index (see signatures) by a minimum with partial aggregation; those that share an entry with the
-    smallest line there form families, which are joined in blocks of bounded size (see near_pairs and within).
+    Distinct lines meet in the substring index (see signatures): entries that two lines share are found by a minimum and a maximum with partial aggregation, and the lines of
+    each such entry are compared in blocks of bounded size (see near_pairs and within), an entry at a time: lines that only a chain of entries joins never meet.
 
     Null text stays null and has no line. Empty text: one empty line. A null doc_id stands before all others. Rows that share a doc_id stand
     side by side: line 3 of one isn't earlier than line 3 of the other. A document all of whose lines go stays, with an empty text. An empty table gives an empty result.
