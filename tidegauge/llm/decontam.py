@@ -46,7 +46,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
     """(doc_id, item_id, n_item, n_shared, containment) for every row of docs (doc_id, text) and item (item_id, text) of which the document holds at least `threshold` of the distinct word shingles.
 
     Items are partitioned by size, in powers of two. The MinHash sketch of an item is the smallest k of its
-    shingles' hashes, under a seed of its partition: a document that lacks at most n - ceil(threshold * n) of an item's n shingles
+    shingles' hashes, under a seed of its partition, those that fewer items share first: a document that lacks at most n - ceil(threshold * n) of an item's n shingles
     holds one of any set of one more, so with k = n - ceil(threshold * n) + 1 the search misses nothing, however long the
     document is. Only items' sketches are compared with the documents' hashes; the pairs that meet are verified on the shingles' words.
 
@@ -61,7 +61,10 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
     part = F.floor(F.log2("n_item")).cast("int")
     sized = pairs.join(sizes, "item_id").withColumn("part", part)
     k = F.col("n_item") - F.ceil(F.lit(threshold) * F.col("n_item") - 1e-9) + 1
-    low = sized.groupBy("item_id", "n_item", "part").agg(F.sort_array(F.collect_set(F.struct(F.xxhash64("part", "h").alias("rank"), "h"))).alias("low"))
+    # a phrase that many items share would pair each of them with every document that has it: it comes last
+    often = pairs.groupBy("h").agg(F.count_distinct("item_id").alias("items"))
+    sized = sized.join(often, "h")
+    low = sized.groupBy("item_id", "n_item", "part").agg(F.sort_array(F.collect_set(F.struct("items", F.xxhash64("part", "h").alias("rank"), "h"))).alias("low"))
     sketch = cut(low.select("item_id", "n_item", F.explode(F.slice("low", F.lit(1), k.cast("int"))).alias("x")).select("item_id", "n_item", "x.h"), "sketches")
     probe = broadcast_up_to(sketch.select("h").distinct(), SMALL)
     words = docs.select("doc_id", words_of(F.col("text")).alias("w"))
