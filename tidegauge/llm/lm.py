@@ -25,6 +25,8 @@ ROUNDS = SLICES = 4
 TAIL_STEPS, SHRINK = 2, 1.0
 #: Bytes of text whose tokens are a packed row, and tokens that are scored at once: few enough for a processor's own memory.
 TEXT, BLOCK = 2_000_000, 1 << 13
+#: Packed rows, of a megabyte or so each, that go to Python at once.
+FEW = 8
 _END = np.uint64(0xE0D << 12)
 _START = np.uint64(1)
 
@@ -84,6 +86,8 @@ def summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]
         x = np.array_split(part(batches).astype(kind), slots)
         group = TaskContext.get().partitionId() % groups
         yield pa.RecordBatch.from_arrays([pa.array(range(slots), pa.int32()), pa.array([group] * slots, pa.int32()), pa.array([p.tobytes() for p in x], pa.binary())], ["slot", "group", "piece"])
+        del x
+        trim()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -95,7 +99,7 @@ def summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]
 
     schema = "slot int, group int, piece binary"
     rows = df.mapInArrow(pieces, schema).repartition(slots * groups, "slot", "group").mapInArrow(total, schema)
-    with freeing(df.sparkSession):
+    with freeing(df.sparkSession, FEW):
         rows = rows.repartition(slots, "slot").mapInArrow(total, schema).collect()
     return np.concatenate([np.frombuffer(r.piece, kind).astype(np.float64) for r in sorted(rows, key=lambda r: r.slot)]) if rows else np.zeros(0)
 
@@ -265,6 +269,8 @@ def vocabulary(base: DataFrame, cluster: np.ndarray, shards: int) -> DataFrame:
                 yield from packed()
                 held, size = {}, 0
         yield from packed()
+        held.clear()
+        trim()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[], [], [], []]
@@ -292,7 +298,7 @@ def vocabulary(base: DataFrame, cluster: np.ndarray, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int32()), *(pa.array([v[x].astype(kind).tobytes()], pa.binary()) for v, kind in zip((keys, after, counts, together), _PACKED.values(), strict=True))], ["shard", *_PACKED])
 
     rows = base.mapInArrow(count, "bucket int, shard int, keys binary, after binary, n binary").repartitionById(shards, "bucket")
-    return cut(rows.mapInArrow(join, "shard int, keys binary, after binary, counts binary, together binary"), "vocabulary")
+    return cut(rows.mapInArrow(join, "shard int, keys binary, after binary, counts binary, together binary"), "vocabulary", FEW)
 
 
 def _clusters(pairs: np.ndarray, k: int) -> np.ndarray:

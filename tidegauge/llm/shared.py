@@ -47,21 +47,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def freeing(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark deletes an execution's shuffle files at its end instead of when the driver happens to collect its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def freeing(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """Inside, Spark deletes an execution's shuffle files at its end instead of when the driver happens to collect its garbage. rows: of an Arrow batch at most, for rows that are large."""
+    new = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, lost executors don't recompute it, and its shuffle files go."""
+def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: its lineage ends there, lost executors don't recompute it, and its shuffle files go. rows: see freeing()."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    with freeing(spark):
+    with freeing(spark, rows):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
