@@ -11,22 +11,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import cut, freeing, trim
+from tidegauge.llm.shared import cut, drop_cut, freeing, trim
 from tidegauge.llm.textops import Words, mix64, slices, utf8
 
 #: Words in a class that has a softmax of its own, classes of either kind, and suffixes of words.
 IN_CLASS, HEAD_CLASSES, TAIL_CLASSES, SUFFIXES = 32, 16, 16, 1 << 12
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
-#: Training tokens for each weight row that n-gram and skip features are hashed to, and the fewest and most such rows: for classes, and for the words of head classes. The most bound what is broadcast, 13 MB.
-TOKENS_A_ROW, ROWS, IN_ROWS = 512, (1 << 12, 1 << 16), (1 << 11, 1 << 15)
+#: Training tokens for each weight row that n-gram and skip features are hashed to, and the fewest and most such rows: for classes, and for the words of head classes. The most bound what is broadcast, 7 MB, and the vectors of slopes that each task adds up.
+TOKENS_A_ROW, ROWS, IN_ROWS = 512, (1 << 12, 1 << 15), (1 << 11, 1 << 14)
 #: Gradient rounds, each over another one of SLICES equal parts of the training documents; as many of both, so that each document is in one.
 ROUNDS = SLICES = 4
 #: Gradient steps for the weights of the words in tail classes, each over the whole counted vocabulary, and what holds these weights near 0.
 TAIL_STEPS, SHRINK = 2, 1.0
 #: Bytes of text whose tokens are a packed row, and tokens that are scored at once: few enough for a processor's own memory.
 TEXT, BLOCK = 2_000_000, 1 << 13
-#: Packed rows, of a megabyte or so each, that go to Python at once.
-FEW = 8
+#: Packed rows, of a megabyte or so each, and documents that go to Python at once.
+FEW, MANY = 8, 4000
 _END = np.uint64(0xE0D << 12)
 _START = np.uint64(1)
 
@@ -225,14 +225,27 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Tokens, np.
             row = {c: batch.column(c)[i] for c in batch.schema.names}
             t = Tokens.unpacked(*(row[c].as_py() for c in ("first", "keys", "ids", "distinct")))
             yield row, t, ~row["held_out"].values.to_numpy(zero_copy_only=False)[t.doc]
+            del row, t
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 #: Of each entry of a packed row: token, cluster of the word before, the token's count in all training documents, and how many of them come after that cluster.
 _PACKED = {"keys": np.uint64, "after": np.uint8, "counts": np.int64, "together": np.int64}
 
 
+def _squeezed(x: dict[str, np.ndarray]) -> dict[str, bytes]:
+    """Arrays of _PACKED as bytes; keys as they are, the others, which are mostly small numbers, compressed."""
+    return {c: x[c].astype(k).tobytes() if c == "keys" else pa.compress(x[c].astype(k), "zstd", asbytes=True) for c, k in _PACKED.items()}
+
+
 def _unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), k) for c, k in _PACKED.items()}
+    sizes = [len(x) // 8 for x in batch.column("keys").to_pylist()]
+    out = {"keys": np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64)}
+    for c in ("after", "counts", "together"):
+        width = np.dtype(_PACKED[c]).itemsize
+        out[c] = np.concatenate([np.frombuffer(pa.decompress(x.as_buffer(), n * width, "zstd"), _PACKED[c]) for x, n in zip(batch.column(c), sizes, strict=True)] or [np.zeros(0, _PACKED[c])])
+    return out
 
 
 def vocabulary(base: DataFrame, cluster: np.ndarray, shards: int) -> DataFrame:
@@ -295,7 +308,8 @@ def vocabulary(base: DataFrame, cluster: np.ndarray, shards: int) -> DataFrame:
                 x = some[a:b]
                 if names is None:  # a shard's pair once, though several of its rows may have it
                     x = x[np.r_[True, (keys[x][1:] != keys[x][:-1]) | (after[x][1:] != after[x][:-1])]]
-                yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int32()), *(pa.array([v[x].astype(kind).tobytes()], pa.binary()) for v, kind in zip((keys, after, counts, together), _PACKED.values(), strict=True))], ["shard", *_PACKED])
+                row = _squeezed({"keys": keys[x], "after": after[x], "counts": counts[x], "together": together[x]})
+                yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int32()), *(pa.array([row[c]], pa.binary()) for c in _PACKED)], ["shard", *_PACKED])
 
     rows = base.mapInArrow(count, "bucket int, shard int, keys binary, after binary, n binary").repartitionById(shards, "bucket")
     return cut(rows.mapInArrow(join, "shard int, keys binary, after binary, counts binary, together binary"), "vocabulary", FEW)
@@ -467,9 +481,12 @@ class Counts:
         x = {c: np.concatenate([p[c] for p in parts] or [np.zeros(0, k)]) for c, k in _PACKED.items()}
         order = np.argsort(x["keys"], kind="stable")
         self.keys, self.after, self.n, together = (v[order] for v in x.values())
-        kind = m.cluster[_suffix(self.keys)]
         self.cluster, self.norm = m.cluster, np.log(m.tables[-1])
-        self.log = np.log(self.n + 0.5) + m.tail(kind, self.after, self.n, together) - self.norm[kind, self.after]
+        self.log = np.empty(len(self.keys))
+        for s in range(0, len(self.keys), BLOCK):
+            at = slice(s, s + BLOCK)
+            kind, after, n = m.cluster[_suffix(self.keys[at])], self.after[at], self.n[at]
+            self.log[at] = np.log(n + 0.5) + m.tail(kind, after, n, together[at]) - self.norm[kind, after]
 
     def of(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """(count, log p in its tail class) of each token."""
@@ -500,11 +517,11 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     out = is_held_out(F.col("doc_id")) if held_out is None else held_out
     dealt = docs.select("doc_id", "text", out.alias("held_out"))
     shards = max(1, dealt.rdd.getNumPartitions())
-    base = cut(tokenised(dealt), "tokens")
+    base = cut(tokenised(dealt), "tokens", MANY)
     cluster = clusters_of(base)
     words = vocabulary(base, cluster, shards)
     model, total, kinds = fit(base, words, cluster)
-    sent = spark.sparkContext.broadcast(model)  # of bounded size; the result reads it, so it stays as long as that
+    sent = spark.sparkContext.broadcast(model)  # of bounded size
     names = [c.split()[0] for c in _TOKENS.split(", ")]
     both = words.where("shard >= 0").select("shard", F.lit(0).alias("kind"), *_PACKED, *[F.lit(None).cast(c.split()[1]).alias(f"t_{c.split()[0]}") for c in _TOKENS.split(", ")])
     both = both.unionByName(base.select("shard", F.lit(1).alias("kind"), *[F.lit(None).cast("binary").alias(c) for c in _PACKED], *[F.col(c).alias(f"t_{c}") for c in names]))
@@ -533,5 +550,7 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([row["doc_ids"].values, row["held_out"].values, pa.array(np.diff(t.first)), pa.array(known), pa.array(base_score), pa.array(s)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
         trim()
 
-    scored = both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = cut(both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores", FEW)
+    sent.destroy()
+    drop_cut(base, words)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,7 @@ def broadcast_up_to(df: DataFrame, rows: int, text: str | None = None, size: int
 def trim() -> None:
     """Give freed memory back to the system: Python workers live on for later tasks, and keep it otherwise."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL(None).malloc_trim(0)
 
