@@ -72,6 +72,47 @@ def test_advance_late_and_merge(spark):
         r.merged(roll(spark, [], SUM, 1, 9))
 
 
+def test_steps_stored_beside_a_snapshot(spark, tmp_path):
+    origin, paths = 1_699_488_000, [str(tmp_path / x) for x in "abc"]
+    seconds = [(i % 11, (origin + i * 577) * 1000) for i in range(400)]
+    e = events(spark, seconds)
+    whole = roll(spark, seconds, ALL, origin, origin + 3 * DAY)
+    r = roll(spark, seconds, ALL, origin, origin + DAY).stored(paths[0])
+    for path, upto in zip(paths[1:], (origin + DAY + 12_345, origin + 3 * DAY), strict=True):
+        r.step(e, F.col("v"), "ms", upto).stored(path)
+        r = Rollup.load(spark, paths[: paths.index(path) + 1], ALL, origin, upto)
+    assert r.appended and r.levels["week"].count() == 3 and r.level("week").count() == 1
+    for level in ("second", "hour", "day", "week", "year"):
+        assert sorted(map(tuple, r.level(level).collect())) == sorted(map(tuple, whole.level(level).collect()))
+    for ask in (
+        lambda x: x.combine_range(origin + 77, origin + 2 * DAY + 999),
+        lambda x: x.landmark(),
+        lambda x: x.group_by(origin, origin + 3 * DAY, 7200),
+        lambda x: x.slots("day", 0, 3),
+        lambda x: x.last("hour", 30),
+        lambda x: x.filtered("hour", origin, origin + 3 * DAY, F.col("count") > 6),
+        lambda x: x.at_times(origin + DAY, 3600, DAY),
+        lambda x: x.deltas(origin + 2 * DAY),
+        lambda x: x.with_retention(hour=Retention("drop")).level("hour"),
+    ):
+        assert sorted(map(str, ask(r).collect())) == sorted(map(str, ask(whole).collect()))
+    # a step writes the new slots only, and late events don't count
+    assert spark.read.parquet(f"{paths[2]}/second").agg(F.min("slot")).head()[0] >= origin + DAY + 12_345
+    assert whole.step(e, F.col("v"), "ms", origin + DAY).level("second").count() == 0
+    assert {x.watermark for x in (r, r.advanced(e, F.col("v"), "ms", origin))} == {origin + 3 * DAY}
+
+
+def test_sums_of_steps_by_key_prefix_and_inverse(spark):
+    rows = [(i % 3, i, i * 1000) for i in range(50)]
+    e = spark.createDataFrame(rows, "k int, v long, ms long")
+    build = lambda upto, keys=(): Rollup.build(e, SUM, F.col("v"), "ms", 0, upto, keys)
+    r, keyed = (build(20, k).advanced(e, F.col("v"), "ms", 30).advanced(e, F.col("v"), "ms", 50) for k in ((), ("k",)))
+    assert value(r.combine_range(3, 41)) == sum(range(3, 41)) == value(r.prefix("second").between(3, 41)) == value(r.combine_range(3, 41, use_inverse=True))
+    assert pairs(keyed.landmark(keyed=True), "k", "value") == [(k, sum(range(k, 50, 3))) for k in range(3)]
+    assert value(keyed.star().landmark()) == sum(range(50)) and keyed.star().level("minute").count() == 1
+    assert [x.value for x in sets.top_n(keyed, 2, 0, 50, truncate_per_slot="minute").orderBy("rank").collect()] == sorted((sum(range(k, 50, 3)) for k in range(3)), reverse=True)[:2]
+
+
 def test_aggregates_of_nothing_and_nulls(spark):
     for spec, want in ((SUM, 0), (COUNT, 0), (MIN, None), (AVG, None)):
         assert value(roll(spark, [], spec, 0, 10).landmark()) == want

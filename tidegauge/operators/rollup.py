@@ -48,6 +48,8 @@ class Rollup:
     keys: tuple[str, ...] = ()
     retention: dict[str, Retention] = field(default_factory=dict)
     raw: tuple[DataFrame, Column, str] | None = field(default=None, repr=False)
+    #: Whether a level may hold several partials of a slot (and key), which are combined when they are read.
+    appended: bool = False
 
     # -- building ---------------------------------------------------------------------------
 
@@ -83,19 +85,29 @@ class Rollup:
         """A snapshot: every level written under path, in slot order, each from a finer one that is already there, and read again. load() reads it later."""
         spark, done = self._spark, {}
         for level in LEVELS:
-            fresh = self.raw is not None and level != "second"
-            df = self._coarser(done, level, self.spec, self.origin, self.keys) if fresh else self.levels[level]
+            df = self._coarser(done, level, self.spec, self.origin, self.keys) if done else self._combined(self.levels[level])
             df.repartitionByRange("slot").sortWithinPartitions("slot").write.mode("overwrite").parquet(f"{path}/{level}")
             done[level] = spark.read.parquet(f"{path}/{level}")
         return self.load(spark, path, self.spec, self.origin, self.watermark, self.keys)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, spec: Aggregate, origin: int, watermark: int, keys: Sequence[str] = ()) -> Rollup:
-        return cls(spec, origin, watermark, {level: spark.read.parquet(f"{path}/{level}") for level in LEVELS}, tuple(keys))
+    def load(cls, spark: SparkSession, path: str | Sequence[str], spec: Aggregate, origin: int, watermark: int, keys: Sequence[str] = ()) -> Rollup:
+        """What stored() has written under path; several paths, of a snapshot and of the steps after it, are one roll-up."""
+        paths = [path] if isinstance(path, str) else list(path)
+        levels = {level: spark.read.parquet(*[f"{p}/{level}" for p in paths]) for level in LEVELS}
+        return cls(spec, origin, watermark, levels, tuple(keys), appended=len(paths) > 1)
 
     def level(self, name: str) -> DataFrame:
         """A level's retained slots."""
-        return self.levels[name] if self._oldest(name) is None else self._rows(name, self.origin - LEVELS[name], self.watermark)
+        return self._combined(self._kept(name))
+
+    def _kept(self, name: str) -> DataFrame:
+        """The partials of a level's retained slots."""
+        return self.levels[name] if self._oldest(name) is None else self._partials(name, self.origin - LEVELS[name], self.watermark)
+
+    def _combined(self, partials: DataFrame) -> DataFrame:
+        """A row for each slot (and key)."""
+        return partials.groupBy(*self.keys, "slot").agg(*self.spec.combined()) if self.appended else partials
 
     def _oldest(self, name: str) -> int | None:
         """Where a level's retained slots begin; None if all are."""
@@ -104,7 +116,11 @@ class Rollup:
         return None if n is None else self._newest(name) - n * LEVELS[name]
 
     def _rows(self, name: str, start: int, end: int) -> DataFrame:
-        """A level's retained slots that begin from start to before end; where they aren't stored, from the events of their seconds."""
+        """A level's retained slots that begin from start to before end."""
+        return self._combined(self._partials(name, start, end))
+
+    def _partials(self, name: str, start: int, end: int) -> DataFrame:
+        """The partials of these slots, for those who combine them further; where they aren't stored, from the events of their seconds."""
         size, first = LEVELS[name], self.origin if name in ("week", "year") else 0
         lo, hi = (t + (first - t) % size for t in (start, end))
         oldest = self._oldest(name)
@@ -117,7 +133,7 @@ class Rollup:
         return replace(self, retention=self.retention | policies)
 
     def cleared(self) -> Rollup:
-        return replace(self, levels={k: v.limit(0) for k, v in self.levels.items()}, raw=None)
+        return replace(self, levels={k: v.limit(0) for k, v in self.levels.items()}, raw=None, appended=False)
 
     def _newest(self, level: str) -> int:
         """The end of the newest complete slot."""
@@ -126,20 +142,21 @@ class Rollup:
 
     # -- moving on --------------------------------------------------------------------------
 
+    def step(self, events: DataFrame, value: Column, ts: str, watermark: int) -> Rollup:
+        """The roll-up of the events from this one's watermark to a later one alone; late events don't count. Stored beside this one, load() of both paths is the roll-up that has advanced: no old slot is read or written again."""
+        new = self._of_events((events, value, ts), self.spec, self.watermark, watermark, self.keys, "second", self.origin)
+        return Rollup._from_seconds(new, self.spec, self.origin, max(watermark, self.watermark), self.keys)
+
     def advanced(self, events: DataFrame, value: Column, ts: str, watermark: int) -> Rollup:
         """With events from the old watermark to the new one; a lower watermark changes nothing, late events don't count."""
-        if watermark <= self.watermark:
-            return self
-        more = Rollup.build(events, self.spec, value, ts, self.watermark, watermark, self.keys)
-        more = Rollup._from_seconds(more.levels["second"], self.spec, self.origin, watermark, self.keys)
-        return self.merged(more)
+        return self if watermark <= self.watermark else self.merged(self.step(events, value, ts, watermark))
 
     def merged(self, other: Rollup) -> Rollup:
-        """Both slot by slot; the later watermark holds."""
+        """Both slot by slot; the later watermark holds. Partials are appended, and those of a slot combined when it is read, so that a step costs nothing for the slots that it doesn't touch."""
         if (self.origin, self.spec.name, self.keys) != (other.origin, other.spec.name, other.keys):
             raise ValueError("only roll-ups of one origin, aggregate and key merge")
-        both = {k: v.unionByName(other.levels[k]).groupBy(*self.keys, "slot").agg(*self.spec.combined()) for k, v in self.levels.items()}
-        return replace(self, levels=both, watermark=max(self.watermark, other.watermark), raw=None)
+        both = {k: v.unionByName(other.levels[k]) for k, v in self.levels.items()}
+        return replace(self, levels=both, watermark=max(self.watermark, other.watermark), raw=None, appended=True)
 
     def deltas(self, since: int | None = None) -> DataFrame:
         """The change log: a row for each second from `since` to the watermark, null fields where nothing came. With keys: the keys' seconds in which something came."""
@@ -188,7 +205,7 @@ class Rollup:
         return self.levels["second"].sparkSession
 
     def _pieces(self, pieces: Sequence) -> DataFrame:
-        """The slots of the pieces: one filter for each level, united."""
+        """The partials of the pieces' slots: one filter for each level, united."""
         parts = []
         for level in dict.fromkeys(p.level for p in pieces):
             cond = None
@@ -197,10 +214,10 @@ class Rollup:
                     c = (F.col("slot") >= p.start) & (F.col("slot") < p.end)
                     cond = c if cond is None else cond | c
             mine = [p for p in pieces if p.level == level]
-            rows = self._rows(level, min(p.start for p in mine), max(p.end for p in mine))
+            rows = self._partials(level, min(p.start for p in mine), max(p.end for p in mine))
             parts.append(rows.where(cond).select(*self.keys, "slot", *self.spec.fields))
         if not parts:
-            return self._rows("second", self.origin, self.origin).select(*self.keys, "slot", *self.spec.fields)
+            return self._partials("second", self.origin, self.origin).select(*self.keys, "slot", *self.spec.fields)
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -216,7 +233,7 @@ class Rollup:
             return self._lowered(rows.groupBy(*keys).agg(*self.spec.lifted(F.col("_in"))), keys)
         p = self.plan(start, end, **options)
         if p.kind == "inverse":
-            whole = self.level("year").select(*keys, *self.spec.fields)
+            whole = self._kept("year").select(*keys, *self.spec.fields)
             out = self._pieces(p.pieces).select(*keys, *[(-F.col(n)).alias(n) for n in self.spec.fields])
             rows = whole.unionByName(out)
         else:
@@ -256,7 +273,7 @@ class Rollup:
         """(slot, fields, value) of every slot of a level (the coarsest that both bounds fit) in the range, empty ones with the identity."""
         r = TimeRange(start, end).clipped(self.origin, self.watermark)
         level = level or TimeRange(start, end).granularity
-        kept = self._rows(level, r.start, max(r.start, r.end)).groupBy("slot").agg(*self.spec.combined())
+        kept = self._partials(level, r.start, max(r.start, r.end)).groupBy("slot").agg(*self.spec.combined())
         return self._lowered(self._spine(r.start, r.end, LEVELS[level]).join(kept, "slot", "left"), ["slot"])
 
     def group_by(self, start: int, end: int, interval: int, clip: bool = False) -> DataFrame:
@@ -265,7 +282,7 @@ class Rollup:
             return self._lowered(self._pieces(()), ["slot"])
         last = start + -(-(end - start) // interval) * interval
         level = next(n for n in ("day", "hour", "minute", "second") if start % LEVELS[n] == 0 and interval % LEVELS[n] == 0 and (not clip or end % LEVELS[n] == 0))
-        rows = self._rows(level, start, end if clip else last)
+        rows = self._partials(level, start, end if clip else last)
         rows = rows.withColumn("slot", F.col("slot") - F.pmod(F.col("slot") - start, F.lit(interval))).groupBy("slot").agg(*self.spec.combined())
         return self._lowered(self._spine(start, last, interval).join(rows, "slot", "left"), ["slot"])
 
@@ -274,7 +291,7 @@ class Rollup:
         keys = self.keys if keyed else ()
         if self._scans:
             return self.combine_range(self.origin, self.watermark, keyed)
-        return self._lowered(self.level("year").groupBy(*keys).agg(*self.spec.combined()), keys)
+        return self._lowered(self._kept("year").groupBy(*keys).agg(*self.spec.combined()), keys)
 
     def at(self, level: str, i: int) -> DataFrame:
         """The i-th newest complete slot of a level, the newest being 0."""
@@ -284,18 +301,18 @@ class Rollup:
         """(slot, fields, value) of the newest complete slots with index i to before j, oldest first in time; empty ones with the identity."""
         end, size = self._newest(level), LEVELS[level]
         lo, hi = max(end - j * size, self.origin - (self.origin - (self.origin if level in ("week", "year") else 0)) % size), end - i * size
-        rows = self._rows(level, lo, hi).groupBy("slot").agg(*self.spec.combined())
+        rows = self._partials(level, lo, hi).groupBy("slot").agg(*self.spec.combined())
         return self._lowered(self._spine(lo, hi, size).join(rows, "slot", "left"), ["slot"])
 
     def last(self, level: str, n: int) -> DataFrame:
         """The newest n complete slots of a level as one row."""
         end = self._newest(level)
-        return self._lowered(self._rows(level, end - n * LEVELS[level], end).agg(*self.spec.combined()))
+        return self._lowered(self._partials(level, end - n * LEVELS[level], end).agg(*self.spec.combined()))
 
     def total(self, level: str) -> DataFrame:
         """A level's open rotation: what has come since the newest slot of the next coarser level was complete."""
         start = max(self.origin, self._newest(_COARSER[level])) if level in _COARSER else self.origin
-        return self._lowered(self._rows("second", start, self.watermark).agg(*self.spec.combined()))
+        return self._lowered(self._partials("second", start, self.watermark).agg(*self.spec.combined()))
 
     def rotation(self, level: str) -> DataFrame:
         """(level, rotation_count, ticks_remaining, fields, value) of a level's open rotation: complete slots in it, slots until it is full, and its total."""
@@ -307,7 +324,7 @@ class Rollup:
 
     def filtered(self, level: str, start: int, end: int, keep: Column) -> DataFrame:
         """The slots in the range whose partial fits, as one row; no row if none does."""
-        rows = self._rows(level, start, end).groupBy("slot").agg(*self.spec.combined()).where(keep)
+        rows = self._partials(level, start, end).groupBy("slot").agg(*self.spec.combined()).where(keep)
         return self._lowered(rows.agg(*self.spec.combined(), F.count(F.lit(1)).alias("_n")).where("_n > 0"))
 
     # -- prefix layout ----------------------------------------------------------------------
@@ -318,7 +335,7 @@ class Rollup:
             raise ValueError(f"{self.spec.name} can't be subtracted")
         names = list(LEVELS)
         unit = names[min(names.index(level) + 2, len(names) - 1)]
-        rows = self.level(level).groupBy("slot").agg(*self.spec.combined()).withColumn("unit", slot_of(F.col("slot"), unit, self.origin))
+        rows = self._kept(level).groupBy("slot").agg(*self.spec.combined()).withColumn("unit", slot_of(F.col("slot"), unit, self.origin))
         inside = Window.partitionBy("unit").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
         upto = Window.orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
         units = rows.groupBy("unit").agg(*self.spec.combined()).select("unit", *[F.sum(n).over(upto).alias(n) for n in self.spec.fields])
@@ -338,7 +355,7 @@ class Rollup:
 
     def star(self) -> Rollup:
         """The roll-up over all keys, without them."""
-        return replace(self, keys=(), levels={k: v.groupBy("slot").agg(*self.spec.combined()) for k, v in self.levels.items()})
+        return replace(self, keys=(), levels={k: v.drop(*self.keys) for k, v in self.levels.items()}, appended=True)
 
     def top_k(self, k: int, start: int | None = None, end: int | None = None, by: str | None = None, descending: bool = True) -> DataFrame:
         """The k keys with the highest value (or lowest) over all time or a range, ties by key."""
@@ -357,7 +374,7 @@ class Rollup:
         n = (self.watermark - first) // every
         k = lambda c: F.floor((c - first) / every)
         lo, hi = F.greatest(F.lit(0), k(F.col("slot")) + 1), F.least(F.lit(n), k(F.col("slot") + back))
-        rows = self._rows(level, first - back, first + n * every).where(lo <= hi).withColumn("_k", F.explode(F.sequence(lo, hi))).groupBy((F.col("_k") * every + first).alias("at")).agg(*self.spec.combined())
+        rows = self._partials(level, first - back, first + n * every).where(lo <= hi).withColumn("_k", F.explode(F.sequence(lo, hi))).groupBy((F.col("_k") * every + first).alias("at")).agg(*self.spec.combined())
         spine = self._spark.range(0, max(0, n + 1)).select((F.col("id") * every + first).alias("at"))
         return self._lowered(spine.join(rows, "at", "left"), ["at"])
 

@@ -263,6 +263,30 @@ _add("prefix_range_sum", _prefix, f"SELECT CAST(sum(v) AS BIGINT) AS value FROM
 _add("inverse_landmark_sum", lambda spark, sf: _stored(spark, sf).combine_range(ORIGIN + 10, WATERMARK - 10, use_inverse=True).select("value"), f"SELECT CAST(sum(v) AS BIGINT) AS value FROM {_E} WHERE s >= {ORIGIN + 10} AND s < {WATERMARK - 10}")
 _add("merge_two_halves", lambda spark, sf: _merged(spark, sf).level("hour"), f"SELECT s - s % 3600 AS slot, min(v) AS min, max(v) AS max, count(v) AS count, CAST(sum(v) AS BIGINT) AS sum FROM {_E} GROUP BY 1")
 _add("advance", lambda spark, sf: _events(spark, sf, end=START).advanced(read_table(spark, sf, "events"), _cents(), "ts", END).level("day"), f"SELECT s - s % {DAY} AS slot, CAST(sum(v) AS BIGINT) AS sum FROM {_E} WHERE s < {END} GROUP BY 1")
+
+
+def _stored_steps(spark: SparkSession, sf: str) -> Rollup:
+    """A snapshot up to START and two steps after it, each stored on its own path; the three paths are one roll-up."""
+    key = spark.sparkContext.applicationId, sf, "steps"
+    if key not in _STORED:
+        e, r, paths = read_table(spark, sf, "events"), _events(spark, sf, end=START), [scratch(spark, "snapshot")]
+        r.stored(paths[0])
+        for upto in (START + 5 * DAY, END):
+            new = r.step(e, _cents(), "ts", upto)
+            paths.append(scratch(spark, "step"))
+            new.stored(paths[-1])
+            r = Rollup.load(spark, paths, SUM, ORIGIN, upto)
+        _STORED[key] = r
+    return _STORED[key]
+
+
+_DAYS = f"SELECT s - s % {DAY} AS slot, CAST(sum(v) AS BIGINT) AS sum FROM {_E} WHERE s < {END} GROUP BY 1"
+_add("stored_advance", lambda spark, sf: _stored_steps(spark, sf).level("day"), _DAYS)
+_add(
+    "stored_advance_range",
+    lambda spark, sf: _stored_steps(spark, sf).combine_range(START - 1000, END - 77).select("value"),
+    f"SELECT CAST(sum(v) AS BIGINT) AS value FROM {_E} WHERE s >= {START - 1000} AND s < {END - 77}",
+)
 _add(
     "delta_state",
     lambda spark, sf: _events(spark, sf).deltas().groupBy((F.col("slot") - F.col("slot") % 3600).alias("hour")).agg(F.count(F.lit(1)).alias("seconds"), F.count("sum").alias("filled"), F.coalesce(F.sum("sum"), F.lit(0)).alias("value")),
