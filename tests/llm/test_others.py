@@ -251,6 +251,27 @@ def test_mixing(spark):
     assert [x.taken for x in mixing.mix(spark.createDataFrame([(1, None, "e", None, 0), (2, "", "e", "s", 0)], DOCS)).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_row_by_row_with_hot_ids(spark, seed):
+    r = random.Random(seed)
+    some = [r.choice((None, 7, 7, 7, 8, i)) for i in range(400)]
+    rows = [(i, r.choice(("a", "b", None)), " ".join("x" * r.choice((0, 2, 2, 2, 9)))) for i in some]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, s, t in rows], DOCS).repartition(7)
+    got = mixing.mix(df, weights=(3, 1), share=r.choice((0.3, 0.9, 1.6)), epochs=2).collect()
+    target = {x.source_size: x.target for x in got}
+    assert len(target) == 3  # the sources differ in size here
+    want = Counter()
+    for source in ("a", "b", None):
+        own = [(i, t, len(t.split())) for i, s, t in rows if s == source]
+        size = sum(n for _, _, n in own)
+        full, rest = divmod(math.floor(target[size]), size)
+        digest = lambda i, t: hashlib.md5((str(i) if i is not None else "null" + t).encode()).hexdigest()
+        for i, _, n in sorted(own, key=lambda x: (digest(x[0], x[1]), x[2])):
+            want[i, n, size, full * n + min(n, rest)] += 1
+            rest -= min(n, rest)
+    assert Counter((x.doc_id, x["size"], x.source_size, x.taken) for x in got) == want
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice(("on", "er", "th", "ea", "in", "st")) for _ in range(r.randint(1, 4)))
