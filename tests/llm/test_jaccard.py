@@ -116,3 +116,24 @@ def test_texts_without_a_common_word_never_link(spark):
         word += word.translate(str.maketrans("ab", "ba"))
     rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
     assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_groups(frame(spark, rows)).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_passes_and_rounds_hold_a_share_of_the_rows(spark, monkeypatch):
+    """No shuffled table of parts or of blocks is as large as all parts, or all sets in all their blocks; what they link is as before."""
+    monkeypatch.setattr(jaccard, "PASS", 1)
+    monkeypatch.setattr(jaccard, "ROUND", 1)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    monkeypatch.setattr(jaccard, "SMALL", 20)
+    names, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, name="cut", rows=None: names.append(name) or cut(df, name, rows))
+    r = random.Random(1)
+    base = [str(r.random()) for _ in range(80)]
+    rows = [x for x in texts(n=30) if len(x[1] or "") < 2000]
+    for i in range(100, 130):
+        w = list(base)
+        w[r.randrange(80)] = str(r.random())
+        rows.append((i, " ".join(w)))
+    assert {tuple(x) for x in jaccard.jaccard_groups(frame(spark, rows)).collect()} == brute(rows, 3, 90)
+    assert names.count("parts") == jaccard.SLICES
+    assert names.count("sets") > 1
+    assert names.count("links") > 2

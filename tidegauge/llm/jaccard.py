@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ SMALL = 200_000
 BLOCK_SETS, BLOCK_TOKENS, GROUP = 1024, 1_000_000, 32
 #: Frequent shingles that are told apart from the others, half a megabyte.
 COMMON = 65_536
+#: Slices of the parts, by hash. Passes over the parts send one after another what they hold of slices, of this many parts at least; rounds over the blocks send this many tokens at least.
+SLICES, PASS, ROUND = 8, 4_000_000, 16_000_000
 
 
 def sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -98,7 +101,7 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, parts) of every row: set size, 128 bits that name the set, and part_hashes."""
+    """(doc_id, n, k1, k2, m, parts0, parts1, ...) of every row: set size, 128 bits that name the set, how many part_hashes it has, and these in SLICES columns, so that a slice is read alone."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))  # at most COMMON
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +113,17 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     k1.append(mix64(s).sum(dtype=np.uint64))
                     k2.append(np.bitwise_xor.reduce(mix64(s + np.uint64(0x51)), initial=np.uint64(0)))
                     parts.append(part_hashes(s, percent, common.value) if len(s) else s)
-                offsets = np.zeros(len(n) + 1, np.int32)
-                np.cumsum([len(p) for p in parts], out=offsets[1:])
-                values = pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n", "k1", "k2", "parts"])
+                m = np.array([len(p) for p in parts], np.int64)
+                row, values = np.repeat(np.arange(len(n)), m), np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+                at, columns = values % np.uint64(SLICES), []
+                for i in range(SLICES):
+                    offsets = np.zeros(len(n) + 1, np.int32)
+                    np.cumsum(np.bincount(row[at == i], minlength=len(n)), out=offsets[1:])
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[at == i].view(np.int64))))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)), pa.array(m), *columns], ["doc_id", "n", "k1", "k2", "m", *(f"parts{i}" for i in range(SLICES))])
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, parts array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, m long" + "".join(f", parts{i} array<long>" for i in range(SLICES)))
 
 
 class Union:
@@ -191,8 +198,9 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
 
     Equal sets are one from the start, so exact copies cost nothing. Different sets that share a part (see part_hashes) are
     joined to the smallest document that has it, by a minimum with partial aggregation: the components of these edges
-    are families, and no link leaves its family. A family is compared in blocks of bounded size, by
-    link(); each pair of a large family's blocks is a task's work of its own.
+    are families, and no link leaves its family. Passes take the parts one slice after another, so that only a slice's rows are
+    on disk beside the sketches. A family is compared in blocks of bounded size, by
+    link(); each pair of a large family's blocks is a task's work of its own. Rounds take the pairs of blocks, which may send more than the corpus holds.
 
     Null and empty texts, and texts of white space, have empty sets and link with nothing. Rows with a null
     doc_id are returned with a null component_id and link with nothing. Rows that share a doc_id are one document for component_id: what one links with, all do, those without words too.
@@ -201,37 +209,68 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     made = cut(sketches(docs, width, percent), "sketches")
     named = made.where("n > 0 and doc_id is not null")
     firsts = cut(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first")), "firsts")
-    parts = named.select("doc_id", "k1", "k2", "parts").join(firsts.select("k1", "k2", F.col("first").alias("doc_id")), ["doc_id", "k1", "k2"]).select("doc_id", F.explode("parts").alias("part"))
-    shared = cut(parts.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("part", "a"), "parts")
-    edges = parts.join(broadcast_up_to(shared, SMALL), "part").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
-    families = cut(connected_components(edges), "families")
     # a set's node is the smallest document that has it; rows without words have their own
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")))
     nodes = made.select("doc_id", "n", "k1", "k2").join(firsts.withColumnRenamed("n", "_n"), ["k1", "k2"], "left")
-    nodes = cut(nodes.select("doc_id", F.col("n").alias("n_shingles"), own.alias("node")), "nodes")
+    nodes = cut(nodes.select("doc_id", F.col("n").alias("n_shingles"), own.alias("node"), "k1", "k2"), "nodes")
+    families = cut(connected_components(_shared_parts(named, nodes)), "families")
+    tokens = made.agg(F.sum("n")).head()[0] or 0
+    drop_cut(made, firsts)
     several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     same = nodes.join(cut(several, "several"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    links = cut(_links(docs, families, width, percent).unionByName(same), "links")
-    drop_cut(made, firsts, shared, families)
+    links = cut(_links(docs, families, width, percent, tokens).unionByName(same), "links")
+    drop_cut(families)
     names = broadcast_up_to(cut(connected_components(links), "components"), SMALL)
     return nodes.join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
-def _links(docs: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
+def _shared_parts(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) for every set b with a part that a smaller document a has, the smallest of all; sets stand for their first documents."""
+    copies = broadcast_up_to(cut(nodes.where("n_shingles > 0 and doc_id <> node").select("doc_id", "k1", "k2").distinct(), "copies"), SMALL)
+    passes = min(SLICES, max(1, -(-(named.agg(F.sum("m")).head()[0] or 0) // PASS)))
+    edges = []
+    for p in range(passes):
+        some = [f"parts{i}" for i in range(p, SLICES, passes)]
+        parts = named.select("doc_id", "k1", "k2", *some).join(copies, ["doc_id", "k1", "k2"], "left_anti").select("doc_id", F.explode(F.concat(*some)).alias("part"))
+        shared = cut(parts.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("part", "a"), "parts")
+        edges.append(cut(parts.join(broadcast_up_to(shared, SMALL), "part").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct(), "edges"))
+        drop_cut(shared)
+    return reduce(DataFrame.unionByName, edges)
+
+
+def _sets(docs: DataFrame, families: DataFrame, width: int) -> DataFrame:
+    """(family, doc_id, n, tokens) of every row with words whose document is in a family. Where the families can't be broadcast, slices of documents can meet theirs one after another, or else are sent alone."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 s = list(sets_of(batch.column("text"), width))
                 yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["family", "doc_id", "n", "tokens"])
 
-    some = docs.select("doc_id", "text").join(broadcast_up_to(families.withColumnRenamed("node", "doc_id"), SMALL), "doc_id")
-    held = cut(some.mapInArrow(sets, "family long, doc_id long, n long, tokens binary").where("n > 0"), "sets")
+    several = min(SLICES, families.count() * 8 // (SMALL * 7) + 1)
+    held = []
+    for i in range(several):
+        mine = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(several)) == i
+        some = docs.select("doc_id", "text").where(mine).join(broadcast_up_to(families.withColumnRenamed("node", "doc_id").where(mine), SMALL), "doc_id")
+        held.append(cut(some.mapInArrow(sets, "family long, doc_id long, n long, tokens binary").where("n > 0"), "sets"))
+    return reduce(DataFrame.unionByName, held)
+
+
+def _links(docs: DataFrame, families: DataFrame, width: int, percent: int, tokens: int) -> DataFrame:
+    """(a, b) that connect what the links inside families connect. tokens: of all documents; a round over the blocks sends a quarter of them or ROUND."""
+    held = _sets(docs, families, width)
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("int")
-    sizes = broadcast_up_to(cut(held.groupBy("family").agg(blocks.alias("blocks")), "blocks"), SMALL)
-    dealt = held.join(sizes, "family").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sizes = cut(held.groupBy("family").agg(blocks.alias("blocks"), F.sum("n").alias("n")), "blocks")
+    rounds = max(1, -(-(sizes.agg(F.sum(F.col("n") * F.col("blocks"))).head()[0] or 0) // max(tokens // 4, ROUND)))
+    dealt = held.join(broadcast_up_to(sizes.select("family", "blocks"), SMALL), "family").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "tokens")
-    return by_block(dealt, lambda rows: _compare(rows, percent), "a long, b long")
+    links = []
+    for r in range(rounds):
+        mine = dealt.where(F.pmod(F.xxhash64("family", "i", "j"), F.lit(rounds)) == r) if rounds > 1 else dealt
+        links.append(cut(by_block(mine, lambda rows: _compare(rows, percent), "a long, b long"), "links"))
+    drop_cut(held, sizes)
+    return reduce(DataFrame.unionByName, links)
 
 
 def by_block(dealt: DataFrame, work: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, least: int = 1) -> DataFrame:
