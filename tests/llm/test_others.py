@@ -367,6 +367,29 @@ def test_windows_cover_whole_texts():
         assert covered == set(range(v.first[i], v.first[i + 1]))
 
 
+def test_vocabulary_takes_texts_in_pieces(monkeypatch):
+    """Room on the way in is some times the texts' size, not dozens; pieces of any size give the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    many = pa.array([" ".join(f"w{r.randrange(200_000)}" for _ in range(300)) for _ in range(2000)], pa.large_string())
+    tracemalloc.start()
+    toxicity.Vocabulary(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * many.nbytes
+    for some in ([t for _, t in texts()], [], [None], ["", None, " "], ["x"], ["", "a b", "ab"], [None, "x y", None, "z"]):
+        column, seen = pa.array(some, pa.large_string()), []
+        for size in ((1_000_000, 20_000), (100, 7), (1, 1)):
+            for name, n in zip(("PIECE_BYTES", "PIECE_WORDS"), size, strict=True):
+                monkeypatch.setattr(toxicity, name, n)
+            v = toxicity.Vocabulary(column)
+            seen.append([x.tolist() for x in (v.first, v.ids, v.word, v.grams, v.gram_first)] + [x.tolist() for x in v.windows()])
+        assert seen[0] == seen[1] == seen[2]
+
+
 def test_lm(spark):
     r = random.Random(8)
     chain = {w: r.sample("abcdefghijklmnop", 2) for w in "abcdefghijklmnop"}

@@ -19,45 +19,58 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, WIDTH, STATE = 1 << 14, 1 << 15, 8, 8
 #: Labelled documents of each class, and characters of one, that the network learns from at most.
 SAMPLE, SAMPLE_CHARS = 2000, 200_000
+#: Bytes of texts, and distinct words, that a vocabulary takes in at once.
+PIECE_BYTES, PIECE_WORDS = 1_000_000, 20_000
 _LOW = np.arange(256, dtype=np.uint64)
 _LOW[65:91] += 32
 
 
+def _grams(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed rows of the character 3- and 4-grams of words, one word after the other, and how many each has."""
+    # bytes of all words, each between two zeros
+    room = size + 2
+    at = np.cumsum(room) - room
+    b = np.zeros(int(room.sum()), np.uint64)
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    b[np.repeat(at + 1, size) + inner] = _LOW[data[np.repeat(start, size) + inner]] + np.uint64(1)
+    owner = np.repeat(np.arange(len(room), dtype=np.int32), room)
+    grams, owners = [], []
+    for n in (3, 4):
+        if len(b) < n:
+            continue
+        h = np.full(len(b) - n + 1, n, np.uint64)
+        for i in range(n):
+            h = h * np.uint64(0x100000001B3) + b[i : len(b) - n + 1 + i]
+        own = owner[: len(h)] == owner[n - 1 :]
+        grams.append((mix64(h[own]) % np.uint64(GRAM_ROWS)).astype(np.int32))
+        owners.append(owner[: len(h)][own])
+    owners = np.concatenate(owners)
+    return np.concatenate(grams)[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(room))
+
+
 class Vocabulary:
     """The distinct words of a batch of texts: ids of all words in order, hashed rows of each distinct word and of its character 3- and 4-grams."""
 
     def __init__(self, column: pa.Array):
         data, offsets = utf8(column)
-        words = Words(data, offsets, lower=True)
-        self.first = words.first
-        distinct, where, self.ids = np.unique(words.hash, return_index=True, return_inverse=True)
+        # texts in pieces, then distinct words in pieces: what a piece takes on the way is many times what stays of it
+        cuts = np.unique(np.r_[0, np.searchsorted(offsets, np.arange(PIECE_BYTES, len(data), PIECE_BYTES)), len(offsets) - 1])
+        pieces, self.first = [], np.zeros(len(offsets), np.int64)
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            words = Words(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], lower=True)
+            own, where, ids = np.unique(words.hash, return_index=True, return_inverse=True)
+            pieces.append((own, words.start[where] + offsets[a], (words.end - words.start)[where], ids.astype(np.int32)))
+            self.first[a : z + 1] = words.first + self.first[a]
+            del words, where, ids
+        some, start, size = (np.concatenate([x[i] for x in pieces]) if pieces else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+        distinct, where, ids = np.unique(some, return_index=True, return_inverse=True)
+        at = np.cumsum([0, *(len(x[0]) for x in pieces)])
+        self.ids = np.concatenate([ids[b : b + len(x[0])].astype(np.int32)[x[3]] for b, x in zip(at.tolist(), pieces, strict=False)]) if pieces else np.zeros(0, np.int32)
         self.word = (distinct >> np.uint64(17)).astype(np.int64) % WORD_ROWS
-        start, size = words.start[where], (words.end - words.start)[where]
-        # bytes of all distinct words, each between two zeros
-        room = size + 2
-        self.at = np.zeros(len(room) + 1, np.int64)
-        np.cumsum(room, out=self.at[1:])
-        b = np.zeros(int(self.at[-1]), np.uint64)
-        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        b[np.repeat(self.at[:-1] + 1, size) + inner] = _LOW[data[np.repeat(start, size) + inner]] + np.uint64(1)
-        owner = np.repeat(np.arange(len(room)), room)
-        grams, owners = [], []
-        for n in (3, 4):
-            if len(b) < n:
-                continue
-            h = np.full(len(b) - n + 1, n, np.uint64)
-            for i in range(n):
-                h = h * np.uint64(0x100000001B3) + b[i : len(b) - n + 1 + i]
-            own = owner[: len(h)] == owner[n - 1 :]
-            grams.append((mix64(h[own]) % np.uint64(GRAM_ROWS)).astype(np.int32))
-            owners.append(owner[: len(h)][own].astype(np.int32))
-        if grams:
-            owners = np.concatenate(owners)
-            order = np.argsort(owners, kind="stable")
-            self.grams = np.concatenate(grams)[order]
-            self.gram_first = np.searchsorted(owners[order], np.arange(len(room) + 1))
-        else:
-            self.grams, self.gram_first = np.zeros(0, np.int64), np.zeros(len(room) + 1, np.int64)
+        start, size = start[where], size[where]
+        grams = [_grams(data, start[i : i + PIECE_WORDS], size[i : i + PIECE_WORDS]) for i in range(0, len(distinct), PIECE_WORDS)]
+        self.grams = np.concatenate([x for x, _ in grams]) if grams else np.zeros(0, np.int32)
+        self.gram_first = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(n for _, n in grams)]))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, words, text) of every window: one each STRIDE words until the text's end is covered."""
@@ -78,10 +91,8 @@ class Network:
         n = lambda *shape, s: (r.standard_normal(shape) * s).astype(np.float32)
         return cls({"word": n(WORD_ROWS, WIDTH, s=0.1), "gram": n(GRAM_ROWS, WIDTH, s=0.1), "W": n(2 * WIDTH, 6 * STATE, s=0.3), "bias": np.zeros(6 * STATE, np.float32), "U": n(2, STATE, 3 * STATE, s=0.3), "a": n(2 * STATE, s=0.3), "w": n(2 * STATE, s=0.3), "b": np.zeros(1, np.float32)})
 
-    def inputs(self, v: Vocabulary, some: np.ndarray | None = None) -> np.ndarray:
-        """The vector of each distinct word (of `some` of them): its own, and the sum of its character n-grams' over the root of their number."""
-        if some is None:  # in pieces, since a word has a dozen vectors to sum
-            return np.concatenate([self.inputs(v, np.arange(a, min(a + 20_000, len(v.word)))) for a in range(0, max(1, len(v.word)), 20_000)])
+    def inputs(self, v: Vocabulary, some: np.ndarray) -> np.ndarray:
+        """The vector of each of `some` distinct words: its own, and the sum of its character n-grams' over the root of their number."""
         size = v.gram_first[some + 1] - v.gram_first[some]
         grams = self.p["gram"][v.grams[_ranges(v.gram_first[some], size)]]
         sums = np.zeros((len(some), WIDTH), np.float32)
@@ -141,7 +152,10 @@ class Network:
         return grad | {"U": dU}, dg
 
     def logits(self, v: Vocabulary, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        gates, out = self.inputs(v) @ self.p["W"] + self.p["bias"], np.empty(len(start), np.float32)
+        gates, out = np.empty((len(v.word), 6 * STATE), self.p["W"].dtype), np.empty(len(start), np.float32)
+        for at in range(0, len(v.word), PIECE_WORDS):  # in pieces, since a word has a dozen vectors to sum
+            some = np.arange(at, min(at + PIECE_WORDS, len(v.word)))
+            gates[some[0] : some[-1] + 1] = self.inputs(v, some) @ self.p["W"] + self.p["bias"]
         for at in range(0, len(start), 1024):
             ids, mask = _positions(v, start[at : at + 1024], size[at : at + 1024])
             out[at : at + 1024] = self.forward(gates[ids], mask)[0]
@@ -165,6 +179,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 10, least_steps: in
     A fifth of the windows of texts that aren't toxic are filled with one of their words: what isn't toxic once isn't so over and over.
     """
     v = Vocabulary(pa.array(texts, pa.large_string()))
+    trim()
     start, size, text = v.windows()
     if len(np.unique(toxic[text])) < 2:
         return None
