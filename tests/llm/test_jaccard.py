@@ -137,3 +137,18 @@ def test_passes_and_rounds_hold_a_share_of_the_rows(spark, monkeypatch):
     assert names.count("parts") == jaccard.SLICES
     assert names.count("sets") > 1
     assert names.count("links") > 2
+
+
+def test_passes_over_the_parts_share_one_join_with_the_copies(spark, monkeypatch):
+    """However many passes there are, a row meets the list of copies once."""
+    monkeypatch.setattr(jaccard, "PASS", 1)
+    joins, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, name="cut", rows=None: joins.extend([name] * (name in ("own", "parts", "edges")) * df._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti")) or cut(df, name, rows))
+    rows = [x for x in texts(n=30) if len(x[1] or "") < 2000]
+    rows += [(100 + i, t) for i, t in rows[:20]]
+    assert {tuple(x) for x in jaccard.jaccard_groups(frame(spark, rows)).collect()} == brute(rows, 3, 90)
+    assert joins == ["own"]
+    # and where slices of rows meet theirs one after another
+    monkeypatch.setattr(jaccard, "SMALL", 5)
+    assert {tuple(x) for x in jaccard.jaccard_groups(frame(spark, rows)).collect()} == brute(rows, 3, 90)
+    assert 1 < len(joins) - 1 <= jaccard.SLICES

@@ -213,9 +213,11 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")))
     nodes = made.select("doc_id", "n", "k1", "k2").join(firsts.withColumnRenamed("n", "_n"), ["k1", "k2"], "left")
     nodes = cut(nodes.select("doc_id", F.col("n").alias("n_shingles"), own.alias("node"), "k1", "k2"), "nodes")
-    families = cut(connected_components(_shared_parts(named, nodes)), "families")
     tokens = made.agg(F.sum("n")).head()[0] or 0
+    parts = _parts(named, nodes)
     drop_cut(made, firsts)
+    families = cut(connected_components(_shared_parts(parts)), "families")
+    drop_cut(parts)
     several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     same = nodes.join(cut(several, "several"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     links = cut(_links(docs, families, width, percent, tokens).unionByName(same), "links")
@@ -224,14 +226,25 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     return nodes.join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
-def _shared_parts(named: DataFrame, nodes: DataFrame) -> DataFrame:
+def _parts(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, m, parts0, parts1, ...) of the rows of `named` whose set no smaller document has. One join, however many passes read what it leaves; where the copies can't be broadcast, slices of rows can meet theirs one after another, or else are sent alone."""
+    copies = cut(nodes.where("n_shingles > 0 and doc_id <> node").select("doc_id", "k1", "k2").distinct(), "copies")
+    several = min(SLICES, copies.count() * 8 // (SMALL * 7) + 1)
+    held = []
+    for i in range(several):
+        mine = F.pmod(F.xxhash64("doc_id"), F.lit(several)) == i
+        left = named.where(mine).join(broadcast_up_to(copies.where(mine), SMALL), ["doc_id", "k1", "k2"], "left_anti")
+        held.append(cut(left.select("doc_id", "m", *(f"parts{j}" for j in range(SLICES))), "own"))
+    drop_cut(copies)
+    return reduce(DataFrame.unionByName, held)
+
+
+def _shared_parts(sets: DataFrame) -> DataFrame:
     """(a, b) for every set b with a part that a smaller document a has, the smallest of all; sets stand for their first documents."""
-    copies = broadcast_up_to(cut(nodes.where("n_shingles > 0 and doc_id <> node").select("doc_id", "k1", "k2").distinct(), "copies"), SMALL)
-    passes = min(SLICES, max(1, -(-(named.agg(F.sum("m")).head()[0] or 0) // PASS)))
+    passes = min(SLICES, max(1, -(-(sets.agg(F.sum("m")).head()[0] or 0) // PASS)))
     edges = []
     for p in range(passes):
-        some = [f"parts{i}" for i in range(p, SLICES, passes)]
-        parts = named.select("doc_id", "k1", "k2", *some).join(copies, ["doc_id", "k1", "k2"], "left_anti").select("doc_id", F.explode(F.concat(*some)).alias("part"))
+        parts = sets.select("doc_id", F.explode(F.concat(*(f"parts{i}" for i in range(p, SLICES, passes)))).alias("part"))
         shared = cut(parts.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("part", "a"), "parts")
         edges.append(cut(parts.join(broadcast_up_to(shared, SMALL), "part").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct(), "edges"))
         drop_cut(shared)
