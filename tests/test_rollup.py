@@ -1,5 +1,8 @@
 """Golden cases of roll-ups, windows, sets and keys."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +198,23 @@ def test_membership(spark, make):
 def test_timers(spark):
     r = roll(spark, [(250, i * 1000) for i in range(1, 8)], SUM, 0, 10)
     assert pairs(r.at_times(5, 5, 10), "at", "value") == [(5, 1000), (10, 1750)]
+
+
+@pytest.mark.parametrize(("parts", "words"), [(8, 4), (1, 1), (2, 1), (1, 4)])
+def test_bloom_hits_meet_by_position(spark, monkeypatch, parts, words):
+    """Full filters against every candidate: the same hits, false ones too, as a test of each bit, and no broadcast of exploded bits."""
+    monkeypatch.setattr(sets, "PARTS", parts, raising=False)
+    monkeypatch.setattr(sets, "WORDS", words, raising=False)
+    e = spark.range(70 * 4000).select((F.col("id") % 70 * 3600).alias("slot"), (F.col("id") * 7919 % 1_000_003).alias("x"))
+    e = e.unionByName(spark.createDataFrame([(None, 7), (3600, None)], "slot long, x long"))
+    filters, candidates = sets.blooms(e, F.col("slot"), "x"), spark.range(1500).select((F.col("id") * 7).alias("x"))
+    bits = {}
+    for r in filters.collect():
+        bits.setdefault(r.slot, np.zeros(sets.BLOOM_BITS, bool))[r.bucket * sets.BITS :][: sets.BITS] = np.unpackbits(np.frombuffer(bytes(r.bitmap), np.uint8), bitorder="little")
+    asked = candidates.select("x", sets._positions(F.col("x")).alias("p")).collect()
+    want = {(s, r.x) for s, b in bits.items() for r in asked if b[r.p].all()}
+    found = sets.may_contain(filters, candidates, "x")
+    got = [tuple(r) for r in found.collect()]
+    inside = {tuple(r) for r in e.join(candidates, "x").select("slot", "x").collect()}
+    assert len(got) == len(set(got)) and set(got) == want > inside
+    assert not re.findall(r"Broadcast\w*Join \[bucket", found._jdf.queryExecution().executedPlan().toString())
