@@ -3,6 +3,7 @@
 import decimal
 import importlib
 import os
+import re
 
 import duckdb
 import pytest
@@ -47,6 +48,20 @@ def test_bloom_is_asked_for_every_user(spark, duck):
     assert want <= got
 
 
+def test_bloom_misses_adds_pairs_and_hits(spark, tmp_path):
+    """Hours and users that are null count as in the SQL, and hits, whose number Spark underestimates, are never broadcast."""
+    rows = [(i, f"2024-01-{1 + i % 9:02} 0{i % 5}:00:00", i % 7) for i in range(200)] + [(300, None, 3), (301, "2024-01-01 00:00:00", None), (302, None, None)]
+    e = spark.createDataFrame(rows, "event_id long, ts string, user_id long").selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "0.5D AS value")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    df = OWN.QUERIES["bloom_misses"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert [tuple(r) for r in df.select("n_pairs", "n_missed").collect()] == c.sql(OWN.ORACLES["bloom_misses"]).fetchall()
+    df = OWN.QUERIES["bloom_misses"](spark, SF)
+    df.collect()
+    assert not re.findall(r"Join \[slot", df._jdf.queryExecution().executedPlan().toString())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(OWN.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
